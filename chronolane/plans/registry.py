@@ -1,4 +1,14 @@
 """All registered queries and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from chronolane.plans import audit_plans
+from chronolane.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "audit_plans", "flagship"]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["s08_projection"](spark, sf_dir)
