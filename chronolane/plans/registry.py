@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolane.plans import audit_plans
+from chronolane.plans import audit_plans, feature_plans
 from chronolane.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "audit_plans", "flagship"]
+__all__ = ["ORACLES", "QUERIES", "audit_plans", "feature_plans", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
