@@ -30,7 +30,7 @@ def measurement_stats(df: DataFrame, keys: list[str], value: str, order: list[st
             first.alias("first"), last.alias("last"), known.alias("count"),
             (F.count_if(abnormal) if abnormal is not None else F.lit(0).cast("long")).alias("abnormal_count"),
             r6(F.avg(v.isNull().cast("int"))).alias("missing_ratio"),
-            F.when(known >= 2, r6(F.regr_slope(v, F.col("__at")))).alias("slope"),
+            F.when(known >= 2, r6(F.regr_slope(v, F.col("__at"))) + 0.0).alias("slope"),
             F.when(known >= 2, r6(last - first)).alias("change"),
         )
     )

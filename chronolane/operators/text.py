@@ -21,7 +21,7 @@ def note_features(df: DataFrame, text: str, keywords: list[str], negations: str)
     out = df.withColumn("clean", clean).withColumns({"n_chars": F.length("clean").cast("long"), "n_words": words, "n_sentences": F.regexp_count("clean", F.lit("[.!?]+")).cast("long")})
     out = out.withColumns({"n_keywords": sum((F.contains(low, F.lit(k)).cast("long") for k in keywords), F.lit(0).cast("long")), "n_negations": F.regexp_count(low, F.lit(negations)).cast("long"), "n_syllables": F.regexp_count(low, F.lit("[aeiouy]+")).cast("long")})
     flesch = 206.835 - 1.015 * F.col("n_words") / F.greatest("n_sentences", F.lit(1)) - 84.6 * F.col("n_syllables") / F.col("n_words")
-    return out.withColumn("readability", F.when(F.col("n_words") > 0, F.round(flesch, 4))).drop("clean", "n_syllables")
+    return out.withColumn("readability", F.when(F.col("n_words") > 0, flesch)).drop("clean", "n_syllables")
 
 
 def first_concept(df: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def ungrounded(claims: DataFrame, facts: DataFrame, key: str, text: str, fact: s
     return said.join(known, (F.col(key) == F.col("__k")) & near, "left_anti")
 
 
-def rephrase_check(df: DataFrame, source: str, candidate: str) -> Column:
+def rephrase_check(source: str, candidate: str) -> Column:
     """Whether a candidate states no fewer distinct numbers than its source."""
     n = lambda c: F.size(F.array_distinct(numbers(c)))
     return (n(candidate) >= n(source)).cast("int")

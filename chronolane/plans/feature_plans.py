@@ -316,7 +316,7 @@ def _stats_sql(src: str, extra: str = "") -> str:
     return f"""n AS (SELECT *, CASE WHEN val IS NOT NULL THEN count(val) OVER w - 1 END AS pos FROM {src} WINDOW w AS (PARTITION BY l_orderkey, p_type ORDER BY {ORDER_SQL} ROWS UNBOUNDED PRECEDING)),
     st AS (SELECT l_orderkey, p_type, round(avg(val), 6) AS mean, round(median(val), 6) AS median, min(val) AS min, max(val) AS max, round(stddev_samp(val), 6) AS std,
       arg_min(val, ROW({ORDER_SQL})) FILTER (val IS NOT NULL) AS first, arg_max(val, ROW({ORDER_SQL})) FILTER (val IS NOT NULL) AS last, count(val) AS count, count_if(l_returnflag = 'R') AS abnormal_count,
-      round(avg((val IS NULL)::INT), 6) AS missing_ratio, CASE WHEN count(val) >= 2 THEN round(regr_slope(val, pos), 6) END AS slope,
+      round(avg((val IS NULL)::INT), 6) AS missing_ratio, CASE WHEN count(val) >= 2 THEN round(regr_slope(val, pos), 6) + 0.0::DOUBLE END AS slope,
       CASE WHEN count(val) >= 2 THEN round(arg_max(val, ROW({ORDER_SQL})) FILTER (val IS NOT NULL) - arg_min(val, ROW({ORDER_SQL})) FILTER (val IS NOT NULL), 6) END AS change FROM n GROUP BY 1, 2){extra}"""
 
 
