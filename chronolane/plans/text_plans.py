@@ -112,7 +112,7 @@ def r12(spark, d):
     return R.classify(t(spark, d, "conversations"), ["conv_id", "turn"], "text", _INTENTS, 1.0, "other")
 
 
-@query("r13_red_flags", "WITH f AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS t, flag, tr FROM conversations, (VALUES ('tion', 'tion'), ('ment', 'mentpa')) AS v(flag, tr)), x AS (SELECT *, instr(t, tr) AS pos FROM f) SELECT conv_id, turn, flag, pos AS "at", regexp_matches(substr(t, greatest(pos - 40, 1), least(pos - 1, 40)), '(^| )(no|pas|de) ')::INT AS suppressed FROM x WHERE pos > 0")
+@query("r13_red_flags", "WITH f AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS t, flag, tr FROM conversations, (VALUES ('tion', 'tion'), ('ment', 'mentpa')) AS v(flag, tr)), x AS (SELECT *, instr(t, tr) AS pos FROM f) SELECT conv_id, turn, flag, pos AS \"at\", regexp_matches(substr(t, greatest(pos - 40, 1), least(pos - 1, 40)), '(^| )(no|pas|de) ')::INT AS suppressed FROM x WHERE pos > 0")
 def r13(spark, d):
     return R.red_flags(t(spark, d, "conversations"), ["conv_id", "turn"], "text", {"tion": "tion", "ment": "mentpa"}, "(^| )(no|pas|de) ")
 
