@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,10 +45,15 @@ def durable(df: DataFrame, spread: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files that the table replaces
     out = spark.read.schema(df.schema).parquet(path)
     return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) if spread else out
 
 
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
 def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """mapInArrow with plain columns: fn gets the lists of a batch and returns the lists of the result."""
     names = df.columns

@@ -9,8 +9,8 @@ document holds which phrase where.
 * A phrase that occurs twice repeats all its windows: equal suffixes of equal phrases need no
   further comparison, which is what makes the parse of highly repetitive text cheap.
 * The dictionary's remaining phrases are put in corpus order by trigger. Only where a trigger has
-  several phrases can windows of different phrases be equal; those are fingerprinted one by one
-  and counted.
+  several phrases can windows of different phrases be equal; the bytes of those phrases are parsed
+  again with longer triggers, and what then is still open is fingerprinted window by window.
 
 No group is gathered anywhere: every step is a count by a fingerprint, combined before the shuffle.
 """
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolane.llm.common import durable, map_batches, ship, text_bytes
+from chronolane.llm.common import durable, map_batches, ship, text_bytes, union_all
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
@@ -87,39 +87,73 @@ def phrases(text: bytes, length: int, short: int, piece: int = 1 << 22) -> Itera
         yield begin + starts, begin + ends, roll.of(at, at + short), roll.of(starts, ends + length)
 
 
-def _parse(docs: DataFrame, length: int, short: int) -> DataFrame:
-    """doc_id, first, last (window starts), trigger, phrase."""
+def _columns(ids: list, found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    first, last, trigger, phrase = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), *(pa.array(x.astype(np.int32)) for x in (first, last)), pa.array(trigger.view(np.int64)), pa.array(phrase.view(np.int64))], names=["row_id", "first", "last", "trigger", "phrase"])
+
+
+def _parse(texts: DataFrame, length: int, short: int) -> DataFrame:
+    """row_id, first, last (window starts), trigger, phrase of texts (row_id, base, text); base is where a text begins in its row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
                 ids, found = [], []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    for f in phrases(text, length, short):
-                        found.append(f)
-                        ids.append(np.full(len(f[0]), doc_id, dtype=np.int64))
+                for row_id, base, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    for first, last, trigger, phrase in phrases(text, length, short):
+                        found.append((base + first, base + last, trigger, phrase))
+                        ids.append(np.full(len(first), row_id, dtype=np.int64))
                 if found:
-                    first, last, trigger, phrase = (np.concatenate(x) for x in zip(*found, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(ids), first.astype(np.int32), last.astype(np.int32), trigger.view(np.int64), phrase.view(np.int64))], names=["row_id", "first", "last", "trigger", "phrase"])
+                    yield _columns(ids, found)
+
+    return texts.mapInArrow(run, "row_id long, first int, last int, trigger long, phrase long")
 
-    return docs.mapInArrow(run, "row_id long, first int, last int, trigger long, phrase long")
 
+def _excerpts(asked: DataFrame, length: int) -> DataFrame:
+    """row_id, base, text: the bytes that the asked windows (row_id, base, text, spans) cover, in maximal pieces."""
 
-def _windows(docs: DataFrame, length: int) -> DataFrame:
-    """row_id, at, fingerprint of each window of the phrases that docs (row_id, bytes, spans) names."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for row_id, base, text, spans in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                merged: list[list[int]] = []
+                inside = (p for p in zip(spans[::2], spans[1::2], strict=True) if base <= p[0] and p[1] + length <= base + len(text))
+                for a, b in sorted(inside):
+                    if merged and a <= merged[-1][1] + 1:
+                        merged[-1][1] = max(merged[-1][1], b)
+                    else:
+                        merged.append([a, b])
+                for a, b in merged:
+                    out[0].append(row_id)
+                    out[1].append(a)
+                    out[2].append(text[a - base : b + length - base])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], names=["row_id", "base", "text"])
+
+    return asked.mapInArrow(run, "row_id long, base int, text binary")
+
+
+def _windows(texts: DataFrame, length: int) -> DataFrame:
+    """row_id, at, w: the fingerprint of each window of texts (row_id, base, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                marks = np.zeros(len(text) + 1, dtype=np.int8)
-                for a, b in zip(spans[::2], spans[1::2], strict=True):
-                    marks[a : b + 1] = 1
-                at = np.flatnonzero(marks)
+            for row_id, base, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                at = np.arange(len(text) - length + 1)
                 keys = Rolling(text).of(at, at + length)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc_id, dtype=np.int64)), pa.array(at.astype(np.int32)), pa.array(keys.view(np.int64))], names=["row_id", "at", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row_id, dtype=np.int64)), pa.array((base + at).astype(np.int32)), pa.array(keys.view(np.int64))], names=["row_id", "at", "w"])
 
-    return docs.mapInArrow(run, "row_id long, at int, w long")
+    return texts.mapInArrow(run, "row_id long, at int, w long")
+
+
+def _settle(parse: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of a parse: row_id, first, last of phrases that occur again, and one of each phrase that may share windows with another."""
+    keys = parse.groupBy("trigger").agg(F.min("phrase").alias("lo"), F.max("phrase").alias("hi"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    kept = durable(parse.join(keys.select("trigger", (F.col("lo") != F.col("hi")).alias("several")), "trigger"))
+    entries = durable(kept.groupBy("trigger", "phrase", "several").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_id", "first", "last")).alias("one")))
+    whole = durable(kept.join(entries.filter("n > 1").select("trigger", "phrase"), ["trigger", "phrase"]).select("row_id", "first", "last").distinct())
+    unsure = entries.filter("several and n = 1").select("trigger").distinct()
+    return whole, entries.filter("several").join(unsure, "trigger", "left_semi").select("one.*")
 
 
 def _cutter(length: int):
@@ -148,7 +182,7 @@ def _cutter(length: int):
     return run
 
 
-def repeated_substrings(docs: DataFrame, length: int = 200, short: int = 24) -> DataFrame:
+def repeated_substrings(docs: DataFrame, length: int = 200, shorts: tuple[int, ...] = (64, 160)) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) for each row of docs.
 
     Every byte that lies in a string of `length` bytes which starts anywhere else too is removed.
@@ -156,24 +190,21 @@ def repeated_substrings(docs: DataFrame, length: int = 200, short: int = 24) ->
     it all, as none is first; a row that repeats a doc_id is a document of its own only if its
     text differs in length or content; rows with a null doc_id stay whole and repeat nothing;
     other columns are ignored; an empty table gives an empty one. Windows are compared by 64-bit
-    fingerprints.
+    fingerprints. shorts are the trigger lengths of the successive parses.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     source = rows.filter("doc_id is not null").select(F.col("doc_id").alias("row_id"), "text")
-    parse = durable(_parse(source, length, short))
-    lone = F.min(F.when(F.col("n") == 1, F.col("phrase"))).isNotNull()
-    keys = parse.groupBy("trigger").agg(F.min("phrase").alias("lo"), F.max("phrase").alias("hi"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    keys = durable(keys.select("trigger", (F.col("lo") != F.col("hi")).alias("several")))
-    kept = parse.join(keys, "trigger")
-    entries = durable(kept.groupBy("trigger", "phrase", "several").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_id", "first", "last")).alias("one")))
-    open_triggers = entries.filter("several").groupBy("trigger").agg(lone.alias("open")).filter("open").select("trigger")
-    whole = kept.join(entries.filter("n > 1").select("trigger", "phrase"), ["trigger", "phrase"]).select("row_id", "first", "last")
-    open_rows = entries.filter("several").join(open_triggers, "trigger", "left_semi").select("one.*")
-    asked = open_rows.groupBy("row_id").agg(F.flatten(F.collect_list(F.array("first", "last"))).alias("spans"))
-    windows = durable(_windows(source.join(asked, "row_id").select("row_id", "text", "spans"), length))
+    texts, settled = source.select("row_id", F.lit(0).alias("base"), "text"), []
+    for k in shorts:
+        whole, unsure = _settle(durable(_parse(texts, length, k)))
+        settled.append(whole)
+        asked = unsure.groupBy("row_id").agg(F.flatten(F.collect_list(F.array("first", "last"))).alias("spans"))
+        located = texts.join(asked, "row_id").select("row_id", "base", "text", "spans")
+        texts = durable(_excerpts(located, length))
+    windows = durable(_windows(texts, length))
     again = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w")
-    single = windows.join(again, "w", "left_semi").select("row_id", F.col("at").alias("first"), F.col("at").alias("last"))
-    spans = whole.unionByName(single).groupBy("row_id").agg(F.flatten(F.collect_set(F.array("first", "last"))).alias("spans"))
+    settled.append(windows.join(again, "w", "left_semi").select("row_id", F.col("at").alias("first"), F.col("at").alias("last")))
+    spans = union_all(settled).groupBy("row_id").agg(F.flatten(F.collect_set(F.array("first", "last"))).alias("spans"))
     joined = rows.join(spans, rows["doc_id"] == spans["row_id"], "left").select("doc_id", "text", "spans")
     return map_batches(joined, _cutter(length), "doc_id long,n_bytes long,n_removed long,n_spans long,kept_sha256 string,kept binary")
