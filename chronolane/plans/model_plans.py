@@ -365,3 +365,54 @@ def m05(spark, d):
 @query("m13_projection")
 def m13(spark, d):
     return M.project(t(spark, d, "lineitem"), [*_FEATS, "l_tax"], 2).select("l_orderkey", "l_linenumber", F.transform("embedding", lambda x: F.round(x, 4)).alias("embedding"))
+
+
+@query("m02_boosted_trees")
+def m02(spark, d):
+    x = _train(spark, d)
+    return M.compare({"boosted": M.boosted(x.filter("split = 'train'"), _FEATS, "y", trees=5)}, x.filter("split = 'test'"), _FEATS, "y")
+
+
+@query("m03_family_comparison")
+def m03(spark, d):
+    x = _train(spark, d)
+    train = x.filter("split = 'train'")
+    return M.compare({"logistic": M.logistic(train, _FEATS, "y"), "boosted": M.boosted(train, _FEATS, "y", trees=5)}, x.filter("split = 'test'"), _FEATS, "y")
+
+
+@query("m04_duration_quantile", f"WITH x AS (SELECT l_orderkey, l_quantity, floor({_U.format(chr(39) + '1|' + chr(39) + ' || l_orderkey')} * 10000) AS b FROM lineitem), c AS (SELECT quantile_cont(l_quantity, 0.75) AS cut FROM x WHERE b < 7000) SELECT (l_quantity > cut)::INT AS is_long, count(*) AS n FROM x, c WHERE b >= 8500 GROUP BY 1")
+def m04(spark, d):
+    x = _train(spark, d)
+    cut = x.filter("split = 'train'").agg(F.percentile("l_quantity", 0.75).alias("cut"))
+    return x.filter("split = 'test'").crossJoin(F.broadcast(cut)).groupBy((F.col("l_quantity") > F.col("cut")).cast("int").alias("is_long")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("m06_group_calibration")
+def m06(spark, d):
+    x = _train(spark, d)
+    p = M.predict(M.logistic(x.filter("split = 'train'"), _FEATS, "y"), x, _FEATS).filter("split <> 'train'")
+    c = M.calibrate_by_group(p, F.col("split") == "validation", "p", "y", "band", 500, 25)
+    return c.groupBy("band").agg(F.round(E.brier("p_global", "y"), 4).alias("brier_global"), F.round(E.brier("p_served", "y"), 4).alias("brier_served"))
+
+
+@query("m12_reduced_feature_fidelity")
+def m12(spark, d):
+    x = _train(spark, d)
+    train, test = x.filter("split = 'train'"), x.filter("split = 'test'")
+    return M.compare({"full": M.logistic(train, _FEATS, "y")}, test, _FEATS, "y").unionByName(M.compare({"reduced": M.logistic(train, _FEATS[:1], "y")}, test, _FEATS[:1], "y"))
+
+
+@query("e16_binary_relevance", "WITH x AS (SELECT contains(text, '%%%') OR contains(text, '!!') AS g, quality = 0 AS e FROM documents JOIN labels USING (doc_id)) SELECT count(*) AS n, round(count_if(g AND e) / nullif(count_if(g), 0)::DOUBLE, 6) AS precision, round(count_if(g AND e) / nullif(count_if(e), 0)::DOUBLE, 6) AS recall FROM x")
+def e16(spark, d):
+    x = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").select((F.contains(F.col("text"), F.lit("%%%")) | F.contains(F.col("text"), F.lit("!!"))).alias("g"), (F.col("quality") == 0).alias("e"))
+    both, g, e = F.count_if(F.col("g") & F.col("e")), F.count_if("g"), F.count_if("e")
+    return x.agg(F.count(F.lit(1)).alias("n"), F.round(F.try_divide(both, g), 6).alias("precision"), F.round(F.try_divide(both, e), 6).alias("recall"))
+
+
+@query("e19_space_comparison", f"WITH {_KNN}, nb AS (SELECT 'all' AS space, *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS r FROM p QUALIFY r <= 5), nl AS (SELECT 'same label' AS space, *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS r FROM p WHERE ql = nl QUALIFY r <= 5), u AS (SELECT space, query_id, distance FROM nb UNION ALL SELECT space, query_id, distance FROM nl), k AS (SELECT query_id FROM u GROUP BY 1 HAVING count(DISTINCT space) = 2) SELECT space, count(DISTINCT query_id) AS n_queries, round(avg(distance), 4) AS mean_distance FROM u WHERE query_id IN (SELECT query_id FROM k) GROUP BY 1")
+def e19(spark, d):
+    v = vectors(spark, d)
+    q = v.filter("id % 10 = 0")
+    u = J.nearest_neighbours(q, v, 5, entity="entity").withColumn("space", F.lit("all")).unionByName(J.nearest_neighbours(q, v, 5, entity="entity", partition="label").withColumn("space", F.lit("same label")))
+    common = u.groupBy("query_id").agg(F.count_distinct("space").alias("k")).filter("k = 2").select("query_id")
+    return u.join(common, "query_id", "left_semi").groupBy("space").agg(F.count_distinct("query_id").alias("n_queries"), F.round(F.avg("distance"), 4).alias("mean_distance"))
