@@ -12,7 +12,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolane.operators.metrics import auroc
+from chronolane.operators.metrics import auroc, hash_uniform
 
 
 def class_weights(train: DataFrame, label: str, name: str = "weight") -> DataFrame:
@@ -114,3 +114,40 @@ def scenarios(df: DataFrame, overrides: DataFrame, columns: list[str]) -> DataFr
     """Each row under each scenario (scenario and one nullable column `set_<c>` for each column); the table of scenarios is small by contract."""
     out = df.crossJoin(F.broadcast(overrides))
     return out.withColumns({c: F.coalesce(F.col(f"set_{c}"), F.col(c)) for c in columns})
+
+
+def withheld(scores: DataFrame, fidelity: DataFrame, floor: float = 2 / 3) -> DataFrame:
+    """scores (..., task, p) with p null where a task is withheld, and reason (null where it is served).
+
+    fidelity: task, reference and reduced, the AUROC of the full input and of the input at hand; one
+    row for each task. A task is served if the input keeps at least `floor` of the lift over chance.
+    """
+    lift = F.when(F.col("reference") > 0.5, (F.col("reduced") - 0.5) / (F.col("reference") - 0.5)).otherwise(0.0)
+    f = fidelity.select("task", lift.alias("__kept"))
+    reason = F.when(F.col("__kept").isNull(), "not measured").when(F.col("__kept") <= 0, "below chance").when(F.col("__kept") < floor, "below floor")
+    return scores.join(F.broadcast(f), "task", "left").withColumn("reason", reason).withColumn("p", F.when(F.col("reason").isNull(), F.col("p"))).drop("__kept")
+
+
+def triplets(codes: DataFrame, entity: str, code: str, share: float, seed: int = 0, bucket: int = 64, draws: int = 4) -> DataFrame:
+    """anchor, positive (shares a code with it), negative (shares none) for a hashed share of the entities.
+
+    Entities lie in hash buckets of about `bucket` members, within each code and over all. An anchor
+    looks into one bucket of each of its codes and into `draws` of all, and takes the first of its
+    own hash order, so members of a frequent code are never paired with each other. Either
+    partner is null where those buckets hold none; null entities and codes are passed over.
+    """
+    slot = lambda name, *parts: F.floor(hash_uniform(F.lit(f"{name}{seed}"), *parts) * F.col("__b")).cast("long").alias("__slot")
+    pick = F.min(F.struct(hash_uniform(F.lit(f"pick{seed}"), "anchor", "__e").alias("h"), "__e"))
+    c = codes.select(F.col(entity).alias("__e"), F.col(code).alias("__c")).dropna().distinct()
+    sized = c.join(c.groupBy("__c").agg(F.ceil(F.count(F.lit(1)) / bucket).alias("__b")), "__c")
+    chosen = hash_uniform(F.lit(f"anchor{seed}"), "__e") < share
+    asked = sized.filter(chosen).select(F.col("__e").alias("anchor"), "__c", slot("ask", "__e", "__c"))
+    near = asked.join(sized.select("__e", "__c", slot("member", "__e", "__c")), ["__c", "__slot"]).filter("anchor <> __e")
+    near = near.groupBy("anchor").agg(pick.alias("m")).select("anchor", F.col("m.__e").alias("positive"))
+    sets = c.groupBy("__e").agg(F.collect_set("__c").alias("__s"))
+    sets = sets.withColumn("__b", F.lit(-(-sets.count() // bucket)))
+    anchors = sets.filter(chosen).select(F.col("__e").alias("anchor"), F.col("__s").alias("__a"), "__b")
+    drawn = anchors.withColumn("__d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select("anchor", "__a", slot("draw", "anchor", "__d")).distinct()
+    far = drawn.join(sets.select("__e", "__s", slot("all", "__e")), "__slot").filter(~F.arrays_overlap("__a", "__s"))
+    far = far.groupBy("anchor").agg(pick.alias("m")).select("anchor", F.col("m.__e").alias("negative"))
+    return anchors.select("anchor").join(near, "anchor", "left").join(far, "anchor", "left")

@@ -24,13 +24,33 @@ def note_features(df: DataFrame, text: str, keywords: list[str], negations: str)
     return out.withColumn("readability", F.when(F.col("n_words") > 0, flesch)).drop("clean", "n_syllables")
 
 
-def first_concept(df: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
-    """key, concept, at: the alias (alias, concept; one to three words) that a text mentions first; longer ones win ties."""
+def _mentions(df: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
+    """alias, key, at, n, concept: each place where a text holds an alias (alias, concept; one to three words)."""
     t = df.select(key, tokens(text).alias("t")).filter(F.size("t") > 0)
     gram = lambda n: F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i: F.struct(i.alias("at"), F.array_join(F.slice("t", i, n), " ").alias("alias"), F.lit(n).alias("n")))
     grams = F.concat(*(F.when(F.size("t") >= n, gram(n)).otherwise(F.array().cast("array<struct<at:int,alias:string,n:int>>")) for n in (1, 2, 3)))
-    hits = t.select(key, F.explode(grams).alias("g")).select(key, "g.*").join(F.broadcast(aliases), "alias")
-    return hits.groupBy(key).agg(F.min(F.struct("at", (-F.col("n")).alias("m"), "concept")).alias("b")).select(key, F.col("b.concept").alias("concept"), F.col("b.at").cast("long").alias("at"))
+    return t.select(key, F.explode(grams).alias("g")).select(key, "g.*").join(F.broadcast(aliases), "alias")
+
+
+def first_concept(df: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
+    """key, concept, at, concepts: the alias that a text mentions first, longer ones winning ties, and all concepts it mentions."""
+    hits = _mentions(df, key, text, aliases).groupBy(key).agg(F.min(F.struct("at", (-F.col("n")).alias("m"), "concept")).alias("b"), F.array_sort(F.collect_set("concept")).alias("concepts"))
+    return hits.select(key, F.col("b.concept").alias("concept"), F.col("b.at").cast("long").alias("at"), "concepts")
+
+
+def terminology_accuracy(cases: DataFrame, found: DataFrame, key: str, kind: str) -> DataFrame:
+    """kind, n, accuracy, false_positive_rate, false_negative_rate, composite_accuracy; the kind 'all' is the whole.
+
+    cases: key, expected (null: no concept), also (further concepts that must be mentioned), kind;
+    found: key, concept, concepts, one row at most for a key. Rates without a case to measure are null.
+    """
+    none = F.array().cast("array<string>")
+    x = cases.join(found.select(key, "concept", "concepts"), key, "left").withColumn("also", F.coalesce("also", none))
+    composite = F.size("also") > 0
+    ok = F.col("expected").eqNullSafe(F.col("concept")) & (F.size(F.array_except("also", F.coalesce("concepts", none))) == 0)
+    null, hit = F.col("expected").isNull(), F.col("concept").isNotNull()
+    rate = lambda part, whole: F.round(F.try_divide(F.count_if(part), F.count_if(whole)), 6)
+    return x.rollup(kind).agg(F.count(F.lit(1)).alias("n"), rate(ok, F.lit(True)).alias("accuracy"), rate(null & hit, null).alias("false_positive_rate"), rate(~null & ~hit, ~null).alias("false_negative_rate"), rate(ok & composite, composite).alias("composite_accuracy")).withColumn(kind, F.coalesce(kind, F.lit("all")))
 
 
 def fuzzy_terms(words: DataFrame, lexicon: DataFrame, ratio: float = 0.8) -> DataFrame:

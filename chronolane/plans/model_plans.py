@@ -416,3 +416,37 @@ def e19(spark, d):
     u = J.nearest_neighbours(q, v, 5, entity="entity").withColumn("space", F.lit("all")).unionByName(J.nearest_neighbours(q, v, 5, entity="entity", partition="label").withColumn("space", F.lit("same label")))
     common = u.groupBy("query_id").agg(F.count_distinct("space").alias("k")).filter("k = 2").select("query_id")
     return u.join(common, "query_id", "left_semi").groupBy("space").agg(F.count_distinct("query_id").alias("n_queries"), F.round(F.avg("distance"), 4).alias("mean_distance"))
+
+
+@query("m08_withheld_tasks", f"""WITH {SCORED}, x AS (SELECT task, y, p, r FROM s, LATERAL (VALUES ('rounded', round(p, 1)), ('price', o_totalprice::DOUBLE), ('reversed', -p)) AS v(task, r)),
+    l AS (SELECT task, 'reference' AS input, y, p AS v FROM x UNION ALL SELECT task, 'reduced', y, r FROM x),
+    k AS (SELECT *, rank() OVER (PARTITION BY task, input ORDER BY v) + (count(*) OVER (PARTITION BY task, input, v) - 1) / 2.0::DOUBLE AS rk FROM l),
+    a AS (SELECT task, input, round((sum(rk) FILTER (y = 1) - count_if(y = 1) * (count_if(y = 1) + 1) / 2.0::DOUBLE) / (count_if(y = 1) * count_if(y = 0)), 6) AS auroc FROM k GROUP BY ALL),
+    f AS (SELECT task, (max(auroc) FILTER (input = 'reduced') - 0.5::DOUBLE) / (max(auroc) FILTER (input = 'reference') - 0.5::DOUBLE) AS kept FROM a GROUP BY 1)
+    SELECT task, CASE WHEN kept <= 0 THEN 'below chance' WHEN kept < 2 / 3.0::DOUBLE THEN 'below floor' END AS reason, count(*) AS n, count(CASE WHEN kept >= 2 / 3.0::DOUBLE THEN p END) AS n_served, round(avg(CASE WHEN kept >= 2 / 3.0::DOUBLE THEN p END), 6) AS mean_p FROM x JOIN f USING (task) GROUP BY ALL""")
+def m08(spark, d):
+    reduced = {"rounded": F.round("p", 1), "price": F.col("o_totalprice").cast("double"), "reversed": -F.col("p")}
+    x = scored(spark, d).select("o_orderkey", "y", "p", F.explode(F.array(*(F.struct(F.lit(k).alias("task"), r.alias("r")) for k, r in reduced.items()))).alias("v")).select("o_orderkey", "y", "p", "v.*")
+    fidelity = E.auroc(x, "p", "y", ["task"]).withColumnRenamed("auroc", "reference").join(E.auroc(x, "r", "y", ["task"]).withColumnRenamed("auroc", "reduced"), "task")
+    out = M.withheld(x.select("o_orderkey", "task", "p"), fidelity)
+    return out.groupBy("task", "reason").agg(F.count(F.lit(1)).alias("n"), F.count("p").alias("n_served"), F.round(F.avg("p"), 6).alias("mean_p"))
+
+
+def _hash(name, *parts):
+    return _U.format(" || '|' || ".join([f"'{name}0'", *parts]))
+
+
+@query("m14_triplets", f"""WITH c AS (SELECT DISTINCT l_orderkey AS e, p_brand AS code FROM lineitem JOIN part ON l_partkey = p_partkey),
+    b AS (SELECT code, ceil(count(*) / 64.0::DOUBLE) AS b FROM c GROUP BY 1),
+    z AS (SELECT e, code, floor({_hash('member', 'e', 'code')} * b) AS slot, floor({_hash('ask', 'e', 'code')} * b) AS asked FROM c JOIN b USING (code)),
+    a AS (SELECT DISTINCT e AS anchor FROM c WHERE {_hash('anchor', 'e')} < 0.05),
+    near AS (SELECT anchor, arg_min(m.e, ROW({_hash('pick', 'anchor', 'm.e')}, m.e)) AS positive FROM a JOIN z q ON q.e = anchor JOIN z m ON m.code = q.code AND m.slot = q.asked AND m.e <> anchor GROUP BY 1),
+    st AS (SELECT e, list(code) AS codes FROM c GROUP BY 1),
+    w AS (SELECT e, codes, b, floor({_hash('all', 'e')} * b) AS slot FROM st, (SELECT ceil(count(*) / 64.0::DOUBLE) AS b FROM st)),
+    dr AS (SELECT DISTINCT anchor, codes AS own, floor({_hash('draw', 'anchor', 'draw')} * b) AS slot FROM a JOIN w ON e = anchor, generate_series(0, 3) AS g(draw)),
+    far AS (SELECT anchor, arg_min(w.e, ROW({_hash('pick', 'anchor', 'w.e')}, w.e)) AS negative FROM dr JOIN w USING (slot) WHERE NOT list_has_any(own, codes) GROUP BY 1)
+    SELECT anchor, positive, negative FROM a LEFT JOIN near USING (anchor) LEFT JOIN far USING (anchor)""")
+def m14(spark, d):
+    brands = t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    codes = t(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(brands, "l_partkey")
+    return M.triplets(codes, "l_orderkey", "p_brand", 0.05)

@@ -17,7 +17,21 @@ _ALIAS = "al(alias, concept) AS (VALUES ('the', 'article'), ('of the', 'genitive
     SELECT conv_id * 100 + turn AS message, arg_min(concept, ROW(pos, -n, concept)) AS concept, min(pos) AS "at" FROM g JOIN al USING (alias) GROUP BY 1""")
 def r01(spark, d):
     al = spark.createDataFrame(ALIASES, "alias string, concept string")
-    return R.first_concept(t(spark, d, "conversations").withColumn("message", F.col("conv_id") * 100 + F.col("turn")), "message", "text", al)
+    return R.first_concept(t(spark, d, "conversations").withColumn("message", F.col("conv_id") * 100 + F.col("turn")), "message", "text", al).drop("concepts")
+
+
+@query("e15_terminology_accuracy", f"""WITH {_ALIAS}, k AS (SELECT conv_id * 100 + turn AS message, role AS kind, lower(coalesce(text, '')) AS x, {_TOK.format('text')} AS t FROM conversations),
+    g AS (SELECT message, i AS pos, n, array_to_string(list_slice(t, i, i + n - 1), ' ') AS alias FROM k, generate_series(1, 3) AS s(n), LATERAL unnest(generate_series(1, len(t) - n + 1)) AS u(i)),
+    f AS (SELECT message, arg_min(concept, ROW(pos, -n, concept)) AS concept, list(DISTINCT concept) AS concepts FROM g JOIN al USING (alias) GROUP BY 1),
+    c AS (SELECT kind, concept, CASE WHEN contains(x, ' the ') THEN 'article' WHEN contains(x, ' der ') THEN 'artikel' END AS expected, contains(x, ' and ') AS composite, coalesce(list_contains(concepts, 'conjunction'), false) AS mentioned FROM k LEFT JOIN f USING (message)),
+    o AS (SELECT *, expected IS NOT DISTINCT FROM concept AND (NOT composite OR mentioned) AS ok FROM c)
+    SELECT coalesce(kind, 'all') AS kind, count(*) AS n, round(avg(ok::INT), 6) AS accuracy, round(avg((concept IS NOT NULL)::INT) FILTER (expected IS NULL), 6) AS false_positive_rate, round(avg((concept IS NULL)::INT) FILTER (expected IS NOT NULL), 6) AS false_negative_rate, round(avg(ok::INT) FILTER (composite), 6) AS composite_accuracy FROM o GROUP BY ROLLUP (kind)""")
+def e15(spark, d):
+    m = t(spark, d, "conversations").withColumn("message", F.col("conv_id") * 100 + F.col("turn"))
+    x = F.lower(F.coalesce("text", F.lit("")))
+    has = lambda w: F.contains(x, F.lit(f" {w} "))
+    cases = m.select("message", F.col("role").alias("kind"), F.when(has("the"), "article").when(has("der"), "artikel").alias("expected"), F.when(has("and"), F.array(F.lit("conjunction"))).alias("also"))
+    return R.terminology_accuracy(cases, R.first_concept(m, "message", "text", spark.createDataFrame(ALIASES, "alias string, concept string")), "message", "kind")
 
 
 @query("r02_term_normalisation", "SELECT p_partkey, trim(regexp_replace(regexp_replace(p_name, '(small|red|blue|hot)', '', 'g'), ' +', ' ', 'g')) AS ingredient FROM part")
