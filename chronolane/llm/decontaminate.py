@@ -102,8 +102,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     words. A null or empty text has no words; a null item text has no windows; windows that
     several items share count for each; repeated rows of docs are judged each; other columns are
     not read; an empty benchmark marks nothing. The benchmark is the stated query set: its windows
-    stream to the driver and are searched in blocks of at most `block_windows`, so what is
-    broadcast at once is bounded however large the benchmark.
+    stream to the driver and are searched in tables of at most `block_windows` each. All tables are
+    held by the driver and broadcast in one job, so together they grow with the benchmark.
     """
     spark = docs.sparkSession
     ship(spark)
