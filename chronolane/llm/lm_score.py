@@ -1,15 +1,15 @@
 """Language-model scores by prediction by partial matching, pretrained on the corpus.
 
-The model is a trie of byte contexts up to `order` bytes. All training texts are counted; the trie
-holds the `contexts` most frequent contexts (every suffix and prefix of one is at least as
-frequent, so it is closed under both) and each knows the counts of the bytes that follow. A symbol
-that a context has not seen escapes to the next shorter one, with probability d / 2n for n occurrences
-of d distinct symbols (each seen symbol gives up half an occurrence), where symbols that longer
-contexts have seen are excluded; below the empty context all remaining bytes are equally likely. Because exclusion depends on the
-context alone, each context's whole distribution is worked out once.
-
-The trie's size is a parameter of the model and bounds what is broadcast; the corpus counts behind
-it and the word counts grow with the input and stay distributed.
+The model is a trie of byte contexts up to `order` bytes: all contexts of the training texts, each with
+the counts of the bytes that follow. A symbol that a context has not seen escapes to the next shorter
+one, with probability d / 2n for n occurrences of d distinct symbols (each seen symbol gives up half an
+occurrence), where symbols that longer contexts have seen are excluded; below the empty context all
+remaining bytes are equally likely. A byte's probability follows from its gram (the `order` bytes before
+it and itself) alone, so it is worked out once for each distinct gram, from counts of the grams that end
+in the same bytes.
+
+Grams, their probabilities and word counts grow with the input and stay distributed. The most frequent
+grams and words are also broadcast, as a cache; the others are joined.
 """
 
 from __future__ import annotations
@@ -36,39 +36,161 @@ def model_text(text: bytes) -> tuple[list[bytes], bytes]:
 
 
 def _count(rows: DataFrame, order: int, flush: int = 4_000_000) -> DataFrame:
-    """word or gram (order context bytes and the byte after them), n; summed within tasks."""
+    """word or gram (order context bytes and the byte after them), n in training rows, and uses in all rows; summed within tasks.
+
+    rows: text, held. Words of held rows are left out; their grams have n = 0 if no training row has them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[bytes] = Counter()
-        held: list[np.ndarray] = []
+        parts: dict[bool, list[np.ndarray]] = {False: [], True: []}
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            grams, n = np.unique(np.concatenate(held) if held else np.empty(0, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(grams), pa.binary()), pa.array(grams), pa.array(n.astype(np.int64))], names=["word", "gram", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], names=["word", "gram", "n"])
+            for is_held, some in parts.items():
+                grams, uses = np.unique(np.concatenate(some) if some else np.empty(0, np.int64), return_counts=True)
+                n = np.zeros_like(uses) if is_held else uses
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(grams), pa.binary()), pa.array(grams), pa.array(n.astype(np.int64)), pa.array(uses.astype(np.int64))], names=["word", "gram", "n", "uses"])
+            k = pa.array(list(words.values()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), k, k], names=["word", "gram", "n", "uses"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text, is_held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ws, line = model_text(text)
-                words.update(ws)
-                words[bytes([END])] += 1
-                data = np.frombuffer(bytes([END]) * order + line, dtype=np.uint8).astype(np.int64)
-                gram = np.zeros(len(line), dtype=np.int64)
-                for k in range(order + 1):
-                    gram = (gram << 8) | data[k : k + len(line)]
-                held.append(gram)
+                if not is_held:
+                    words.update(ws)
+                    words[bytes([END])] += 1
+                parts[is_held].append(_grams(line, order))
                 size += len(line)
                 if size >= flush:
                     yield from out()
-                    words, held, size = Counter(), [], 0
+                    words, parts, size = Counter(), {False: [], True: []}, 0
         yield from out()
 
-    return rows.mapInArrow(run, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "word binary, gram long, n long, uses long").groupBy("word", "gram").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses"))
+
+
+def _grams(line: bytes, order: int) -> np.ndarray:
+    """For each byte of line: the order bytes before it, padded with END, and itself."""
+    data = np.frombuffer(bytes([END]) * order + line, dtype=np.uint8).astype(np.int64)
+    gram = np.zeros(len(line), dtype=np.int64)
+    for k in range(order + 1):
+        gram = (gram << 8) | data[k : k + len(line)]
+    return gram
+
+
+def gram_logs(gram: np.ndarray, n: np.ndarray, order: int, shared: list[np.ndarray]) -> np.ndarray:
+    """log10 probability of each distinct gram. shared[k]: the corpus counts of the grams of k context bytes.
+
+    The grams must be all that end in the same len(shared) context bytes and a symbol, for each such ending that occurs.
+    """
+    low = len(shared)
+    ids, counts = [gram], [n.astype(np.float64)]  # by length of context, from order down
+    up: list[np.ndarray] = []  # where each gram's next shorter one is
+    for k in range(order - 1, -1, -1):
+        short, inverse = np.unique(ids[-1] & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        counts.append(shared[k][short] if k < low else np.bincount(inverse, counts[-1], len(short)))
+        ids.append(short)
+        up.append(inverse)
+    at, log, out, done = np.arange(len(gram)), np.zeros(len(gram)), np.zeros(len(gram)), np.zeros(len(gram), dtype=bool)
+    gone_n, gone_d = np.zeros(len(gram)), np.zeros(len(gram))
+    for step, k in enumerate(range(order, -1, -1)):
+        context, inverse = np.unique(ids[step] >> 8, return_inverse=True)
+        if k < low:
+            cells = shared[k].reshape(-1, 256)[context]
+            total, kinds = cells.sum(1), (cells > 0).sum(1)
+        else:
+            total, kinds = np.bincount(inverse, counts[step], len(context)), np.bincount(inverse, counts[step] > 0, len(context))
+        mine = inverse[at]
+        left, d, m, c = 256 - gone_d, kinds[mine] - gone_d, total[mine] - gone_n, counts[step][at]
+        half = np.where(d < left, 0.5, 0.0)  # nothing to escape to once every byte is seen
+        hit = ~done & (c > 0)
+        out[hit] = log[hit] + np.log10((c[hit] - half[hit]) / m[hit])
+        done |= hit
+        leaves = ~done & (d > 0) & (half > 0)
+        log[leaves] += np.log10(half[leaves] * d[leaves] / m[leaves])
+        if k:  # what the symbols seen here hold in the next shorter context
+            gone_d = kinds[mine].astype(np.float64)
+            if k < low:
+                held = ((cells > 0) * shared[k - 1].reshape(-1, 256)[context & ((1 << 8 * (k - 1)) - 1)]).sum(1)
+            else:
+                held = np.bincount(inverse, np.where(counts[step] > 0, counts[step + 1][up[step]], 0), len(context))
+            gone_n = held[mine]
+            at = up[step][at]
+        else:
+            out[~done] = log[~done] - np.log10(np.maximum(256 - kinds[mine], 1))[~done]
+    return out
+
+
+def _logs(grams: DataFrame, order: int) -> DataFrame:
+    """gram, uses, log of each gram. Grams meet by their last two context bytes; counts of shorter contexts are at most 65,536 and broadcast."""
+    low = min(2, order)
+    shared = []
+    for k in range(low):
+        cells = np.zeros(256 ** (k + 1))
+        for r in grams.groupBy(F.col("gram").bitwiseAND(F.lit(256 ** (k + 1) - 1)).alias("g")).agg(F.sum("n").alias("n")).collect():
+            cells[r.g] = r.n
+        shared.append(cells)
+    sent = grams.sparkSession.sparkContext.broadcast(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = [b for b in batches if b.num_rows]
+        if not some:
+            return
+        table = pa.Table.from_batches(some)
+        log = gram_logs(table["gram"].to_numpy(), table["n"].to_numpy(), order, sent.value)
+        yield from pa.Table.from_arrays([table["gram"], table["uses"], pa.array(log)], names=["gram", "uses", "log"]).to_batches(max_chunksize=100_000)
+
+    ending = F.shiftright("gram", 8).bitwiseAND(F.lit(256**low - 1))
+    return grams.select("gram", "n", "uses").repartition(ending).mapInArrow(run, "gram long, uses long, log double")
+
+
+class Cache:
+    """Logs of grams by a table with one place for each hash; later grams take it from earlier ones, which are searched."""
+
+    def __init__(self, gram: np.ndarray, log: np.ndarray) -> None:
+        self.bits = max(4, len(gram).bit_length())
+        self.keys, self.logs = np.full(1 << self.bits, -1, dtype=np.int64), np.zeros(1 << self.bits)
+        place = self._place(gram)
+        self.keys[place], self.logs[place] = gram, log
+        out = self.keys[place] != gram
+        order = np.argsort(gram[out])
+        self.more, self.more_logs = gram[out][order], log[out][order]
+
+    def _place(self, gram: np.ndarray) -> np.ndarray:
+        return ((gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log (0 where unknown), and the positions of unknown grams."""
+        place = self._place(gram)
+        log = self.logs[place]
+        miss = np.flatnonzero(self.keys[place] != gram)
+        if len(miss) == 0:
+            return log, miss
+        log[miss] = 0.0
+        if len(self.more):
+            at = np.minimum(np.searchsorted(self.more, gram[miss]), len(self.more) - 1)
+            hit = self.more[at] == gram[miss]
+            log[miss[hit]] = self.more_logs[at[hit]]
+            miss = miss[~hit]
+        return log, miss
+
+
+def _frequent(logs: DataFrame, most: int) -> Cache:
+    """The most used grams, as many whole steps of use (an eighth of a doubling each) as `most` allows."""
+    step = F.floor(F.log2("uses") * 8).cast("int")
+    total, least = 0, None
+    for r in logs.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("step").desc()).collect():
+        total += r.n
+        if total > most:
+            break
+        least = r.step
+    table = logs.filter(step >= (least if least is not None else 1 << 30)).toArrow().sort_by("uses")
+    return Cache(table["gram"].to_numpy(), table["log"].to_numpy())
 
 
 class Trie:
-    """State machine over byte contexts: log10 probabilities and successors for each context and byte."""
+    """The same model in one place, for few contexts: log10 probabilities and successors for each context and byte. Tests compare with it."""
 
     def __init__(self, rows: list[tuple[int, int, int, int]], order: int) -> None:
         """rows: (context length, context, byte, count); contexts of length 0 first."""
@@ -139,30 +261,25 @@ class Trie:
         return total
 
 
-def _trie(grams: DataFrame, order: int, contexts: int) -> Trie:
-    parts = F.array(*(F.struct(F.lit(k).alias("k"), (F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * k) - 1))).alias("context")) for k in range(order + 1)))
-    each = grams.select(F.explode(parts).alias("c"), F.col("gram").bitwiseAND(F.lit(255)).cast("int").alias("b"), "n").select("c.k", "c.context", "b", "n")
-    top = each.groupBy("k", "context").agg(F.sum("n").alias("total")).orderBy(F.col("total").desc(), "k", "context").limit(contexts).select("k", "context")
-    rows = each.join(F.broadcast(durable(top)), ["k", "context"]).groupBy("k", "context", "b").agg(F.sum("n").alias("n"))
-    table = rows.toPandas()
-    return Trie(list(zip(*(table[c].tolist() for c in ("k", "context", "b", "n")), strict=True)), order)
-
+def _score(rows: DataFrame, order: int, frequent: Broadcast, common: Broadcast) -> DataFrame:
+    """A row for each text, with its rarer words and grams left open, and a row for each of those."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64())])
 
-def _score(rows: DataFrame, trie: Broadcast, common: Broadcast) -> DataFrame:
-    """A row for each text, with its rarer words left open, and a row for each of those words."""
-    names = ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "word", "n"]
+    def batch_of(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        k = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(k, f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = trie.value, common.value
+        cache, known = frequent.value, common.value
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
-                lines, tokens, hits, bases = [], [], [], []
+                tokens, hits, bases, scores = [], [], [], []
                 row_ids = part.column(0).to_pylist()
                 rare_row, rare_word, rare_n = [], [], []
+                open_row, open_gram, open_n = [], [], []
                 for row, text in zip(row_ids, part.column(2).to_pylist(), strict=True):
                     words, line = model_text(text)
-                    lines.append(line)
                     tokens.append(len(words) + 1)
                     n_hits, total = 0, 0.0
                     counted = Counter(words)
@@ -178,15 +295,24 @@ def _score(rows: DataFrame, trie: Broadcast, common: Broadcast) -> DataFrame:
                             n_hits += n
                     hits.append(n_hits)
                     bases.append(total)
-                scores = model.score(lines)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(bases, pa.float64()), pa.array(scores), pa.nulls(len(lines), pa.binary()), pa.nulls(len(lines), pa.int64())], names=names)
-                k = len(rare_row)
-                yield pa.RecordBatch.from_arrays([pa.array(rare_row, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.array(rare_word, pa.binary()), pa.array(rare_n, pa.int64())], names=names)
+                    grams = _grams(line, order)
+                    log, miss = cache.find(grams)
+                    scores.append(float(log.sum()))
+                    if len(miss):
+                        some, n_some = np.unique(grams[miss], return_counts=True)
+                        open_row.append(np.full(len(some), row, dtype=np.int64))
+                        open_gram.append(some)
+                        open_n.append(n_some.astype(np.int64))
+                yield batch_of({"row": part.column(0), "doc_id": part.column(1), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(hits, pa.int64()), "base_score": pa.array(bases, pa.float64()), "score": pa.array(scores, pa.float64())})
+                if rare_row:
+                    yield batch_of({"row": pa.array(rare_row, pa.int64()), "word": pa.array(rare_word, pa.binary()), "n": pa.array(rare_n, pa.int64())})
+                if open_row:
+                    yield batch_of({"row": pa.array(np.concatenate(open_row)), "gram": pa.array(np.concatenate(open_gram)), "n": pa.array(np.concatenate(open_n))})
 
-    return rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, word binary, n long")
+    return rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, word binary, gram long, n long")
 
 
-def lm_scores(docs: DataFrame, order: int = 5, contexts: int = 32768, common_words: int = 65536, folds: int = 5, held_fold: int = 1) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 5, common_grams: int = 1 << 19, common_words: int = 65536, folds: int = 5, held_fold: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     The models learn from rows whose crc32(doc_id) modulo folds is not held_fold. Texts are
@@ -195,22 +321,25 @@ def lm_scores(docs: DataFrame, order: int = 5, contexts: int = 32768, common_wor
     base_score is the smoothed unigram model's. Null and empty texts are the end alone; repeated
     rows are scored each; a null doc_id counts as the empty id; other columns are ignored; an
     empty table gives an empty one; without training rows every byte is equally likely.
-    common_words of the words are looked up in place, the others by a join.
+    common_words of the words and common_grams of the grams are looked up in place, the others by a
+    join; the result does not depend on either.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     held = id_fold("doc_id", folds) == held_fold
-    counts = durable(_count(rows.filter(~held).select("text"), order))
+    counts = durable(_count(rows.select("text", held.alias("held")), order))
     words = counts.filter("word is not null").select("word", F.col("n").alias("c"))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     below = n + 0.5 * (v + 1)
-    trie = spark.sparkContext.broadcast(_trie(counts.filter("gram is not null").select("gram", "n"), order, contexts))
-    top = words.orderBy(F.col("c").desc(), "word").limit(common_words).toPandas()
-    common = spark.sparkContext.broadcast({bytes(w): float(np.log10((c + 0.5) / below)) for w, c in zip(top["word"], top["c"], strict=True)})
-    scored = durable(_score(rows, trie, common))
+    logs = durable(_logs(counts.filter("gram is not null"), order))
+    frequent = spark.sparkContext.broadcast(_frequent(logs, common_grams))
+    top = words.orderBy(F.col("c").desc(), "word").limit(common_words).toArrow()
+    common = spark.sparkContext.broadcast({bytes(w): float(np.log10((c + 0.5) / below)) for w, c in zip(top["word"].to_pylist(), top["c"].to_pylist(), strict=True)})
+    scored = durable(_score(rows, order, frequent, common))
     rare = scored.filter("word is not null").select("row", "word", "n").join(words, "word", "left")
     log = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(below))
     sums = rare.groupBy("row").agg(F.sum(F.col("n") * log).alias("more_base"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"))
-    out = scored.filter("n_tokens is not null").drop("word", "n").join(sums, "row", "left")
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score")
+    more = scored.filter("gram is not null").select("row", "gram", "n").join(logs, "gram").groupBy("row").agg(F.sum(F.col("n") * F.col("log")).alias("more_score"))
+    out = scored.filter("n_tokens is not null").drop("word", "gram", "n").join(sums, "row", "left").join(more, "row", "left")
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))

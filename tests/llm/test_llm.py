@@ -171,6 +171,21 @@ def test_trie_distributions_sum_to_one_and_match_direct_escapes():
     assert abs(trie.score([line], segment=4)[0] - want) < 1e-3
 
 
+@pytest.mark.parametrize(("order", "common_grams"), [(5, 1 << 20), (5, 2000), (3, 0), (1, 50)])
+def test_language_model_holds_every_context(spark, texts, order, common_grams):
+    some = dict(sorted(texts.items())[:60]) | {i + 10**6: t for i, t in EDGE}
+    counts = Counter()
+    for i, t in some.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            line = b"\xff" * order + lm_score.model_text((t or "").encode())[1]
+            counts.update((k, line[j - k : j], line[j]) for j in range(order, len(line)) for k in range(order + 1))
+    trie = lm_score.Trie([(k, int.from_bytes(c, "big"), b, n) for (k, c, b), n in sorted(counts.items())], order)
+    assert order < 5 or len(trie.ids) > 32768
+    want = dict(zip(some, trie.score([lm_score.model_text((t or "").encode())[1] for t in some.values()]), strict=True))
+    rows = lm_score.lm_scores(spark.createDataFrame(list(some.items()), "doc_id long, text string"), order=order, common_grams=common_grams).collect()
+    assert len(rows) == len(some) and all(abs(r.score - want[r.doc_id]) < 1e-4 * max(1, abs(want[r.doc_id])) for r in rows)
+
+
 def brute_components(texts, percent=80):
     sets = {}
     for i, t in texts.items():
