@@ -153,7 +153,24 @@ def bootstrap_rate(df: DataFrame, key: str, y: str, replicates: int) -> DataFram
     return df.agg(F.round(F.avg(y), 6).alias("rate")).crossJoin(ci)
 
 
-def nearest_rank(c: str, q: float) -> Column:
-    """The element at round(q (n - 1)) of the sorted values."""
-    a = F.sort_array(F.collect_list(c))
-    return F.get(a, F.round(F.lit(q) * (F.size(a) - 1)).cast("int"))
+def nearest_ranks(df: DataFrame, by: str, c: str, shares: dict[str, float], buckets: int = 256) -> DataFrame:
+    """by and, for each name and q of shares, the element at round(q (n - 1)) of the sorted known values.
+
+    Distinct values are counted in buckets of about equal size; only the bucket that holds the rank is put
+    in order, so no group passes through one task. The bounds of the buckets do not change the result.
+    """
+    cells = df.filter(F.col(c).isNotNull()).groupBy(F.col(by).alias("__k"), F.col(c).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    bounds = cells.groupBy("__k").agg(F.percentile_approx("__v", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("__bounds"))
+    dealt = cells.join(bounds.withColumnRenamed("__k", "__g"), F.col("__k").eqNullSafe(F.col("__g")))
+    dealt = dealt.select("__k", "__v", "__n", F.size(F.filter("__bounds", lambda b: b < F.col("__v"))).alias("__b"))
+    sized = dealt.groupBy("__k", "__b").agg(F.sum("__n").alias("__m"))
+    total = F.sum("__m").over(W.partitionBy("__k"))
+    before = F.coalesce(F.sum("__m").over(W.partitionBy("__k").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    asked = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.round(F.lit(q) * (F.col("__total") - 1)).cast("long").alias("rank")) for n, q in shares.items())))
+    wanted = sized.withColumns({"__total": total, "__before": before}).withColumn("__q", asked).filter((F.col("__q.rank") >= F.col("__before")) & (F.col("__q.rank") < F.col("__before") + F.col("__m")))
+    wanted = wanted.select(F.col("__k").alias("__g"), F.col("__b").alias("__c"), "__before", "__q.name", "__q.rank")
+    near = dealt.join(wanted, F.col("__k").eqNullSafe(F.col("__g")) & (F.col("__b") == F.col("__c")))
+    upto = F.col("__before") + F.sum("__n").over(W.partitionBy("__k", "name").orderBy("__v").rowsBetween(W.unboundedPreceding, 0))
+    found = near.withColumn("__upto", upto).filter(F.col("__upto") > F.col("rank")).groupBy("__k").agg(*(F.min(F.when(F.col("name") == n, F.col("__v"))).alias(n) for n in shares))
+    groups = df.select(by).distinct()
+    return groups.join(found, groups[by].eqNullSafe(found["__k"]), "left").select(by, *shares)

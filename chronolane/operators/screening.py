@@ -6,6 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def screen(df: DataFrame, columns: list[str], near_zero: float = 0.01, missing: float = 0.7) -> DataFrame:
@@ -93,6 +94,9 @@ def impute_median(df: DataFrame, train: DataFrame, columns: list[str]) -> DataFr
 
 def sequences(df: DataFrame, key: str, order: list[str], value: str, size: int) -> DataFrame:
     """values, mask, n_events: the first `size` ordered values of each key, padded with zeros."""
-    rows = df.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("__v")))), 1, size).alias("s"), F.count(F.lit(1)).alias("n_events"))
+    ranked = df.select(F.col(key).alias("__k"), *order, F.col(value).alias("__v")).withColumn("__r", F.row_number().over(W.partitionBy("__k").orderBy(*order, "__v"))).filter(F.col("__r") <= size)
+    first = ranked.groupBy("__k").agg(F.array_sort(F.collect_list(F.struct("__r", "__v"))).alias("s"))
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_events"))
+    rows = counts.join(first, counts[key].eqNullSafe(first["__k"]))
     pad = lambda x: F.array_repeat(x, size - F.size("s"))
     return rows.select(key, "n_events", F.concat(F.transform("s", lambda s: F.coalesce(s["__v"].cast("double"), F.lit(0.0))), pad(F.lit(0.0))).alias("values"), F.concat(F.transform("s", lambda s: F.lit(1)), pad(F.lit(0))).alias("mask"))

@@ -646,9 +646,9 @@ def t05(spark, d):
 
 @query("t06_nearest_rank_percentiles", "WITH r AS (SELECT event_type, list_sort(list(value)) AS a FROM events GROUP BY 1) SELECT event_type, a[round(0.5::DOUBLE * (len(a) - 1))::INT + 1] AS p50, a[round(0.95::DOUBLE * (len(a) - 1))::INT + 1] AS p95 FROM r")
 def t06(spark, d):
-    from chronolane.operators.metrics import nearest_rank
+    from chronolane.operators.metrics import nearest_ranks
 
-    return t(spark, d, "events").groupBy("event_type").agg(nearest_rank("value", 0.5).alias("p50"), nearest_rank("value", 0.95).alias("p95"))
+    return nearest_ranks(t(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query("u01_event_union", "SELECT kind, count(*) AS n, count(amount) AS n_amount, count(item) AS n_item FROM (SELECT 'order' AS kind, o_totalprice AS amount, NULL::INT AS item FROM orders UNION ALL SELECT 'line', NULL, l_linenumber FROM lineitem) GROUP BY 1")

@@ -151,3 +151,15 @@ def test_grain_report(spark):
     df = spark.createDataFrame([(1,), (1,), (2,)], "k int")
     row = quality.grain(df, ["k"], spark.createDataFrame([(1,)], "k int")).first()
     assert (row.n_keys, row.n_repeated, row.n_outside) == (2, 1, 1)
+
+
+def test_nearest_ranks_and_sequences_gather_no_group(spark):
+    rows = [("a", float(i * 37 % 1001), i) for i in range(1001)] + [("b", 5.0, i) for i in range(50)] + [(None, 1.0, 1), (None, 2.0, 2), ("c", None, 1)]
+    df = spark.createDataFrame(rows, "k string, v double, i int")
+    ranks = metrics.nearest_ranks(df, "k", "v", {"p50": 0.5, "p95": 0.95}, buckets=8)
+    assert {tuple(r) for r in ranks.collect()} == {("a", 500.0, 950.0), ("b", 5.0, 5.0), (None, 2.0, 2.0), ("c", None, None)}
+    assert "collect_list" not in ranks._jdf.queryExecution().toString()
+    seq = screening.sequences(df, "k", ["i"], "v", 3)
+    got = {r.k: (r.n_events, r["values"], r.mask) for r in seq.collect()}
+    assert got == {"a": (1001, [0.0, 37.0, 74.0], [1, 1, 1]), "b": (50, [5.0] * 3, [1, 1, 1]), None: (2, [1.0, 2.0, 0.0], [1, 1, 0]), "c": (1, [0.0] * 3, [1, 0, 0])}
+    assert "row_number" in seq._jdf.queryExecution().toString()
