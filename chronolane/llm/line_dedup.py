@@ -66,3 +66,25 @@ def line_dedup(docs: DataFrame, window: int = 3, divisor: int = 4, min_lines: in
     text = F.when(has, F.array_join(F.transform(kept, lambda c: c["body"]), "\n")).otherwise(F.coalesce(F.col("text"), F.lit("")))
     n_removed = F.when(has, F.aggregate(removed, F.lit(0).cast("long"), lambda a, c: a + c["n_lines"])).otherwise(F.lit(0).cast("long"))
     return out.select("doc_id", F.size("lines").cast("long").alias("n_lines"), n_removed.alias("n_removed_lines"), F.when(has, F.size("gone")).otherwise(0).cast("long").alias("n_removed_chunks"), text.alias("text"))
+
+
+def line_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, n_lines, n_removed_lines, n_removed_runs, text: docs without later copies of runs of two or more lines.
+
+    A run repeats exactly where each two neighbouring lines of it do, so pairs of lines are compared,
+    at every position and wherever the run begins, by their SHA-256. The first of equal pairs, by (doc_id, position), stays; the lines of the others go. Ids, nulls and empty texts count
+    as in line_dedup.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    split = _once(rows.filter("doc_id is not null"), lines=F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)).filter(F.size("lines") > 1)
+    pairs = F.zip_with(F.slice("lines", 1, F.size("lines") - 1), F.slice("lines", 2, F.size("lines") - 1), lambda a, b: F.concat_ws("\n", a, b))
+    keyed = durable(split.select("doc_id", F.posexplode(pairs).alias("at", "body")).select("doc_id", "at", F.unhex(F.sha2("body", 256)).alias("h")))
+    first = keyed.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    later = keyed.join(first, "h").filter(F.struct("doc_id", "at") != F.col("first"))
+    gone = later.groupBy("doc_id").agg(F.collect_set("at").alias("at")).select("doc_id", F.array_union("at", F.transform("at", lambda i: i + 1)).alias("gone"))
+    out = _once(rows.join(gone, "doc_id", "left"), lines=F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get("lines", i))
+    starts = F.size(F.array_except("gone", F.transform("gone", lambda i: i + 1)))
+    has = F.col("gone").isNotNull()
+    text = F.when(has, F.array_join(kept, "\n")).otherwise(F.coalesce(F.col("text"), F.lit("")))
+    return out.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.when(has, F.size("gone")).otherwise(0).cast("long").alias("n_removed_lines"), F.when(has, starts).otherwise(0).cast("long").alias("n_removed_runs"), text.alias("text"))

@@ -32,6 +32,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_runs(table(spark, sf_dir, "documents"))
+    return out.withColumn("kept_sha256", F.sha2("text", 256)).drop("text")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -62,7 +67,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_exact_dedup, op3_line_dedup, op4_packing, op5_lm_score, op6_ngram_join, op7_quality, op8_decontamination, op9_toxicity, op10_substring_dedup)
+    for f in (op1_token_counts, op2_exact_dedup, op3_line_dedup, op4_packing, op5_lm_score, op6_ngram_join, op7_quality, op8_decontamination, op9_toxicity, op10_substring_dedup, op3_line_runs)
 }
 
 ORACLES: dict[str, str] = {

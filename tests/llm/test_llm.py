@@ -92,6 +92,25 @@ def test_line_chunks_that_repeat_go_once(spark):
     assert got[1].text == block and got[1].n_removed_lines == 0 and 20 <= got[2].n_removed_lines <= 40 and got[3].text == ""
 
 
+def test_line_runs_go_wherever_they_begin(spark):
+    rng = np.random.default_rng(5)
+    passage = [f"passage {i}" for i in range(7)]
+    source = {1: "\n".join(passage), 2: "\n".join(["own a", *passage[2:5], "own b"]), 3: "x\ny", 4: "q\nx\ny", 5: None, 6: "", 7: "passage 0", 8: "z\nz\nz\nz"}
+    source |= {i: "\n".join(rng.choice(list("abcdefgh"), int(rng.integers(1, 30)))) for i in range(10, 40)}
+    seen, want = set(), {}
+    for i, t in source.items():
+        lines, gone = (t or "").split("\n"), set()
+        for k in range(len(lines) - 1):
+            if (lines[k], lines[k + 1]) in seen:
+                gone |= {k, k + 1}
+            seen.add((lines[k], lines[k + 1]))
+        want[i] = (len(lines), len(gone), sum(k - 1 not in gone for k in gone), "\n".join(x for k, x in enumerate(lines) if k not in gone))
+    assert want[2] == (5, 3, 1, "own a\nown b") and want[4][1] == 2
+    rows = line_dedup.line_runs(spark.createDataFrame([*source.items(), (None, source[1])], "doc_id long, text string")).collect()
+    got = {r.doc_id: (r.n_lines, r.n_removed_lines, r.n_removed_runs, r.text) for r in rows}
+    assert got.pop(None) == (7, 0, 0, source[1]) and got == want
+
+
 def test_packing_is_a_partition_of_the_ids(edge, tokenizer):
     rows = packing.pack(edge, queries.tokenizer_path(), group_size=4).collect()
     ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t in EDGE}
