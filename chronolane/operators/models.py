@@ -12,7 +12,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolane.operators.metrics import auroc, hash_uniform
+from chronolane.operators.metrics import auroc, hash_uniform, regression
 
 
 def class_weights(train: DataFrame, label: str, name: str = "weight") -> DataFrame:
@@ -95,6 +95,17 @@ def two_stage_duration(train: DataFrame, columns: list[str], duration: str, q: f
     return cut, long, short
 
 
+def evaluate_duration(fitted, test: DataFrame, columns: list[str], duration: str) -> DataFrame:
+    """subset, n, accuracy, auroc of the classifier; mae, rmse, r2 of the regressor on the stays that are short, and on those taken as short."""
+    cut, long, short = fitted
+    p = predict(long, test.filter(F.col(duration).isNotNull()), columns, "p_long")
+    g = short.transform(p).select(F.col(duration).cast("double").alias("truth"), F.col("prediction").alias("guess"), F.round("p_long", 6).alias("p_long"), (F.col(duration) > cut).cast("int").alias("is_long"))
+    taken = F.col("p_long") >= 0.5
+    x = g.withColumn("subset", F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("is_long") == 0, "actual_short"), F.when(~taken, "predicted_short")))))
+    base = x.groupBy("subset").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((taken.cast("int") == F.col("is_long")).cast("int")), 6).alias("accuracy"))
+    return base.join(auroc(x, "p_long", "is_long", ["subset"]), "subset", "left").join(regression(x.filter("subset <> 'all'"), "truth", "guess", ["subset"]), "subset", "left")
+
+
 def project(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     """df with embedding array<double>: a fitted linear projection to k dimensions."""
     stages = [VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), PCA(k=k, inputCol="scaled", outputCol="pca")]

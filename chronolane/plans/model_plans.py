@@ -387,6 +387,13 @@ def m04(spark, d):
     return x.filter("split = 'test'").crossJoin(F.broadcast(cut)).groupBy((F.col("l_quantity") > F.col("cut")).cast("int").alias("is_long")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("m04_two_stage_duration")
+def m04_two_stage(spark, d):
+    x, columns = _train(spark, d), ["l_extendedprice", "l_discount"]
+    fitted = M.two_stage_duration(x.filter("split = 'train'"), columns, "l_quantity")
+    return M.evaluate_duration(fitted, x.filter("split = 'test'"), columns, "l_quantity")
+
+
 @query("m06_group_calibration")
 def m06(spark, d):
     x = _train(spark, d)

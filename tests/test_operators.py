@@ -163,3 +163,12 @@ def test_nearest_ranks_and_sequences_gather_no_group(spark):
     got = {r.k: (r.n_events, r["values"], r.mask) for r in seq.collect()}
     assert got == {"a": (1001, [0.0, 37.0, 74.0], [1, 1, 1]), "b": (50, [5.0] * 3, [1, 1, 1]), None: (2, [1.0, 2.0, 0.0], [1, 1, 0]), "c": (1, [0.0] * 3, [1, 0, 0])}
     assert "row_number" in seq._jdf.queryExecution().toString()
+
+
+def test_two_stage_duration_is_evaluated_on_actual_and_predicted_short(spark):
+    df = spark.createDataFrame([(float(i), float(i)) for i in range(200)], "x double, days double")
+    fitted = models.two_stage_duration(df, ["x"], "days")
+    assert fitted[0] == 149.25
+    got = {r.subset: r for r in models.evaluate_duration(fitted, df, ["x"], "days").collect()}
+    assert got["all"].n == 200 and got["all"].accuracy > 0.98 and got["all"].auroc > 0.98 and got["all"].mae is None
+    assert got["actual_short"].n == 150 and abs(got["predicted_short"].n - 150) <= 3 and got["actual_short"].r2 > 0.9 and got["predicted_short"].mae < 15
