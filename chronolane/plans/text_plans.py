@@ -82,6 +82,33 @@ def r06(spark, d):
     return R.postings(docs, "doc", "text", 1.0).join(F.broadcast(terms), "term", "left_semi").groupBy("doc").agg(F.count(F.lit(1)).alias("n_terms"))
 
 
+#: The same three over all documents, in every language, and all benchmark rows.
+_WHOLE = _INDEX.replace(" WHERE lang = 'en'", "").replace(" WHERE item_id < 20", "")
+
+
+def _whole(spark, d):
+    q = t(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(R.tokens("text"))).alias("term"))
+    return q, R.postings(t(spark, d, "documents").withColumnRenamed("doc_id", "doc"), "doc", "text", 1.0)
+
+
+@query("r05_ranked_retrieval_whole", f"WITH {_WHOLE}, h AS (SELECT query, doc, count(*)::DOUBLE AS score FROM qt JOIN dt USING (term) GROUP BY ALL) SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)::INT AS rank FROM h WHERE score > 3 QUALIFY rank <= 5")
+def r05_whole(spark, d):
+    q, postings = _whole(spark, d)
+    return R.retrieve(q, postings, 5, floor=3)
+
+
+@query("j13_concept_documents_whole", f"WITH {_WHOLE}, {_ALIAS} SELECT DISTINCT concept, doc FROM dt JOIN al ON term = alias")
+def j13_whole(spark, d):
+    al = spark.createDataFrame(ALIASES, "term string, concept string")
+    return _whole(spark, d)[1].join(F.broadcast(al), "term").select("concept", "doc").dropDuplicates()
+
+
+@query("r06_topical_relevance_whole", f"WITH {_WHOLE} SELECT doc, count(*) AS n_terms FROM dt WHERE term IN ('thanedble', 'retion', 'idiot') GROUP BY 1")
+def r06_whole(spark, d):
+    terms = spark.createDataFrame([("thanedble",), ("retion",), ("idiot",)], "term string")
+    return _whole(spark, d)[1].join(F.broadcast(terms), "term", "left_semi").groupBy("doc").agg(F.count(F.lit(1)).alias("n_terms"))
+
+
 @query("r07_tf_idf_ranking", f"""WITH d0 AS (SELECT item_id AS doc, unnest({_TOK.format('text')}) AS term FROM benchmark), q0 AS (SELECT conv_id AS query, unnest({_TOK.format('text')}) AS term FROM conversations WHERE role = 'user'),
     tf AS (SELECT doc, term, count(*) AS tf FROM d0 GROUP BY ALL), idf AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(DISTINCT doc) FROM d0)) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM tf GROUP BY 1),
     dv AS (SELECT doc, term, tf * idf AS w FROM tf JOIN idf USING (term)), qv AS (SELECT query, term, count(*) * any_value(idf) AS w FROM q0 JOIN idf USING (term) GROUP BY ALL),

@@ -1,5 +1,6 @@
 import pytest
 from oracle import connect, same
+from pyspark.sql import functions as F
 
 from chronolane.plans.registry import ORACLES, QUERIES, flagship
 
@@ -24,3 +25,10 @@ def test_query_has_rows(spark, name):
 def test_flagship_keeps_the_episode_grain(spark):
     out = flagship(spark, SF)
     assert out.count() == out.select("o_orderkey").distinct().count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+
+
+def test_whole_tables_are_searched(spark):
+    sf = "/root/testdata/sf0.01"
+    foreign = spark.read.parquet(f"{sf}/documents.parquet").filter("lang <> 'en'").select("doc_id")
+    assert QUERIES["j13_concept_documents_whole"](spark, sf).join(foreign, F.col("doc") == F.col("doc_id"), "left_semi").count() > 0
+    assert QUERIES["r05_ranked_retrieval_whole"](spark, sf).filter("query >= 20").count() > 0
