@@ -123,13 +123,13 @@ def best_cut(scores: np.ndarray, labels: np.ndarray) -> float:
     return float((s[max(0, at - 1)] + s[min(at, len(s) - 1)]) / 2)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.5, most: int = 12_000, most_terms: int = 256, folds: int = 5, held_fold: int = 0) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.5, most: int = 12_000, most_terms: int = 256, folds: int = 5, held_fold: int = 0, scored: DataFrame | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs; labels holds doc_id and toxic (0, 1).
 
     Fits on at most `most` labelled documents, none from the held fold, with at most most_terms
     learned voters. A null text counts as empty; without labels of both classes the stated lexicon
     alone decides; repeated rows are scored each; other columns are not read; an empty table gives
-    an empty one.
+    an empty one. scored: rows to score in the place of docs, which then only fit.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -156,11 +156,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.5, most:
             raw = np.array([w[voters.fire(t)].sum() + w[-1] for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(raw, -40, 40))))], names=["doc_id", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(run, "doc_id long, score double")
+    rows = (docs if scored is None else scored).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(run, "doc_id long, score double")
     return rows.select("doc_id", (id_fold("doc_id", folds) == held_fold).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are not predicted toxic; all columns stay."""
-    bad = toxicity_scores(docs, labels, **options).filter("predicted = 1").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    """The rows of docs that are not predicted toxic; all columns stay. The text alone decides, whatever the id."""
+    key = F.xxhash64(text_bytes())
+    bad = toxicity_scores(docs, labels, scored=docs.select(key.alias("doc_id"), "text"), **options).filter("predicted = 1").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(bad, key == F.col("__id"), "left_anti")

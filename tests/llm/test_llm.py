@@ -310,3 +310,12 @@ def test_pipeline_stages_filter_and_pack(spark, docs, texts):
     assert labels_ok == set(texts) - toxic
     packed = {r.doc_id for r in cp.run(spark, SF).select("doc_id").distinct().collect()}
     assert packed <= labels_ok & (set(texts) - bad) and len(packed) > 0.8 * len(texts)
+
+
+def test_filters_judge_rows_and_not_ids(spark):
+    rows = [(None, "you stupid idiot"), (None, "hello there"), (1, "you stupid idiot"), (1, "good day"), (2, "one two three")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {tuple(r) for r in toxicity.clean_documents(frame, none).collect()} == {rows[1], rows[3], rows[4]}
+    bench = spark.createDataFrame([(1, "stupid idiot")], "item_id long, text string")
+    assert {tuple(r) for r in decontaminate.clean_documents(frame, bench).collect()} == {rows[1], rows[3], rows[4]}
