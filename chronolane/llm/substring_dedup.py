@@ -8,9 +8,9 @@ document holds which phrase where.
 
 * A phrase that occurs twice repeats all its windows: equal suffixes of equal phrases need no
   further comparison, which is what makes the parse of highly repetitive text cheap.
-* The dictionary's remaining phrases are put in corpus order by trigger. Only where a trigger has
-  several phrases can windows of different phrases be equal; the bytes of those phrases are parsed
-  again with longer triggers, and what then is still open is fingerprinted window by window.
+* Only where a trigger has several phrases can windows of different phrases be equal; the bytes of
+  those phrases are parsed again with longer triggers, and what then is still open is fingerprinted
+  window by window. This replaces the suffix arrays of dictionary and parse: no suffix is ordered.
 
 No group is gathered anywhere: every step is a count by a fingerprint, combined before the shuffle.
 """
