@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,27 +28,53 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir. Only a local session, whose executor shares the driver's disk, may leave it unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_own_shared_dir", None)
     if not named:
-        named = getattr(spark, "_own_shared_dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark._own_shared_dir = named
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = spark._own_shared_dir = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     return named
 
 
-def durable(df: DataFrame, spread: bool = False) -> DataFrame:
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def durable(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends here and lost executors cost nothing.
 
-    spread: deal the rows evenly over the shuffle partitions when they are read again, for CPU-bound work on few bytes.
+    The shuffle files that the table replaces are deleted as soon as it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files that the table replaces
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
-    return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) if spread else out
+    out._durable_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete durable tables that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._durable_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def one_of_twins(docs: DataFrame, text_key: Column) -> DataFrame:
+    """docs with one of each set of rows that agree in doc_id and text_key. Only rows that have a twin are moved."""
+    keyed = docs.withColumns({"__i": F.col("doc_id"), "__k": text_key})
+    twins = durable(keyed.groupBy("__i", "__k").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n"))
+    if twins.isEmpty():
+        return docs
+    mine = F.col("__i").eqNullSafe(F.col("__j")) & (F.col("__k") == F.col("__l"))
+    twins = twins.select(F.col("__i").alias("__j"), F.col("__k").alias("__l"))
+    single, several = keyed.join(twins, mine, "left_anti"), keyed.join(twins, mine, "left_semi")
+    return single.unionByName(several.dropDuplicates(["__i", "__k"])).drop("__i", "__k")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

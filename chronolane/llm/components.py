@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolane.llm.common import durable
+from chronolane.llm.common import durable, forget
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,9 +27,11 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.select("a", "b").union(edges.select("b", "a"))
         moves = durable(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("old"), F.least(F.col("m"), rank("a"))["v"].alias("new")))
         left = edges.join(moves.select(F.col("old").alias("a"), F.col("new").alias("a2")), "a").drop("a")
-        edges = left.join(moves.select(F.col("old").alias("b"), F.col("new").alias("b2")), "b").select(F.col("a2").alias("a"), F.col("b2").alias("b"))
-        edges = durable(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        labels = labels.join(moves.select(F.col("old").alias("component"), "new"), "component", "left").select("node", F.coalesce("new", "component").alias("component"))
-        labels = durable(labels)
+        left = left.join(moves.select(F.col("old").alias("b"), F.col("new").alias("b2")), "b").select(F.col("a2").alias("a"), F.col("b2").alias("b"))
+        left = durable(left.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        moved = labels.join(moves.select(F.col("old").alias("component"), "new"), "component", "left").select("node", F.coalesce("new", "component").alias("component"))
+        moved = durable(moved)
+        forget(edges, labels, moves)
+        edges, labels = left, moved
     least = labels.groupBy("component").agg(F.min("node").alias("least"))
     return labels.join(least, "component").select("node", F.col("least").alias("component"))

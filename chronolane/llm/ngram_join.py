@@ -2,12 +2,14 @@
 
 Under any fixed order of shingles two sets with a Jaccard similarity of at least t share one of
 the first n - ceil(t n) + 1 of each. Here rare shingles come first: frequent ones are counted in a
-first pass, the others are ordered by hash. Documents with the same prefix and set size form one
-group with one posting for each prefix shingle; group pairs are filtered by size and then expanded
-to their members, which are verified on their whole sets.
-
-Components are what is asked for, so no bucket is expanded into all pairs: members are first
-compared with the bucket's leaders, and afterwards only what lies in different components is.
+first pass, the others are ordered by hash. Documents with the same prefix and set size are
+collapsed into one group before anything is exploded; a group has one posting for each shingle of
+its prefix. Group pairs are filtered by size and position and then expanded to their members, which
+are verified on their whole sets.
+
+Components are what is asked for, so no bucket is expanded into all pairs: each shingle's groups are
+first compared with leaders; what then still lies in different components is compared with further
+leaders, more in each round and each only once, until every list is exhausted or in one component.
 """
 
 from __future__ import annotations
@@ -20,58 +22,68 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolane.llm.common import durable, ship, text_bytes
+from chronolane.llm.common import durable, forget, one_of_twins, ship, text_bytes
 from chronolane.llm.components import components
+from chronolane.llm.shingles import batch_sets, mix
 
-_WORDS: dict[bytes, int] = {}
-_WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_hashes(text: bytes, size: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; a shorter text is one shingle as a whole."""
-    from xxhash import xxh3_64_intdigest
-
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    if len(_WORDS) > 400_000:
-        _WORDS.clear()
-    ids = list(map(_WORDS.get, words))
-    if None in ids:
-        for i, w in enumerate(words):
-            if ids[i] is None:
-                ids[i] = _WORDS[w] = xxh3_64_intdigest(w)
-    h = np.array(ids, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        if len(h) < size:
-            weights = np.resize(_WEIGHTS, len(h)) + np.arange(len(h), dtype=np.uint64) * np.uint64(2)
-            return _mix((h * weights).sum(keepdims=True) + np.uint64(len(h)))
-        weights = np.resize(_WEIGHTS, size) + np.arange(size, dtype=np.uint64) // np.uint64(5) * np.uint64(2)
-        total = np.zeros(len(h) - size + 1, dtype=np.uint64)
-        for k in range(size):
-            total += h[k : len(h) - size + 1 + k] * weights[k]
-        return np.unique(_mix(total))
+_SET = ["n", "h1", "h2"]
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n + (-percent * n) // 100 + 1 if n else 0
 
 
-def _set_key(s: np.ndarray) -> tuple[int, int]:
-    with np.errstate(over="ignore"):
-        a = _mix(s + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)
-        b = np.bitwise_xor.reduce(_mix(s ^ np.uint64(0xD1B54A32D192ED03)), initial=np.uint64(len(s)))
-    return int(a.view(np.int64)), int(b.view(np.int64))
+def _set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit keys of each set."""
+    a, b = np.zeros(len(sets), dtype=np.uint64), np.zeros(len(sets), dtype=np.uint64)
+    full = np.array([i for i, s in enumerate(sets) if len(s)], dtype=np.int64)
+    if len(full):
+        flat = np.concatenate(sets)
+        begin = np.cumsum([0, *(len(sets[i]) for i in full[:-1])])
+        with np.errstate(over="ignore"):
+            a[full] = np.add.reduceat(mix(flat + np.uint64(0x9E3779B97F4A7C15)), begin)
+            b[full] = np.bitwise_xor.reduceat(mix(flat ^ np.uint64(0xD1B54A32D192ED03)), begin)
+    return a.view(np.int64), b.view(np.int64)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    flat = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def _frequent(rows: DataFrame, size: int, least: int, most: int, flush: int = 8_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles and their counts, at most `most` of them.
+class Weights:
+    """How often frequent shingles occur, by two tables with one place for each hash; others weigh 0.
+
+    Any fixed weights give an order of shingles, so one that finds no place may count as rare.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.bits = max(4, len(keys).bit_length() + 2)
+        self.tables = []
+        for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+            held, weight = np.zeros(1 << self.bits, dtype=np.uint64), np.zeros(1 << self.bits, dtype=np.int64)
+            order = np.argsort(counts, kind="stable")
+            place = self._place(keys[order], factor)
+            held[place], weight[place] = keys[order], counts[order]
+            self.tables.append((factor, held, weight))
+            lost = held[self._place(keys, factor)] != keys
+            keys, counts = keys[lost], counts[lost]
+
+    def _place(self, keys: np.ndarray, factor: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys * np.uint64(factor)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), dtype=np.int64)
+        for factor, held, weight in self.tables:
+            place = self._place(keys, factor)
+            out = np.where(held[place] == keys, weight[place], out)
+        return out
+
+
+def _frequent(rows: DataFrame, size: int, least: int, most: int, flush: int = 4_000_000) -> Weights:
+    """The most frequent shingles, at most `most` of them.
 
     Counts are summed over what each task sees at least twice: enough to order shingles, which is
     all they are for.
@@ -85,9 +97,9 @@ def _frequent(rows: DataFrame, size: int, least: int, most: int, flush: int = 8_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found.append(shingle_hashes(text, size))
-                held += len(found[-1])
+            for _, sets in batch_sets(batch, 0, size):
+                found += sets
+                held += sum(map(len, sets))
                 if held >= flush:
                     yield counted(found)
                     found, held = [], 0
@@ -96,82 +108,68 @@ def _frequent(rows: DataFrame, size: int, least: int, most: int, flush: int = 8_
 
     counts = rows.select("text").mapInArrow(run, "shingle long, n int").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     top = counts.orderBy(F.col("n").desc(), "shingle").limit(most).toPandas()
-    keys = top["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], top["n"].to_numpy(dtype=np.int64)[order]
+    return Weights(top["shingle"].to_numpy(dtype=np.int64).view(np.uint64), top["n"].to_numpy(dtype=np.int64))
 
 
 def _features(rows: DataFrame, frequent: Broadcast, size: int, percent: int) -> DataFrame:
-    """doc_id, n, h1, h2 (the set's key), prefix, p (its key), heat (how frequent its shingles are)."""
+    """doc_id, twin, n, h1, h2 (the set's key), prefix, p (its key), heat (how frequent its shingles are)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = frequent.value
+        weights = frequent.value
         for batch in batches:
-            n, h1, h2, p, heat, prefixes = [], [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_hashes(text, size)
-                n.append(len(s))
-                a, b = _set_key(s)
-                length = prefix_length(len(s), percent)
-                heat.append(0.0)
-                if len(s) and len(keys):
-                    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                    weight = np.where(keys[at] == s, counts[at], 0)
-                    if weight.any():
-                        heat[-1] = float(np.log1p(weight).mean())
-                        s = s[np.argsort(weight, kind="stable")]
-                s = s[:length]
-                h1.append(a)
-                h2.append(b)
-                p.append(_set_key(s)[0])
-                prefixes.append(s.view(np.int64))
-            offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-            values = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(p, pa.int64()), pa.array(heat, pa.float64())], names=["doc_id", "n", "h1", "h2", "prefix", "p", "heat"])
-
-    return rows.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, prefix array<long>, p long, heat double")
-
-
-def _sets(rows: DataFrame, wanted: DataFrame, size: int, bits: int = 22) -> DataFrame:
-    """doc_id, shingles of the wanted (node) rows. A bitmap of fixed size spares the work on most others."""
-    spark = rows.sparkSession
-    slots = wanted.select(F.pmod(F.xxhash64("node"), F.lit(1 << bits)).cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy()
-    flags = np.zeros(1 << bits, dtype=np.uint8)
-    flags[slots] = 1
-    bitmap = spark.sparkContext.broadcast(np.packbits(flags))
+            for begin, sets in batch_sets(batch, 2, size):
+                part = batch.slice(begin, len(sets))
+                sizes = np.array([len(s) for s in sets], dtype=np.int64)
+                weight = weights.of(np.concatenate(sets))
+                prefixes, heat, at = [], np.zeros(len(sets)), 0
+                for i, s in enumerate(sets):
+                    w, at = weight[at : at + len(s)], at + len(s)
+                    length = prefix_length(len(s), percent)
+                    rare = s[w == 0]
+                    if len(rare) < length:
+                        rare = s[np.argsort(w, kind="stable")[:length]]
+                    prefixes.append(rare[:length])
+                    if len(s):
+                        heat[i] = np.log1p(w).mean()
+                h1, h2 = _set_keys(sets)
+                p, _ = _set_keys(prefixes)
+                columns = [part.column(0), part.column(1), *map(pa.array, (sizes, h1, h2)), _lists(prefixes), pa.array(p), pa.array(heat)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "twin", "n", "h1", "h2", "prefix", "p", "heat"])
+
+    return rows.select("doc_id", "twin", "text").mapInArrow(run, "doc_id long, twin long, n long, h1 long, h2 long, prefix array<long>, p long, heat double")
+
+
+def _sets(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """node, shingles for nodes (node, doc_id, n, h1, h2). Rows are chosen by id before anything is hashed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(bitmap.value)
         for batch in batches:
-            slots = batch.column(2).to_numpy()
-            batch = batch.take(pa.array(np.flatnonzero(flags[slots])))
-            for begin in range(0, batch.num_rows, 1000):
-                part = batch.slice(begin, 1000)
-                sets = [shingle_hashes(t, size).view(np.int64) for t in part.column(1).to_pylist()]
-                offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["node", "shingles"])
+            for _, sets in batch_sets(batch, 0, size):
+                h1, h2 = _set_keys(sets)
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([sizes, pa.array(h1), pa.array(h2), _lists(sets)], names=[*_SET, "shingles"])
 
-    marked = rows.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).cast("int"))
-    return marked.mapInArrow(run, "node long, shingles array<long>").join(wanted.select("node").distinct(), "node", "left_semi")
+    ids = nodes.select(F.coalesce("doc_id", F.lit(-1)).alias("id")).distinct()
+    chosen = rows.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "text").join(ids, "id", "left_semi").select("text")
+    found = chosen.mapInArrow(run, "n long, h1 long, h2 long, shingles array<long>")
+    return found.join(nodes.select("node", *_SET), _SET).select("node", "shingles").dropDuplicates(["node"])
 
 
-def _verify(rows: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose whole sets are similar enough."""
-    pairs = durable(pairs.distinct())
-    if pairs.isEmpty():
-        return pairs
-    sets = durable(_sets(rows, pairs.select(F.explode(F.array("a", "b")).alias("node")), size))
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) whose whole sets are similar enough, as a durable table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                both = np.sort(np.concatenate([x, y]))
+                common = int((both[1:] == both[:-1]).sum())
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    full = one.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     return durable(full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
@@ -186,82 +184,113 @@ def _possible(x: str, y: str, percent: int) -> Column:
     return (100 * nx >= percent * ny) & (100 * ny >= percent * nx) & ((100 + percent) * F.least(nx - ax, ny - ay) >= percent * (nx + ny))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, frequent_from: int = 4, frequent_most: int = 1 << 18, rounds: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text, ...).
+def _pairs(found: DataFrame, a: str, b: str, tried: DataFrame) -> DataFrame:
+    """The distinct pairs of found that were not tried before."""
+    pairs = found.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    return durable(pairs.join(tried, ["a", "b"], "left_anti"))
 
-    Two documents link when 100 * |intersection| >= percent * |union| of their shingle sets;
-    component_id is the smallest doc_id that links reach. Null, empty and blank texts have an
-    empty set and link with nothing. doc_id should be unique; rows that repeat one are treated as
-    documents of their own with that id. A null doc_id gives a null component unless a smaller one
-    is reached. Other columns are ignored; an empty table gives an empty one. Shingles are compared
-    by 64-bit hashes. frequent_from and frequent_most bound the table that orders frequent shingles
-    last; they change the work, never the result.
-    """
+
+def _merge(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (node, comp) after links (a, b): only what links join is contracted again."""
+    if links.isEmpty():
+        return comp
+    ends = links.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
+    moves = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    out = durable(comp.join(moves.select(F.col("node").alias("comp"), "component"), "comp", "left").select("node", F.coalesce("component", "comp").alias("comp")))
+    forget(comp)
+    return out
+
+
+def near_rows(docs: DataFrame, size: int = 5, percent: int = 80, frequent_from: int = 4, frequent_most: int = 1 << 18, rounds: int = 2, width: int = 32) -> DataFrame:
+    """doc_id, twin (a hash of the text), n_shingles, component_id, and keeper: whether no row of the component comes before."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_bytes()).alias("twin"), text_bytes().alias("text"))
     frequent = spark.sparkContext.broadcast(_frequent(rows, size, frequent_from, frequent_most))
-    all_rows = durable(_features(rows, frequent, size, percent))
+    all_rows = durable(_features(rows, frequent, size, percent).withColumn("row", F.monotonically_increasing_id()))
     full = all_rows.filter("n > 0")
-    key = ["n", "h1", "h2"]
-    nodes = durable(full.groupBy(*key, "p").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.max("heat").alias("heat")))
+    nodes = durable(full.groupBy(*_SET, "p").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.max("heat").alias("heat")))
     groups = nodes.groupBy("n", "p").agg(F.min("node").alias("g"), F.count(F.lit(1)).alias("members"))
-    members = durable(nodes.join(groups, ["n", "p"]).select("g", "n", "node", "members"))
-
-    posts = full.select(F.posexplode("prefix").alias("at", "shingle"), "n", "p", "doc_id")
-    mark = F.struct("n", "p")
-    shared = posts.groupBy("shingle").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).filter("lo <> hi").select("shingle")
-    posts = durable(posts.join(shared, "shingle", "left_semi").groupBy("shingle", "n", "p").agg(F.min("doc_id").alias("g"), F.min("at").alias("at")).drop("p"))
+    members = durable(nodes.join(groups, ["n", "p"]).select("g", "n", "node", "members", "heat"))
 
-    single = members.filter("members > 1 and node <> g").select(F.col("g").alias("a"), F.col("node").alias("b"))
-    links = _verify(rows, single, size, percent)
-    label = members.select("g", "n", "node", F.col("node").alias("comp"))
-    tried = single
+    heads = members.filter("node = g").select("g", "n", "members", F.col("heat").alias("central"))
+    posts = heads.join(full.select(F.col("row").alias("g"), "prefix"), "g").select("g", "n", "members", "central", F.posexplode("prefix").alias("at", "shingle"))
+    shared = posts.groupBy("shingle").agg(F.sum("members").alias("k")).filter("k > 1").select("shingle")
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
-    central = nodes.select(F.col("node").alias("g"), F.col("heat").alias("central"))
+    posts = durable(posts.join(shared, "shingle", "left_semi").withColumn("band", band))
+    around = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
+    company = posts.groupBy("shingle", "band").agg(F.sum("members").alias("k")).select("shingle", around, "k").groupBy("shingle", "band").agg(F.sum("k").alias("k")).filter("k > 1")
+    met = durable(posts.join(company.select("shingle", "band"), ["shingle", "band"], "left_semi"))  # who has nobody of a possible size near by is out
+    forget(posts)
+    posts = met
+    wanted = members.join(posts.select("g").distinct(), "g", "left_semi").select("node")
+    sets = durable(_sets(rows, nodes.join(wanted, "node", "left_semi"), size))
+
+    tried = durable(members.filter("members > 1 and node <> g").select(F.col("g").alias("a"), F.col("node").alias("b")))
+    fresh = _verify(tried, sets, percent)
+    comp = _merge(durable(members.select("node", F.col("node").alias("comp"))), fresh)
+    spent = [tried, fresh]
     for turn in range(rounds):
-        comp = durable(_labels(members, links)) if turn else durable(label)
-        group_comp = comp.groupBy("g").agg(F.min("comp").alias("comp"))
-        banded = posts.join(group_comp, "g").join(central, "g").withColumn("band", band)
+        banded = posts.join(comp.select(F.col("node").alias("g"), "comp"), "g")
         rank = F.struct((-F.col("central")).alias("c"), F.xxhash64("comp", F.lit(turn)).alias("r"), "n", "g", "comp", "at")
         lead = banded.groupBy("shingle", "band").agg(F.min(rank).alias("lead"))
-        near = lead.select("shingle", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), *(F.col(f"lead.{c}").alias(f"l_{c}") for c in ("g", "n", "comp", "at")))
+        near = lead.select("shingle", around, *(F.col(f"lead.{c}").alias(f"l_{c}") for c in ("g", "n", "comp", "at")))
         star = banded.join(near, ["shingle", "band"]).filter((F.col("comp") != F.col("l_comp")) & _possible("", "l_", percent))
-        pairs = star.select(F.least("g", "l_g").alias("a"), F.greatest("g", "l_g").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = durable(pairs)
-        links = links.unionByName(_verify(rows, pairs, size, percent))
-        tried = tried.unionByName(pairs)
-    comp = durable(_labels(members, links))
-    pairs = _between(posts, comp, percent).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(_verify(rows, pairs, size, percent))
-    final = components(links)
-    out = all_rows.select("doc_id", *key).join(nodes.filter("copies > 1").select(*key, "node"), key, "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("node", "doc_id").alias("node"))
-    return out.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-
-
-def _labels(members: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links)
-    return members.join(found, "node", "left").select("g", "n", "node", F.coalesce("component", "node").alias("comp"))
-
-
-def _between(posts: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members whose groups share a prefix shingle, or are the same, but whose components differ."""
-    group_comps = comp.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    tagged = posts.join(group_comps, "g")
-    mixed = tagged.groupBy("shingle").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l <> h").select("shingle")
-    tagged = durable(tagged.join(mixed, "shingle", "left_semi"))
-    x, y = tagged.alias("x"), tagged.alias("y")
-    cond = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.g") < F.col("y.g")) & _possible("x.", "y.", percent)
-    differ = (F.col("x.lo") != F.col("y.lo")) | (F.col("x.lo") != F.col("x.hi")) | (F.col("y.lo") != F.col("y.hi"))
-    pairs = x.join(y, cond & differ).select(F.col("x.g").alias("ga"), F.col("y.g").alias("gb")).distinct()
-    inside = group_comps.filter("lo <> hi").select(F.col("g").alias("ga"), F.col("g").alias("gb"))
-    one, two = comp.select(F.col("g").alias("ga"), F.col("node").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("g").alias("gb"), F.col("node").alias("b"), F.col("comp").alias("cb"))
-    wide = pairs.unionByName(inside).join(one, "ga").join(two, "gb").filter("ca <> cb")
-    return wide.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = _pairs(star, "g", "l_g", tried)
+        fresh = _verify(pairs, sets, percent)
+        spent += [pairs, fresh]
+        tried, comp = tried.unionByName(pairs), _merge(comp, fresh)
+
+    lists = posts.select("shingle", "g", "n", "at").join(members.select("g", "node"), "g").join(comp, "node")
+    lists = durable(_mixed(lists, with_size=True))
+    while not lists.isEmpty():
+        turn_of = F.col("size") * (F.xxhash64("node", F.lit(99)).bitwiseAND((1 << 52) - 1) / float(1 << 52))  # a node leads once the width passes this
+        now = lists.withColumn("turn", turn_of)
+        x, y = now.filter(F.col("turn") < width).alias("x"), now.alias("y")
+        once = (F.col("y.turn") >= width) | (F.col("x.node") < F.col("y.node"))
+        found = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.comp") != F.col("y.comp")) & once & _possible("x.", "y.", percent))
+        pairs = _pairs(found.select(F.col("x.node").alias("i"), F.col("y.node").alias("j")), "i", "j", tried)
+        fresh = _verify(pairs, sets, percent)
+        spent += [pairs, fresh]
+        tried, comp = tried.unionByName(pairs), _merge(comp, fresh)
+        rest = durable(_mixed(now.filter(F.col("turn") >= width).drop("turn", "comp").join(comp, "node")))
+        forget(lists)
+        lists, width = rest, width * 8
+    out = all_rows.select("doc_id", "twin", *_SET, "row").join(nodes.filter("copies > 1").select(*_SET, "node"), _SET, "left")
+    out = out.select("doc_id", "twin", F.col("n").alias("n_shingles"), "row", F.coalesce("node", "row").alias("node"))
+    labelled = durable(out.join(comp, "node", "left").select("doc_id", "twin", "n_shingles", F.coalesce("comp", "row").alias("comp")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "twin")
+    least = labelled.groupBy("comp").agg(F.min(order).alias("least"))
+    forget(all_rows, nodes, members, posts, sets, lists, comp, *spent)
+    return labelled.join(least, "comp").select("doc_id", "twin", "n_shingles", F.col("least.doc_id").alias("component_id"), (order == F.col("least")).alias("keeper"))
+
+
+def _mixed(lists: DataFrame, with_size: bool = False) -> DataFrame:
+    """The entries of lists (shingle, node, comp, ...) whose shingle meets several components; with the number of its entries."""
+    several = lists.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
+    return lists.join(several.select("shingle", *["size"] * with_size), "shingle")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs (doc_id, text, ...).
+
+    Two documents link when 100 * |intersection| >= percent * |union| of their shingle sets;
+    component_id is the smallest doc_id that links reach. Null, empty and blank texts have an
+    empty set and link with nothing. Rows that repeat a doc_id are documents of their own with that
+    id; a null doc_id gives a null component unless a row with an id is reached. Other columns are
+    ignored; an empty table gives an empty one. Shingles are compared by 64-bit hashes.
+    frequent_from and frequent_most bound the table that orders frequent shingles last; rounds and
+    width say how leaders are dealt; they all change the work, never the result.
+    """
+    return near_rows(docs, **options).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose component has no smaller doc_id; all columns stay."""
-    gone = near_duplicates(docs, **options).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of docs for each component, that with the smallest doc_id; all columns stay.
+
+    A row without an id stays only where no row of its component has one; of rows that repeat id and
+    text one stays.
+    """
+    gone = near_rows(docs, **options).filter("not keeper").select(F.col("doc_id").alias("__id"), F.col("twin").alias("__twin")).distinct()
+    kept = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_bytes()) == F.col("__twin")), "left_anti")
+    return one_of_twins(kept, F.xxhash64(text_bytes()))

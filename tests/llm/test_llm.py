@@ -232,6 +232,30 @@ def test_near_duplicates(spark, docs, texts, edge):
         assert got == brute_components(source)
 
 
+def test_near_duplicates_of_rows_that_repeat_an_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(5, a), (3, a + " more"), (5, b), (9, b + " more"), (None, b), (None, "alone it stands here today"), (7, None), (7, None), (2, "short"), (4, "SHORT"), (4, "SHORT")]
+    frame = spark.createDataFrame([(*r, "en", "clash", "clash", 1, 1, 1) for r in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(frame).collect()), key=str)
+    want = [(5, 56, 3), (3, 57, 3), (5, 56, 5), (9, 57, 5), (None, 56, 5), (None, 1, None), (7, 0, 7), (7, 0, 7), (2, 1, 2), (4, 1, 2), (4, 1, 2)]
+    assert got == sorted(want, key=str)
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.one_of_each(frame).collect()), key=str)
+    assert kept == sorted([rows[1], rows[2], rows[5], rows[6], rows[8]], key=str)
+
+
+@pytest.mark.parametrize("width", [1, 3])
+def test_near_duplicates_without_leaders_first(spark, width):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(60):
+        words = [f"w{k}" for k in range(80)]
+        for k in rng.integers(0, 80, rng.integers(0, 6)):
+            words[k] = f"x{rng.integers(0, 30)}"
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), rounds=0, width=width).collect()}
+    assert got == brute_components(dict(rows))
+
+
 def test_near_duplicates_in_a_dense_group(spark):
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(120)]
