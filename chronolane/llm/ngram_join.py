@@ -139,38 +139,60 @@ def _features(rows: DataFrame, frequent: Broadcast, size: int, percent: int) ->
     return rows.select("doc_id", "twin", "text").mapInArrow(run, "doc_id long, twin long, n long, h1 long, h2 long, prefix array<long>, p long, heat double")
 
 
-def _sets(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """node, shingles for nodes (node, doc_id, n, h1, h2). Rows are chosen by id before anything is hashed."""
+def _sets(rows: DataFrame, nodes: DataFrame, size: int, repeats: bool) -> DataFrame:
+    """node, shingles for nodes (node, doc_id, n, h1, h2), as a durable table. Rows are chosen by id before anything is hashed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, sets in batch_sets(batch, 0, size):
+            for begin, sets in batch_sets(batch, 4, size):
+                part = batch.slice(begin, len(sets))
                 h1, h2 = _set_keys(sets)
-                sizes = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([sizes, pa.array(h1), pa.array(h2), _lists(sets)], names=[*_SET, "shingles"])
-
-    ids = nodes.select(F.coalesce("doc_id", F.lit(-1)).alias("id")).distinct()
-    chosen = rows.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "text").join(ids, "id", "left_semi").select("text")
-    found = chosen.mapInArrow(run, "n long, h1 long, h2 long, shingles array<long>")
-    return found.join(nodes.select("node", *_SET), _SET).select("node", "shingles").dropDuplicates(["node"])
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose whole sets are similar enough, as a durable table."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    full = one.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    return durable(full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+                n = np.array([len(s) for s in sets])
+                own = np.flatnonzero((n == part.column(1).to_numpy()) & (h1 == part.column(2).to_numpy()) & (h2 == part.column(3).to_numpy()))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), _lists([sets[i] for i in own])], names=["node", "shingles"])
+
+    wanted = nodes.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "node", *_SET)
+    chosen = rows.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "text").join(wanted, "id").select("node", *_SET, "text")
+    found = chosen.mapInArrow(run, "node long, shingles array<long>")
+    return durable(found.dropDuplicates(["node"]) if repeats else found)
+
+
+class Verifier:
+    """Compares nodes by their whole sets, which are fetched once for each node that a pair asks for."""
+
+    def __init__(self, rows: DataFrame, nodes: DataFrame, size: int, percent: int, repeats: bool) -> None:
+        self.rows, self.nodes, self.size, self.percent, self.repeats = rows, nodes, size, percent, repeats
+        self.sets: DataFrame | None = None
+        self.spent: list[DataFrame] = []
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those of pairs (a, b) whose sets are similar enough, as a durable table."""
+        percent = self.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                    x, y = x.values.to_numpy(), y.values.to_numpy()
+                    both = np.sort(np.concatenate([x, y]))
+                    common = int((both[1:] == both[:-1]).sum())
+                    keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        need = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        new = need if self.sets is None else need.join(self.sets.select("node"), "node", "left_anti")
+        new = durable(self.nodes.join(new, "node", "left_semi").select("node", "doc_id", *_SET))
+        if self.sets is None or not new.isEmpty():
+            fetched = _sets(self.rows, new, self.size, self.repeats)
+            self.spent.append(fetched)
+            self.sets = fetched if self.sets is None else self.sets.unionByName(fetched)
+        held = self.sets.join(need, "node", "left_semi")
+        one = pairs.join(held.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        full = one.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+        found = durable(full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+        forget(need, new)
+        self.spent.append(found)
+        return found
 
 
 def _possible(x: str, y: str, percent: int) -> Column:
@@ -214,22 +236,21 @@ def near_rows(docs: DataFrame, size: int = 5, percent: int = 80, frequent_from:
     members = durable(nodes.join(groups, ["n", "p"]).select("g", "n", "node", "members", "heat"))
 
     heads = members.filter("node = g").select("g", "n", "members", F.col("heat").alias("central"))
-    posts = heads.join(full.select(F.col("row").alias("g"), "prefix"), "g").select("g", "n", "members", "central", F.posexplode("prefix").alias("at", "shingle"))
-    shared = posts.groupBy("shingle").agg(F.sum("members").alias("k")).filter("k > 1").select("shingle")
+    flat = heads.join(full.select(F.col("row").alias("g"), "prefix"), "g").select("g", "members", F.posexplode("prefix").alias("at", "shingle"))
+    shared = flat.groupBy("shingle").agg(F.sum("members").alias("k")).filter("k > 1").select("shingle")
+    met = durable(flat.select("shingle", "g", "at").join(shared, "shingle", "left_semi"))
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
-    posts = durable(posts.join(shared, "shingle", "left_semi").withColumn("band", band))
+    posts = met.join(heads, "g").withColumn("band", band)
     around = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
     company = posts.groupBy("shingle", "band").agg(F.sum("members").alias("k")).select("shingle", around, "k").groupBy("shingle", "band").agg(F.sum("k").alias("k")).filter("k > 1")
-    met = durable(posts.join(company.select("shingle", "band"), ["shingle", "band"], "left_semi"))  # who has nobody of a possible size near by is out
-    forget(posts)
-    posts = met
-    wanted = members.join(posts.select("g").distinct(), "g", "left_semi").select("node")
-    sets = durable(_sets(rows, nodes.join(wanted, "node", "left_semi"), size))
+    posts = durable(posts.join(company.select("shingle", "band"), ["shingle", "band"], "left_semi"))  # who has nobody of a possible size near by is out
+    forget(met)
 
+    repeats = not all_rows.groupBy("doc_id", "twin").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").isEmpty()
+    verifier = Verifier(rows, nodes, size, percent, repeats)
     tried = durable(members.filter("members > 1 and node <> g").select(F.col("g").alias("a"), F.col("node").alias("b")))
-    fresh = _verify(tried, sets, percent)
-    comp = _merge(durable(members.select("node", F.col("node").alias("comp"))), fresh)
-    spent = [tried, fresh]
+    comp = _merge(durable(members.select("node", F.col("node").alias("comp"))), verifier.links(tried))
+    spent = [tried]
     for turn in range(rounds):
         banded = posts.join(comp.select(F.col("node").alias("g"), "comp"), "g")
         rank = F.struct((-F.col("central")).alias("c"), F.xxhash64("comp", F.lit(turn)).alias("r"), "n", "g", "comp", "at")
@@ -237,9 +258,8 @@ def near_rows(docs: DataFrame, size: int = 5, percent: int = 80, frequent_from:
         near = lead.select("shingle", around, *(F.col(f"lead.{c}").alias(f"l_{c}") for c in ("g", "n", "comp", "at")))
         star = banded.join(near, ["shingle", "band"]).filter((F.col("comp") != F.col("l_comp")) & _possible("", "l_", percent))
         pairs = _pairs(star, "g", "l_g", tried)
-        fresh = _verify(pairs, sets, percent)
-        spent += [pairs, fresh]
-        tried, comp = tried.unionByName(pairs), _merge(comp, fresh)
+        spent.append(pairs)
+        tried, comp = tried.unionByName(pairs), _merge(comp, verifier.links(pairs))
 
     lists = posts.select("shingle", "g", "n", "at").join(members.select("g", "node"), "g").join(comp, "node")
     lists = durable(_mixed(lists, with_size=True))
@@ -250,9 +270,8 @@ def near_rows(docs: DataFrame, size: int = 5, percent: int = 80, frequent_from:
         once = (F.col("y.turn") >= width) | (F.col("x.node") < F.col("y.node"))
         found = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.comp") != F.col("y.comp")) & once & _possible("x.", "y.", percent))
         pairs = _pairs(found.select(F.col("x.node").alias("i"), F.col("y.node").alias("j")), "i", "j", tried)
-        fresh = _verify(pairs, sets, percent)
-        spent += [pairs, fresh]
-        tried, comp = tried.unionByName(pairs), _merge(comp, fresh)
+        spent.append(pairs)
+        tried, comp = tried.unionByName(pairs), _merge(comp, verifier.links(pairs))
         rest = durable(_mixed(now.filter(F.col("turn") >= width).drop("turn", "comp").join(comp, "node")))
         forget(lists)
         lists, width = rest, width * 8
@@ -261,7 +280,7 @@ def near_rows(docs: DataFrame, size: int = 5, percent: int = 80, frequent_from:
     labelled = durable(out.join(comp, "node", "left").select("doc_id", "twin", "n_shingles", F.coalesce("comp", "row").alias("comp")))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "twin")
     least = labelled.groupBy("comp").agg(F.min(order).alias("least"))
-    forget(all_rows, nodes, members, posts, sets, lists, comp, *spent)
+    forget(all_rows, nodes, members, posts, lists, comp, *spent, *verifier.spent)
     return labelled.join(least, "comp").select("doc_id", "twin", "n_shingles", F.col("least.doc_id").alias("component_id"), (order == F.col("least")).alias("keeper"))
 
 
