@@ -15,7 +15,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolane.llm.common import map_batches, ship, text_bytes
+from chronolane.llm.common import durable, map_batches, ship, text_bytes, union_all
 
 #: Keeps 0-9, a-z and every byte of a character beyond ASCII; all others part words.
 _WORD_BYTES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -68,56 +68,92 @@ class WindowSearch:
                 end += 1
 
 
-def _scan(tables: Broadcast, last: bool) -> Callable[[dict[str, list]], dict[str, list]]:
+def _merged(spans: list[tuple[int, int]]) -> list[int]:
+    """Starts and ends, by turns, of the stretches that spans cover."""
+    out: list[int] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += [a, b]
+    return out
+
+
+def _windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """Distinct w (words joined by spaces) and item of the benchmark; a null item_id counts as the empty name."""
+
+    def run(batch: dict[str, list]) -> dict[str, list]:
+        found = [(b" ".join(w), item) for item, text in zip(batch["item"], batch["text"], strict=True) for w in windows_of(words_of(text), window)]
+        return {"w": [w for w, _ in found], "item": [i for _, i in found]}
+
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), text_bytes().alias("text"))
+    return map_batches(items, run, "w binary,item string").distinct()
+
+
+def _scan(search: Broadcast, all_rows: bool) -> Callable[[dict[str, list]], dict[str, list]]:
+    """Spans and items of texts; without all_rows of those only that have any."""
+
     def run(batch: dict[str, list]) -> dict[str, list]:
-        search = tables.value
-        names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256") if last else ("doc_id", "text", "spans", "items")
-        out: dict[str, list] = {k: [] for k in names}
-        for doc_id, text, spans, items in zip(batch["doc_id"], batch["text"], batch["spans"], batch["items"], strict=True):
+        out: dict[str, list] = {k: [] for k in ("doc_id", "key", "n_words", "spans", "items")}
+        for doc_id, key, text in zip(batch["doc_id"], batch["key"], batch["text"], strict=True):
             words = words_of(text)
-            seen = list(search.occurrences(words))
-            found = sorted([*zip(spans[::2], spans[1::2], strict=True), *((a, b) for a, b, _ in seen)])
-            merged: list[int] = []
-            for a, b in found:
-                if merged and a <= merged[-1]:
-                    merged[-1] = max(merged[-1], b)
-                else:
-                    merged += [a, b]
-            names_hit = sorted({*items, *(i for _, _, group in seen for i in group)})
-            if last:
-                row = (doc_id, len(words), sum(merged[1::2]) - sum(merged[::2]), len(names_hit), hashlib.sha256(",".join(names_hit).encode()).hexdigest())
-            else:
-                row = (doc_id, text, merged, names_hit)
-            for k, v in zip(names, row, strict=True):
-                out[k].append(v)
+            seen = list(search.value.occurrences(words))
+            if seen or all_rows:
+                row = doc_id, key, len(words), _merged([(a, b) for a, b, _ in seen]), sorted({i for _, _, group in seen for i in group})
+                for k, v in zip(out, row, strict=True):
+                    out[k].append(v)
         return out
 
     return run
 
 
+def _summary(batch: dict[str, list]) -> dict[str, list]:
+    out: dict[str, list] = {"doc_id": batch["doc_id"], "n_words": batch["n_words"], "n_hit": [], "n_items": [], "items_sha256": []}
+    for spans, items in zip(batch["spans"], batch["items"], strict=True):
+        merged = _merged([p for some in spans or () for p in zip(some[::2], some[1::2], strict=True)])
+        names = sorted({i for some in items or () for i in some})
+        out["n_hit"].append(sum(merged[1::2]) - sum(merged[::2]))
+        out["n_items"].append(len(names))
+        out["items_sha256"].append(hashlib.sha256(",".join(names).encode()).hexdigest())
+    return out
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_windows: int = 200_000) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs.
 
     A document is contaminated if it has hit words and they make at least one in `share` of its
     words. A null or empty text has no words; a null item text has no windows; windows that
     several items share count for each; repeated rows of docs are judged each; other columns are
-    not read; an empty benchmark marks nothing. The benchmark is the stated query set: its windows
-    stream to the driver and are searched in tables of at most `block_windows` each. All tables are
-    held by the driver and broadcast in one job, so together they grow with the benchmark.
+    not read; an empty benchmark marks nothing. The benchmark's windows are a table that is searched
+    for in blocks of about `block_windows` windows: only one block at a time is with the driver and
+    broadcast, and each block is one pass over docs whose hits are written to the shared folder.
     """
     spark = docs.sparkSession
     ship(spark)
-    blocks: list[dict[tuple[bytes, ...], set[str]]] = [{}]
-    for item, text in benchmark.select(F.col("item_id").cast("string"), text_bytes()).toLocalIterator():
-        for w in windows_of(words_of(bytes(text)), window):
-            if len(blocks[-1]) >= block_windows and w not in blocks[-1]:
-                blocks.append({})
-            blocks[-1].setdefault(w, set()).add("" if item is None else item)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for i, b in enumerate(blocks):
-        last = i == len(blocks) - 1
-        rows = map_batches(rows, _scan(spark.sparkContext.broadcast(WindowSearch(b)), last), "doc_id long,n_words long,n_hit long,n_items long,items_sha256 string" if last else "doc_id long,text binary,spans array<long>,items array<string>")
-    return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+    windows = durable(_windows(benchmark, window))
+    blocks = max(1, -(-windows.count() // block_windows))
+    block = F.pmod(F.xxhash64("w", "item"), F.lit(blocks))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text_bytes()).alias("key"), text_bytes().alias("text"))
+    schema = "doc_id long,key long,n_words long,spans array<long>,items array<string>"
+    earlier = []
+    for i in range(blocks):
+        table = windows.filter(block == i).toArrow()
+        held: dict[tuple[bytes, ...], set[str]] = {}
+        for w, item in zip(table["w"].to_pylist(), table["item"].to_pylist(), strict=True):
+            held.setdefault(tuple(w.split(b" ")), set()).add(item)
+        sent = spark.sparkContext.broadcast(WindowSearch(held))
+        last = i == blocks - 1
+        found = map_batches(rows, _scan(sent, last), schema)
+        if not last:
+            earlier.append(durable(found.select("key", "spans", "items").dropDuplicates(["key"])))
+            sent.destroy()
+    found = found.select("doc_id", "key", "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"))
+    if earlier:
+        more = union_all(earlier).groupBy(F.col("key").alias("at")).agg(F.collect_list("spans").alias("s"), F.collect_list("items").alias("i"))
+        found = found.join(more, F.col("key") == F.col("at"), "left")
+        found = found.withColumn("spans", F.concat("spans", F.coalesce("s", F.array().cast("array<array<bigint>>")))).withColumn("items", F.concat("items", F.coalesce("i", F.array().cast("array<array<string>>"))))
+    out = map_batches(found.select("doc_id", "n_words", "spans", "items"), _summary, "doc_id long,n_words long,n_hit long,n_items long,items_sha256 string")
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
