@@ -79,6 +79,16 @@ def test_exact_duplicates(edge):
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(edge).collect()}
     assert got[8] == (1, 3, False) and got[2] == (1, 3, False) and got[1] == (1, 3, True) and got[4] == (3, 2, False) and got[9] == (9, 1, True)
     assert {r.doc_id for r in exact_dedup.keep_first(edge).collect()} == {1, 3, 5, 6, 7, 9, 10, 11}
+    for options in ({"runs": 1}, {"runs": 5, "fan_in": 3}, {"runs": 64, "fan_in": 2}):
+        again = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(edge.repartition(7), **options).collect()}
+        assert again == got
+
+
+def test_one_of_rows_that_repeat_id_and_text_stays(spark):
+    rows = [(5, "a", "x"), (5, "a", "y"), (5, "b", "x"), (None, "a", "x"), (None, "c", "x"), (None, "c", "x"), (7, None, "x"), (7, "", "x"), (8, "a", "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, run string")
+    got = sorted(((r.doc_id, r.text or "") for r in exact_dedup.keep_first(frame).collect()), key=str)
+    assert got == sorted([(5, "a"), (5, "b"), (None, "c"), (7, "")], key=str)
 
 
 def test_null_ids_do_not_win(spark):
@@ -108,7 +118,17 @@ def test_line_runs_go_wherever_they_begin(spark):
     assert want[2] == (5, 3, 1, "own a\nown b") and want[4][1] == 2
     rows = line_dedup.line_runs(spark.createDataFrame([*source.items(), (None, source[1])], "doc_id long, text string")).collect()
     got = {r.doc_id: (r.n_lines, r.n_removed_lines, r.n_removed_runs, r.text) for r in rows}
-    assert got.pop(None) == (7, 0, 0, source[1]) and got == want
+    assert got.pop(None) == (7, 7, 1, "") and got == want  # a row without an id comes after all others
+
+
+@pytest.mark.parametrize("fn", [line_dedup.line_dedup, line_dedup.line_runs])
+def test_lines_of_edge_rows(spark, fn):
+    a, b = ("\n".join(f"{x} line {i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, b), (2, b), (None, a), (3, None), (4, ""), (5, "word " * 30000), (6, "\n".join(["same"] * 50))]
+    frame = spark.createDataFrame([(*r, "en", "clash", "clash", 1, 1, 1) for r in rows], SCHEMA)
+    got = [(r.doc_id, r.text) for r in fn(frame).collect()]
+    assert len(got) == len(rows) and (1, a) in got and (1, b) in got and (3, "") in got and (4, "") in got and (5, rows[7][1]) in got
+    assert all(len(t) < len(b) / 4 for i, t in got if i in (2, None)) and len({t for i, t in got if i == 2}) == 1
 
 
 def test_packing_is_a_partition_of_the_ids(edge, tokenizer):
@@ -296,17 +316,41 @@ def brute_removed(texts, length):
     return out
 
 
-def test_repeated_substrings(spark, docs, texts, edge):
-    keep = {i: t for i, t in texts.items() if len(t) < 6000}
+@pytest.mark.parametrize("most", [8192, 3])
+def test_repeated_substrings(spark, docs, texts, edge, most):
     rng = np.random.default_rng(9)
     noisy = {i: "".join(rng.choice(list("ab"), 300)) + "shared passage " * int(rng.integers(0, 9)) + "".join(rng.choice(list("ab"), 60)) for i in range(40)}
-    small = dict(EDGE) | {5: "word " * 300}
-    for source in (keep, noisy, small):
-        frame = spark.createDataFrame([(i, t) for i, t in source.items()], "doc_id long, text string")
-        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.repeated_substrings(frame).collect()}
+    for source in (texts, noisy, dict(EDGE)):
+        frame = edge if source == dict(EDGE) else spark.createDataFrame([(i, t) for i, t in source.items()], "doc_id long, text string")
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.repeated_substrings(frame, most=most).collect()}
         assert got == brute_removed(source, 200)
 
 
+def test_repeated_substrings_of_rows_that_repeat_an_id_or_have_none(spark):
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    p = word(301)
+    rows = [(1, p + word(50)), (1, word(900)), (2, word(20) + p + word(20)), (None, word(30) + p), (None, p), (None, p), (None, None), (3, word(250)), (3, "short")]
+    want = sorted(brute_removed(dict(enumerate(t for _, t in rows)), 200).values())
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.repeated_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == want and sum(w[1] >= 301 for w in want) == 5
+
+
+def test_long_texts_are_parsed_piece_by_piece():
+    rng = np.random.default_rng(6)
+    passage = bytes(rng.integers(97, 123, 500).tolist())
+    text = bytes(rng.integers(97, 123, 3000).tolist()) + passage + bytes(rng.integers(97, 123, 3000).tolist()) + passage
+    found = [x for x in substring_dedup.phrases(text, 200, 64, piece=700)]
+    place, trigger, phrase = (np.concatenate(x) for x in zip(*found, strict=True))
+    first, more, off = substring_dedup._unpacked(place)
+    assert sorted(w for f, m in zip(first, more, strict=True) for w in range(f, f + m + 1)) == list(range(len(text) - 199))
+    order = np.argsort(trigger)
+    bodies = [text[f : f + m + 200] for f, m in zip(first[order], more[order], strict=True)]
+    out = substring_dedup.repeated_windows(trigger[order].view(np.int64), place[order], bodies, 200, 64)
+    starts = {int(f + o - a) for i, (f, o) in enumerate(zip(first[order], off[order], strict=True)) for a in np.flatnonzero(out[i])}
+    assert starts == {*range(3000, 3301), *range(6500, 6801)}
+
+
 @pytest.mark.parametrize(("fn", "label"), [(quality.quality_scores, "quality"), (toxicity.toxicity_scores, "toxic")])
 def test_held_out_accuracy(spark, fn, label):
     sf = "/root/testdata/sf0.1"
