@@ -152,11 +152,16 @@ def _sets(rows: DataFrame, nodes: DataFrame, size: int, repeats: bool) -> DataFr
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), _lists([sets[i] for i in own])], names=["node", "shingles"])
 
     wanted = nodes.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "node", *_SET)
-    chosen = rows.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "text").join(wanted, "id").select("node", *_SET, "text")
+    chosen = rows.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "text").join(if_small(wanted), "id").select("node", *_SET, "text")
     found = chosen.mapInArrow(run, "node long, shingles array<long>")
     return durable(found.dropDuplicates(["node"]) if repeats else found)
 
 
+def if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df, to be broadcast only if it was counted and has few rows of a few numbers each: some megabytes."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 class Verifier:
     """Compares nodes by their whole sets, which are fetched once for each node that a pair asks for."""
 
@@ -186,7 +191,7 @@ class Verifier:
             fetched = _sets(self.rows, new, self.size, self.repeats)
             self.spent.append(fetched)
             self.sets = fetched if self.sets is None else self.sets.unionByName(fetched)
-        held = self.sets.join(need, "node", "left_semi")
+        held = self.sets.join(if_small(need), "node", "left_semi")
         one = pairs.join(held.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         full = one.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
         found = durable(full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
@@ -223,7 +228,7 @@ def _merge(comp: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def near_rows(docs: DataFrame, size: int = 5, percent: int = 80, frequent_from: int = 4, frequent_most: int = 1 << 18, rounds: int = 2, width: int = 32) -> DataFrame:
+def near_rows(docs: DataFrame, size: int = 5, percent: int = 80, frequent_from: int = 4, frequent_most: int = 1 << 18, rounds: int = 1, width: int = 32) -> DataFrame:
     """doc_id, twin (a hash of the text), n_shingles, component_id, and keeper: whether no row of the component comes before."""
     spark = docs.sparkSession
     ship(spark)
@@ -235,24 +240,25 @@ def near_rows(docs: DataFrame, size: int = 5, percent: int = 80, frequent_from:
     groups = nodes.groupBy("n", "p").agg(F.min("node").alias("g"), F.count(F.lit(1)).alias("members"))
     members = durable(nodes.join(groups, ["n", "p"]).select("g", "n", "node", "members", "heat"))
 
-    heads = members.filter("node = g").select("g", "n", "members", F.col("heat").alias("central"))
-    flat = heads.join(full.select(F.col("row").alias("g"), "prefix"), "g").select("g", "members", F.posexplode("prefix").alias("at", "shingle"))
+    repeats = not all_rows.groupBy("doc_id", "twin").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").isEmpty()
+    verifier = Verifier(rows, nodes, size, percent, repeats)
+    tried = durable(members.filter("members > 1 and node <> g").select(F.col("g").alias("a"), F.col("node").alias("b")))
+    comp = _merge(durable(members.select("node", F.col("node").alias("comp"))), verifier.links(tried))
+
+    heads = members.filter("node = g").join(comp, "node").select("g", "n", "members", F.round(F.col("heat") * 1000).cast("int").alias("central"), "comp")
+    flat = members.filter("node = g").select("g", "members").join(full.select(F.col("row").alias("g"), "prefix"), "g").select("g", "members", F.posexplode("prefix").alias("at", "shingle"))
     shared = flat.groupBy("shingle").agg(F.sum("members").alias("k")).filter("k > 1").select("shingle")
     met = durable(flat.select("shingle", "g", "at").join(shared, "shingle", "left_semi"))
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
     posts = met.join(heads, "g").withColumn("band", band)
     around = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
     company = posts.groupBy("shingle", "band").agg(F.sum("members").alias("k")).select("shingle", around, "k").groupBy("shingle", "band").agg(F.sum("k").alias("k")).filter("k > 1")
-    posts = durable(posts.join(company.select("shingle", "band"), ["shingle", "band"], "left_semi"))  # who has nobody of a possible size near by is out
+    posts = durable(posts.drop("members").join(company.select("shingle", "band"), ["shingle", "band"], "left_semi"))  # who has nobody of a possible size near by is out
     forget(met)
 
-    repeats = not all_rows.groupBy("doc_id", "twin").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").isEmpty()
-    verifier = Verifier(rows, nodes, size, percent, repeats)
-    tried = durable(members.filter("members > 1 and node <> g").select(F.col("g").alias("a"), F.col("node").alias("b")))
-    comp = _merge(durable(members.select("node", F.col("node").alias("comp"))), verifier.links(tried))
     spent = [tried]
     for turn in range(rounds):
-        banded = posts.join(comp.select(F.col("node").alias("g"), "comp"), "g")
+        banded = posts.drop("comp").join(comp.select(F.col("node").alias("g"), "comp"), "g") if turn else posts
         rank = F.struct((-F.col("central")).alias("c"), F.xxhash64("comp", F.lit(turn)).alias("r"), "n", "g", "comp", "at")
         lead = banded.groupBy("shingle", "band").agg(F.min(rank).alias("lead"))
         near = lead.select("shingle", around, *(F.col(f"lead.{c}").alias(f"l_{c}") for c in ("g", "n", "comp", "at")))
@@ -261,7 +267,7 @@ def near_rows(docs: DataFrame, size: int = 5, percent: int = 80, frequent_from:
         spent.append(pairs)
         tried, comp = tried.unionByName(pairs), _merge(comp, verifier.links(pairs))
 
-    lists = posts.select("shingle", "g", "n", "at").join(members.select("g", "node"), "g").join(comp, "node")
+    lists = posts.select("shingle", "g", "n", "at").join(members.select("g", "node").join(comp, "node"), "g")
     lists = durable(_mixed(lists, with_size=True))
     while not lists.isEmpty():
         turn_of = F.col("size") * (F.xxhash64("node", F.lit(99)).bitwiseAND((1 << 52) - 1) / float(1 << 52))  # a node leads once the width passes this
@@ -279,9 +285,11 @@ def near_rows(docs: DataFrame, size: int = 5, percent: int = 80, frequent_from:
     out = out.select("doc_id", "twin", F.col("n").alias("n_shingles"), "row", F.coalesce("node", "row").alias("node"))
     labelled = durable(out.join(comp, "node", "left").select("doc_id", "twin", "n_shingles", F.coalesce("comp", "row").alias("comp")))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "twin")
-    least = labelled.groupBy("comp").agg(F.min(order).alias("least"))
+    least = durable(labelled.groupBy("comp").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"))
     forget(all_rows, nodes, members, posts, lists, comp, *spent, *verifier.spent)
-    return labelled.join(least, "comp").select("doc_id", "twin", "n_shingles", F.col("least.doc_id").alias("component_id"), (order == F.col("least")).alias("keeper"))
+    alone = F.col("least").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    return labelled.join(least, "comp", "left").select("doc_id", "twin", "n_shingles", component.alias("component_id"), (alone | (order == F.col("least"))).alias("keeper"))
 
 
 def _mixed(lists: DataFrame, with_size: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A huge document is encoded in overlapping chunks with offsets. Two neighbouring encodings are
 spliced at a character position where both have a token boundary and where the pre-tokeniser cuts
-whatever stands around: the step from a visible character to a blank. Where an overlap holds no
+whatever stands around: the step from a visible character to a plain blank. Where an overlap holds no
 such position it is widened until it does, or until the document ends.
 
 Short documents are encoded whole, as their maximal pieces between such positions; a bounded
@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 
 from chronolane.llm.common import map_batches, ship
 
-#: White space other than the four plain blanks, and look-alikes: texts that hold one are not cut.
-_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​ -  -⁤　﻿]")
+#: White space other than the four plain blanks, and characters that some Unicode versions take for it: no cut follows one.
+_ODD_CLASS = r"\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff"
+_ODD = re.compile(f"[{_ODD_CLASS}]")
 _PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-_STABLE = re.compile(r"(?<=[^ \n\t\r])(?=[ \n\t\r])")
+_STABLE = re.compile(rf"(?<=[^ \n\t\r{_ODD_CLASS}])(?=[ \n\t\r])")
 _MEMO: dict[str, dict[str, int]] = {}
 _LOADED: dict[str, object] = {}
 
@@ -75,18 +76,23 @@ def count_chunked(text: str, ends_of: Callable[[str], list[int]], chunk: int, ov
                     return total + len(ends)
 
 
+def pieces_of(text: str) -> list[str]:
+    """The text cut at every stable position."""
+    return _STABLE.split(text) if _ODD.search(text) else _PIECE.findall(text)
+
+
 def _counter(path: str, chunk: int, overlap: int, memory: int) -> Callable[[dict[str, list]], dict[str, list]]:
     def run(batch: dict[str, list]) -> dict[str, list]:
         tok, memo = load_tokenizer(path), _MEMO.setdefault(path, {})
         counts: list[int | None] = []
         pieces: list[list[str] | None] = []
         for text in batch["text"]:
-            if len(text) > chunk and not _ODD.search(text):
+            if len(text) > chunk:
                 counts.append(count_chunked(text, lambda s: _ends(tok, s), chunk, overlap))
                 pieces.append(None)
             else:
                 counts.append(None)
-                pieces.append([text] if _ODD.search(text) else _PIECE.findall(text))
+                pieces.append(pieces_of(text))
         if len(memo) > memory:
             memo.clear()
         missing = list({p for ps in pieces if ps for p in ps if p not in memo})

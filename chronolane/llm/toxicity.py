@@ -1,10 +1,12 @@
 """Toxicity by weak supervision.
 
-Many voters look at a document: a stated lexicon, patterns, and words and word beginnings that
-training labels single out. A generative label model estimates by expectation maximisation how
-often each voter fires on toxic and on clean documents, measures how voters depend on each other
-beyond that, and counts dependent voters as the fewer that they amount to. A linear classifier is
-trained on its posterior labels and scores every document.
+Many voters look at a document and vote toxic, vote clean or abstain: a stated lexicon, patterns, and
+words and word beginnings that stand out among training documents of either label. A generative label
+model estimates from the votes alone, by expectation maximisation, how often each voter speaks on
+toxic and on clean documents, hence its accuracy, and how voters depend on each other beyond that;
+dependent voters count as the fewer that they amount to. No label enters its steps: labels propose
+voters, orient the two classes and place the cut. A linear classifier is trained on the posterior
+labels and scores every document.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chronolane.llm.common import id_fold, ship, text_bytes
 from chronolane.llm.labelled import labelled_sample
@@ -37,8 +40,8 @@ def patterns(text: bytes) -> list[bool]:
     return [text.count(b"!!!") > 0, upper * 2 > max(1, len(text)), b"you are" in text.lower(), b"shut up" in text.lower()]
 
 
-def _learned_terms(sample: DataFrame, most: int, least: int = 5) -> list[bytes]:
-    """Terms that stand out in toxic training documents, strongest first."""
+def _learned_terms(sample: DataFrame, most: int, least: int = 5, ratio: float = 8.0) -> tuple[list[bytes], list[bytes]]:
+    """Terms that stand out in toxic and in clean training documents, at most `most` of each, strongest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,24 +55,30 @@ def _learned_terms(sample: DataFrame, most: int, least: int = 5) -> list[bytes]:
     clean, toxic = (total[0] or 0) + 1.0, (total[1] or 0) + 1.0
     counts = sample.select("text", "label").mapInArrow(run, "term binary, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / toxic) - F.log((F.col("clean") + 0.5) / clean)
-    top = counts.filter(F.col("toxic") >= least).withColumn("odds", odds).filter(odds > math.log(8)).orderBy(F.col("odds").desc(), "term").limit(most)
-    return [bytes(r.term) for r in top.collect()]
+    strong = counts.filter((F.col("toxic") + F.col("clean") >= least) & (F.abs(odds) > math.log(ratio))).withColumn("odds", odds)
+    rank = F.row_number().over(Window.partitionBy(F.col("odds") > 0).orderBy(F.abs("odds").desc(), "term"))
+    top = strong.withColumn("rank", rank).filter(F.col("rank") <= most).orderBy("rank").collect()
+    return [bytes(r.term) for r in top if r.odds > 0], [bytes(r.term) for r in top if r.odds < 0]
 
 
 class Voters:
-    """Which terms and patterns fire on a text."""
-
-    def __init__(self, learned: list[bytes]) -> None:
-        names = [w.encode() for w in LEXICON]
-        names += [t for t in learned if t not in set(names)]
-        self.index = {t: i for i, t in enumerate(names)}
-        self.names = frozenset(names)
-        self.size = len(names) + len(patterns(b"")) + 1
+    """Which voters speak on a text. Lexicon words, patterns and learned toxic terms vote toxic; learned clean terms, and the voter that found nothing toxic, vote clean."""
+
+    def __init__(self, toxic: list[bytes], clean: list[bytes]) -> None:
+        bad = [w.encode() for w in LEXICON]
+        bad += [t for t in toxic if t not in set(bad)]
+        good = [t for t in clean if t not in set(bad)]
+        self.index = {t: i for i, t in enumerate([*bad, *good])}
+        self.names = frozenset(self.index)
+        self.n_bad = len(bad)
+        n = len(patterns(b""))
+        self.votes_toxic = np.array([True] * len(bad) + [False] * len(good) + [True] * n + [False])
+        self.size = len(self.votes_toxic)
 
     def fire(self, text: bytes) -> list[int]:
         hits = sorted(self.index[t] for t in self.names & terms(text))
-        n = len(self.index)
-        return hits + [n + i for i, p in enumerate(patterns(text)) if p] + ([] if hits else [self.size - 1])
+        seen = [len(self.index) + i for i, p in enumerate(patterns(text)) if p]
+        return hits + seen + ([] if seen or hits and hits[0] < self.n_bad else [self.size - 1])
 
     def matrix(self, fired: list[list[int]]) -> np.ndarray:
         out = np.zeros((len(fired), self.size))
@@ -78,25 +87,30 @@ class Voters:
         return out
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 20, trust: float = 0.97) -> np.ndarray:
-    """Posterior probabilities of the positive class. votes: documents by voters, 0 or 1; labels: noisy votes trusted as `trust`."""
-    prior = (labels.sum() + 1) / (len(labels) + 2)
-    gold = np.where(labels == 1, 1, -1) * math.log(trust / (1 - trust))
-    q = np.where(labels == 1, trust, 1 - trust)
+def label_model(votes: np.ndarray, votes_toxic: np.ndarray, rounds: int = 40, dependent: float = 0.3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior probability that a document is toxic, each voter's accuracy, and its share, from votes alone.
+
+    votes: documents by voters, 1 where a voter speaks; votes_toxic: what it then says. Starts from
+    the majority of votes. A voter's share is one over the sum of the residual correlations above
+    `dependent`, its own included, that are left between voters once the class is accounted for.
+    """
+    said = votes @ np.where(votes_toxic, 1.0, -1.0)
+    q = np.where(said > 0, 0.9, 0.1)
     share = np.ones(votes.shape[1])
     for turn in range(rounds):
+        prior = float(np.clip(q.mean(), 1e-3, 1 - 1e-3))
         on = (q @ votes + 0.5) / (q.sum() + 1)
         off = ((1 - q) @ votes + 0.5) / ((1 - q).sum() + 1)
-        if turn == rounds // 2:
+        if turn >= 5:  # once the classes have settled
             rest = votes - (q[:, None] * on + (1 - q)[:, None] * off)
             scale = np.sqrt(np.maximum((rest**2).mean(0), 1e-9))
             correlation = np.abs((rest.T @ rest) / len(rest) / np.outer(scale, scale))
-            share = 1 / np.maximum(1, np.where(correlation > 0.3, correlation, 0).sum(1))
-        for_on, for_off = np.log(on / off) * share, np.log((1 - on) / (1 - off)) * share
-        score = math.log(prior / (1 - prior)) + gold + votes @ for_on + (1 - votes) @ for_off
+            np.fill_diagonal(correlation, 1.0)
+            share = 1 / np.where(correlation > dependent, correlation, 0).sum(1)
+        score = math.log(prior / (1 - prior)) + votes @ (np.log(on / off) * share) + (1 - votes) @ (np.log((1 - on) / (1 - off)) * share)
         q = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        prior = float(np.clip(q.mean(), 1e-3, 1 - 1e-3))
-    return q
+    right = np.where(votes_toxic, q @ votes, (1 - q) @ votes)
+    return q, (right + 0.5) / (votes.sum(0) + 1), share
 
 
 def fit_linear(x: np.ndarray, q: np.ndarray, penalty: float = 1e-4, steps: int = 40) -> np.ndarray:
@@ -127,14 +141,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.5, most:
     """doc_id, held_out, score, predicted for each row of docs; labels holds doc_id and toxic (0, 1).
 
     Fits on at most `most` labelled documents, none from the held fold, with at most most_terms
-    learned voters. A null text counts as empty; without labels of both classes the stated lexicon
+    learned voters for each class. A null text counts as empty; without labels of both classes the stated lexicon
     alone decides; repeated rows are scored each; other columns are not read; an empty table gives
     an empty one. scored: rows to score in the place of docs, which then only fit.
     """
     spark = docs.sparkSession
     ship(spark)
     sample = labelled_sample(docs, labels, "toxic", most, folds, held_fold)
-    voters = Voters(_learned_terms(sample, most_terms))
+    voters = Voters(*_learned_terms(sample, most_terms))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,10 +158,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.5, most:
     y = seen["label"].to_numpy(dtype=int)
     if len(set(y.tolist())) == 2:
         votes = voters.matrix([list(f) for f in seen["fired"]])
-        w = fit_linear(votes, label_model(votes, y))
+        q, _, _ = label_model(votes, voters.votes_toxic)
+        if q[y == 1].mean() < q[y == 0].mean():
+            q = 1 - q
+        w = fit_linear(votes, q)
         w[-1] -= best_cut(votes @ w[:-1] + w[-1], y)
     else:
-        w = np.concatenate([np.where(np.arange(voters.size) < len(voters.index), 4.0, 0.0), [-2.0]])
+        w = np.concatenate([np.where(np.arange(voters.size) < voters.n_bad, 4.0, 0.0), [-2.0]])
     model = spark.sparkContext.broadcast((voters, w))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

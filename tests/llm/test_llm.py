@@ -75,6 +75,36 @@ def test_chunks_splice_to_the_whole(tokenizer, chunk):
     assert token_counts.count_chunked(text, ends, chunk, 3) == len(ends(text))
 
 
+def test_odd_white_space_is_cut_only_where_it_is_safe(spark, tokenizer):
+    rng = np.random.default_rng(11)
+    odd = [" ", "\n", "a", "é", "1", ".", "\xa0", "\u3000", "\u200b", "\ufeff", "\x0b", "\x85", "\u2009", "<|endoftext|>", "'s", "\u00a0 ", " \u2028", "\x1c"]
+    texts = ["".join(rng.choice(odd, 60)) for _ in range(300)] + ["word\xa0 here " * 4000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    for options in ({}, {"chunk": 25, "overlap": 4}):
+        got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(frame, queries.tokenizer_path(), **options).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+    assert len(token_counts.pieces_of(texts[-1])) > 4000
+
+
+def test_packed_ids_are_the_librarys_for_a_whole_table(spark, tokenizer):
+    encode = packing.encoder(queries.tokenizer_path())
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        assert encode(r.text or "") == tokenizer.encode(r.text or "", add_special_tokens=False).ids
+    assert packing.follows_merges({**{chr(i): i for i in range(256)}, "ab": 256, "abc": 257}, ["a b", "ab c"], {})
+    assert not packing.follows_merges({**{chr(i): i for i in range(256)}, "ab": 257, "abc": 256}, ["a b", "ab c"], {})
+
+
+def test_packing_with_equal_lengths_and_repeated_rows(spark):
+    rows = [(i % 5, "same words here") for i in range(40)] + [(None, None), (None, None)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), queries.tokenizer_path(), capacity=8).collect()
+    fill = defaultdict(list)
+    for r in got:
+        fill[r.sequence_id].append((r.offset, r.length))
+    assert len(got) == 42 and all(sum(n for _, n in x) <= 8 and [o for o, _ in sorted(x)] == [sum(n for _, n in sorted(x)[:k]) for k in range(len(x))] for x in fill.values())
+    assert len(fill) == 21  # two of four tokens each, and the two of one token beside them or in one more
+
+
 def test_exact_duplicates(edge):
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(edge).collect()}
     assert got[8] == (1, 3, False) and got[2] == (1, 3, False) and got[1] == (1, 3, True) and got[4] == (3, 2, False) and got[9] == (9, 1, True)
@@ -387,3 +417,113 @@ def test_filters_judge_rows_and_not_ids(spark):
     assert {tuple(r) for r in toxicity.clean_documents(frame, none).collect()} == {rows[1], rows[3], rows[4]}
     bench = spark.createDataFrame([(1, "stupid idiot")], "item_id long, text string")
     assert {tuple(r) for r in decontaminate.clean_documents(frame, bench).collect()} == {rows[1], rows[3], rows[4]}
+
+
+def test_label_model_finds_accuracies_from_votes_alone():
+    rng = np.random.default_rng(1)
+    truth = rng.random(4000) < 0.3
+    speaks = [(0.7, 0.02, True), (0.5, 0.05, True), (0.4, 0.1, True), (0.3, 0.3, True), (0.05, 0.6, False), (0.1, 0.7, False)]
+    votes = np.array([np.where(truth, rng.random(4000) < on, rng.random(4000) < off) for on, off, _ in speaks]).T.astype(float)
+    votes = np.hstack([votes, votes[:, 2:3], votes[:, 2:3]])  # one voter three times
+    kind = np.array([k for *_, k in speaks] + [True, True])
+    q, accuracy, share = toxicity.label_model(votes, kind)
+    assert ((q > 0.5) == truth).mean() > 0.9
+    right = [(truth[votes[:, j] == 1] == kind[j]).mean() for j in range(len(kind))]
+    assert np.abs(accuracy - right).max() < 0.08
+    assert np.allclose(share[[2, 6, 7]], 1 / 3, atol=0.02) and share[0] > 0.9
+
+
+def test_label_model_equals_loops():
+    rng = np.random.default_rng(2)
+    votes, kind = (rng.random((60, 5)) < 0.4).astype(float), np.array([True, True, False, True, False])
+    q, _, _ = toxicity.label_model(votes, kind, rounds=4)
+    p = [0.9 if sum(v * (1 if k else -1) for v, k in zip(row, kind, strict=True)) > 0 else 0.1 for row in votes]
+    for _ in range(4):
+        prior = sum(p) / len(p)
+        on = [(sum(a * row[j] for a, row in zip(p, votes, strict=True)) + 0.5) / (sum(p) + 1) for j in range(5)]
+        off = [(sum((1 - a) * row[j] for a, row in zip(p, votes, strict=True)) + 0.5) / (len(p) - sum(p) + 1) for j in range(5)]
+        new = []
+        for row in votes:
+            one, two = prior, 1 - prior
+            for j in range(5):
+                one *= on[j] if row[j] else 1 - on[j]
+                two *= off[j] if row[j] else 1 - off[j]
+            new.append(one / (one + two))
+        p = new
+    assert np.allclose(q, p, atol=1e-9)
+
+
+def test_bradley_terry_is_at_the_minimum_of_its_loss():
+    rng = np.random.default_rng(3)
+    good, bad = rng.normal(0.4, 1, (50, 3)), rng.normal(0, 1, (40, 3))
+    w = quality.bradley_terry(good, bad, pairs=500, penalty=0.01)
+    draw = np.random.default_rng(5)
+    pairs = list(zip(draw.integers(0, 50, 500).tolist(), draw.integers(0, 40, 500).tolist(), strict=True))
+
+    def loss(v):
+        return sum(np.log1p(np.exp(-(good[i] - bad[j]) @ v)) for i, j in pairs) / len(pairs) + 0.005 * (v @ v)
+
+    assert all(loss(w) <= loss(w + e * np.eye(3)[k]) for k in range(3) for e in (-0.01, 0.01)) and np.all(w > 0)
+
+
+@pytest.mark.parametrize(("fn", "label"), [(quality.quality_scores, "quality"), (toxicity.toxicity_scores, "toxic")])
+def test_fitted_classifiers_on_edge_rows(spark, edge, fn, label):
+    rows = [(100 + i, f"you stupid idiot number {i} !!!" if i % 2 else f"The weather of day {i} was fine, and we walked home.") for i in range(60)]
+    docs = edge.unionByName(spark.createDataFrame([(*r, "en", "clash", "clash", 1, 1, 1) for r in [*rows, (None, None), (101, rows[1][1]), (102, rows[1][1])]], SCHEMA))
+    labels = spark.createDataFrame([(100 + i, i % 2, i % 2, "clash") for i in range(60)] + [(None, 1, 1, "x"), (103, None, None, "x")], "doc_id long, quality int, toxic int, text string")
+    out = fn(docs, labels).collect()
+    assert len(out) == len(EDGE) + 63 and all(0 <= r.score <= 1 for r in out)
+    by = {}
+    for r in out:
+        by.setdefault(r.doc_id, []).append(r)
+    assert {r.score for r in by[101]} | {by[102][0].score, by[102][1].score} >= {by[101][0].score}  # equal texts score alike
+    assert len({r.score for r in by[101]}) == 1 and by[3][0].score == by[4][0].score == by[None][0].score
+    if label == "toxic":
+        assert all(r.predicted == (r.doc_id % 2) for r in out if r.doc_id and r.doc_id >= 104 and r.doc_id < 160)
+
+
+def test_windows_in_many_blocks_equal_one_block(spark):
+    rng = np.random.default_rng(7)
+    word = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 30, n))
+    items = [(i, word(int(rng.integers(1, 25)))) for i in range(20)] + [(99, None)]
+    docs = [(i, f"{word(10)} {items[i % 20][1]} {word(10)}") for i in range(40)] + [(5, "w1 w2"), (None, items[3][1]), (None, items[3][1])]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(tuple, decontaminate.contamination(d, b, window=4, block_windows=k).collect()), key=str) for k in (10**6, 17))
+    assert one == many and sum(r[5] for r in one) > 30
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    from chronolane.llm.common import shared_dir
+
+    spark = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(spark)
+
+
+def test_language_model_on_edge_rows(spark, edge):
+    more = spark.createDataFrame([(None, "words here", *["x"] * 3, 1, 1, 1), (2, "same text here", *["x"] * 3, 1, 1, 1)], SCHEMA)
+    rows = lm_score.lm_scores(edge.unionByName(more)).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.doc_id, []).append(r)
+    assert len(rows) == len(EDGE) + 2 and all(r.score < 0 and np.isfinite(r.score) for r in rows)
+    assert by[3][0].n_tokens == by[4][0].n_tokens == by[9][0].n_tokens == 1 and by[3][0].score == by[4][0].score
+    assert by[5][0].n_tokens == 30001 and len({round(r.score, 9) for r in by[2]}) == 1
+
+
+def test_pipeline_on_edge_rows(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (2, a), (2, b), (3, a + " more"), (None, b), (None, b), (4, None), (4, None), (5, ""), (6, "you stupid idiot you moron"), (7, "one two three four"), (8, "x " * 5000)]
+    spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "two three")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = {r.doc_id for r in cp.run(spark, str(tmp_path)).collect()}
+    assert left == {1, 2, 4, 8}
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"{t}.parquet")).write.parquet(str(tmp_path / "none" / f"{t}.parquet"))
+    assert cp.run(spark, str(tmp_path / "none")).count() == 0
