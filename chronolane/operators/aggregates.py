@@ -76,6 +76,26 @@ def prior_utilisation(pairs: DataFrame, episode: str, start: str, windows: list[
     return pairs.withColumn("__gap", gap).groupBy(episode).agg(*(F.count_if(F.col("__gap") <= d).alias(f"prior_{d}d") for d in windows), r6(F.min("__gap")).alias("days_since_last"), F.count(F.lit(1)).alias("n_prior"))
 
 
+def utilisation_of_all(episodes: DataFrame, entity: str, episode: str, start: str, end: str, index: str, windows: list[int]) -> DataFrame:
+    """For every episode: earlier ones that ended within windows of days before its start, their total length, days since the last (-1 without one), largest index.
+
+    Starts and ends of an entity are one stream of marks in order of time; frames over it count and
+    sum what ended before each start, so a busy entity costs a sort and no pairs. Episodes without an
+    end, or that end before they start, are not earlier ones of any other.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    e = episodes.select(F.col(entity).alias("__e"), F.col(episode).alias("__i"), micros(start).alias("__s"), micros(end).alias("__t"), F.col(index).cast("long").alias("__x"))
+    none = F.lit(None).cast("long")
+    ends = e.filter("__t >= __s").select("__e", F.col("__t").alias("__at"), (F.col("__t") - F.col("__s")).alias("__los"), "__x", F.col("__t").alias("__ended"), none.alias("__i"))
+    starts = e.select("__e", F.col("__s").alias("__at"), none.alias("__los"), none.alias("__x"), none.alias("__ended"), "__i")
+    w = W.partitionBy("__e").orderBy("__at")
+    day, upto = 86_400_000_000, w.rangeBetween(W.unboundedPreceding, -1)
+    counts = {f"prior_{k}d": F.count("__ended").over(w.rangeBetween(-k * day, -1)) for k in windows}
+    out = ends.unionByName(starts).withColumns(counts | {"__l": F.sum("__los").over(upto), "__last": F.max("__ended").over(upto), "__m": F.max("__x").over(upto)}).filter("__i is not null")
+    since = F.coalesce((F.col("__at") - F.col("__last")) / 86400e6, F.lit(-1.0))
+    return out.select(F.col("__i").alias(episode), *counts, F.round(F.coalesce(F.col("__l") / 86400e6, F.lit(0.0)), 4).alias("prior_los_days"), r6(since).alias("days_since_last"), F.coalesce("__m", F.lit(0)).cast("long").alias("max_prior_index"))
+
+
 def co_occurrence(df: DataFrame, key: str, code: str, top: int) -> DataFrame:
     """code_a < code_b and the number of keys that hold both, among the most frequent codes."""
     pairs = df.select(key, code).distinct()

@@ -48,7 +48,7 @@ def to_unit(df: DataFrame, unit: str, value: str, factors: dict[str, float], out
     if unit not in df.columns:
         return df.withColumn(out, F.col(value).cast("double"))
     table = df.sparkSession.createDataFrame([(k.lower(), float(v)) for k, v in factors.items()], "__unit string, __factor double")
-    return df.join(F.broadcast(table), F.lower(F.trim(F.col(unit))) == F.col("__unit")).withColumn(out, F.col(value) * F.col("__factor")).drop("__unit", "__factor")
+    return df.join(table, F.lower(F.trim(F.col(unit))) == F.col("__unit")).withColumn(out, F.col(value) * F.col("__factor")).drop("__unit", "__factor")
 
 
 def redact(c: str) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -43,12 +45,17 @@ def merge_all(base: DataFrame, frames: list[DataFrame], on: list[str]) -> DataFr
 
 
 def nearest_preceding(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, ties: list[str]) -> DataFrame:
-    """One right row for each left row that has any: the latest one at or before it, else the latest after; candidates are counted."""
-    pair = left.join(right, key)
-    before = (F.col(right_at) <= F.col(at)).cast("int")
-    ranked = pair.withColumns({"precedes": before, "n_candidates": F.count(F.lit(1)).over(W.partitionBy(*left.columns))})
-    order = W.partitionBy(*left.columns).orderBy(F.col("precedes").desc(), F.col(right_at).desc(), *ties)
-    return ranked.withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r")
+    """One right row for each left row that has any: the latest one at or before it, else the latest after; candidates are counted.
+
+    Left rows may be equal: what depends on key and time alone is worked out once for each of them
+    and then joined to every left row. Rows with a null key or time find nothing.
+    """
+    times = left.select(key, at).dropna().distinct()
+    pair = times.join(right, key).withColumn("precedes", (F.col(right_at) <= F.col(at)).cast("int"))
+    others = [c for c in right.columns if c != key]
+    best = F.min_by(F.struct(*others, "precedes"), F.struct(-F.col("precedes"), (-F.unix_micros(F.col(right_at).cast("timestamp"))) if dict(right.dtypes)[right_at].startswith(("timestamp", "date")) else -F.col(right_at), *ties))
+    found = pair.groupBy(key, at).agg(best.alias("__b"), F.count(F.lit(1)).alias("n_candidates"))
+    return left.join(found, [key, at]).select(*left.columns, *(F.col(f"__b.{c}").alias(c) for c in (*others, "precedes")), "n_candidates")
 
 
 def earlier_episodes(df: DataFrame, entity: str, episode: str, start: str, end: str) -> DataFrame:
@@ -77,15 +84,27 @@ def prefix_matches(codes: DataFrame, rules: DataFrame, code: str, lengths: list[
     """
     norm = F.replace(F.upper(F.col(code)), F.lit("."), F.lit(""))
     prefixes = F.array_distinct(F.array_compact(F.array(*(F.when(F.length(norm) >= n, F.left(norm, F.lit(n))) for n in lengths))))
-    return codes.withColumn("prefix", F.explode(prefixes)).join(F.broadcast(rules), "prefix")
+    return codes.withColumn("prefix", F.explode(prefixes)).join(rules, "prefix")
 
 
-def snapshot_diff(base: DataFrame, now: DataFrame, key: str, values: list[str]) -> DataFrame:
-    """key, change: added, removed, changed or unchanged between two snapshots."""
+def change_severity(diff: DataFrame, before: str, after: str, drop: float, limit: float) -> DataFrame:
+    """diff (key, change, before, after) with severity: critical, warning or info.
+
+    A removed row, or a value that fell by at least `limit` (a share of what it was), is critical; a fall of at
+    least `drop` is a warning; all else is information.
+    """
+    fall = F.try_divide(F.col(before) - F.col(after), F.abs(F.col(before)))
+    severity = F.when((F.col("change") == "removed") | (fall >= limit), "critical").when(fall >= drop, "warning").otherwise("info")
+    return diff.withColumn("severity", severity)
+
+
+def snapshot_diff(base: DataFrame, now: DataFrame, key: str, values: list[str], show: bool = False) -> DataFrame:
+    """key, change: added, removed, changed or unchanged between two snapshots; with show also before_ and after_ of the values."""
     a = base.select(key, F.struct(*values).alias("__a"))
     b = now.select(key, F.struct(*values).alias("__b"))
     change = F.when(F.col("__a").isNull(), "added").when(F.col("__b").isNull(), "removed").when(F.col("__a") != F.col("__b"), "changed").otherwise("unchanged")
-    return a.join(b, key, "full_outer").select(key, change.alias("change"))
+    shown = [F.col(f"__{s}.{c}").alias(f"{n}_{c}") for c in values for s, n in (("a", "before"), ("b", "after"))] if show else []
+    return a.join(b, key, "full_outer").select(key, change.alias("change"), *shown)
 
 
 def euclidean(a: Column, b: Column) -> Column:
@@ -110,3 +129,43 @@ def nearest_neighbours(queries: DataFrame, corpus: DataFrame, k: int, entity: st
     dist = pairs.select("query_id", "neighbour_id", F.round(euclidean(F.col("qv"), F.col("cv")), 6).alias("distance"))
     w = W.partitionBy("query_id").orderBy("distance", "neighbour_id")
     return dist.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def bucketed_neighbours(queries: DataFrame, corpus: DataFrame, k: int, dims: int, tables: int = 12, bits: int | None = None, bucket: int = 64, entity: str | None = None, seed: int = 3) -> DataFrame:
+    """Like nearest_neighbours, but only rows that share a bucket with the query in one of `tables` tables are compared, exactly.
+
+    A table's bucket is the sign pattern of random projections of the centred vectors, of as many bits as
+    give buckets of about `bucket` rows. A query looks into its own bucket and into those that differ in one
+    bit. Candidates are joined by bucket, so no query meets all rows; recall is for callers to measure.
+    """
+    n, centre = corpus.agg(F.count(F.lit(1)), F.array(*(F.avg(F.get("vector", F.lit(i)).cast("double")) for i in range(dims)))).first()
+    width = bits or max(1, int(np.log2(max(2, n / bucket))))
+    planes = np.random.default_rng(seed).normal(size=(dims, tables * width))
+    middle, powers = np.array(centre, dtype=float), 1 << np.arange(width)
+
+    def patterns(vectors: pd.Series) -> np.ndarray:
+        signs = (np.stack(vectors.to_numpy()).astype(float) - middle) @ planes > 0
+        return (signs.reshape(len(vectors), tables, width) * powers).sum(2)
+
+    @F.pandas_udf("array<long>")
+    def own(vectors: pd.Series) -> pd.Series:
+        return pd.Series(list(patterns(vectors)))
+
+    carry = [entity] if entity else []
+    near = F.transform("b", lambda b, t: F.concat(F.array(F.struct(t.alias("t"), b.alias("b"))), *(F.array(F.struct(t.alias("t"), b.bitwiseXOR(F.lit(1 << i)).alias("b"))) for i in range(width))))
+    q = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("qv"), *(F.col(c).alias(f"q_{c}") for c in carry), own("vector").alias("b"))
+    q = q.withColumn("p", F.explode(F.flatten(near))).select("query_id", "p.*", *(f"q_{c}" for c in carry))
+    c = corpus.select(F.col("id").alias("neighbour_id"), *carry, F.posexplode(own("vector")).alias("t", "b"))
+    pairs = q.join(c, ["t", "b"]).filter("query_id <> neighbour_id")
+    pairs = pairs.filter(F.col(entity) != F.col(f"q_{entity}")) if entity else pairs
+    pairs = pairs.select("query_id", "neighbour_id").distinct()
+    full = pairs.join(queries.select(F.col("id").alias("query_id"), F.col("vector").alias("qv")), "query_id").join(corpus.select(F.col("id").alias("neighbour_id"), F.col("vector").alias("cv")), "neighbour_id")
+    dist = full.select("query_id", "neighbour_id", F.round(euclidean(F.col("qv"), F.col("cv")), 6).alias("distance"))
+    w = W.partitionBy("query_id").orderBy("distance", "neighbour_id")
+    return dist.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """recall: the share of exact pairs (query_id, neighbour_id) that found holds too."""
+    hit = exact.join(found.select("query_id", "neighbour_id", F.lit(1).alias("__h")), ["query_id", "neighbour_id"], "left")
+    return hit.agg(F.avg(F.coalesce("__h", F.lit(0))).alias("recall"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -12,7 +16,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolane.operators.metrics import auroc, hash_uniform, regression
+from chronolane.operators.metrics import auroc, average_precision, calibration_error, hash_uniform, regression
 
 
 def class_weights(train: DataFrame, label: str, name: str = "weight") -> DataFrame:
@@ -46,6 +50,12 @@ def boosted(train: DataFrame, columns: list[str], label: str, fold: str | None =
     return PipelineModel([assemble, best])
 
 
+def forest(train: DataFrame, columns: list[str], label: str, trees: int = 20, depth: int = 5, seed: int = 7) -> PipelineModel:
+    """A random forest with balanced weights."""
+    fitted = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed)
+    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), fitted]).fit(class_weights(fill(train, columns), label))
+
+
 def predict(model: PipelineModel, df: DataFrame, columns: list[str], name: str = "p") -> DataFrame:
     out = model.transform(fill(df, columns)).withColumn(name, vector_to_array("probability")[1])
     return out.drop("raw", "features", "rawPrediction", "probability", "prediction")
@@ -60,6 +70,13 @@ def compare(models: dict[str, PipelineModel], df: DataFrame, columns: list[str],
     return auroc(allp.withColumn("p", F.round("p", 6)), "p", label, ["model"]).orderBy(F.col("auroc").desc(), "model")
 
 
+def compare_both(models: dict[str, PipelineModel], df: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """model, auroc, auprc over df, the best auprc first."""
+    frames = [predict(m, df, columns).select(F.lit(n).alias("model"), F.round("p", 6).alias("p"), label) for n, m in models.items()]
+    every = reduce(DataFrame.unionByName, frames)
+    return auroc(every, "p", label, ["model"]).join(average_precision(every, "p", label, ["model"]), "model").orderBy(F.col("auprc").desc(), "model")
+
+
 def isotonic(train: DataFrame, p: str, label: str):
     return IsotonicRegression(featuresCol="__x", labelCol=label, predictionCol="__c").fit(_with_vector(train, p))
 
@@ -73,17 +90,57 @@ def calibrate(model, df: DataFrame, p: str, name: str = "calibrated") -> DataFra
     return out.withColumn(name, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("__c")))).drop("__x", "__c")
 
 
-def calibrate_by_group(df: DataFrame, fit: Column, p: str, label: str, group: str, least_rows: int, least_events: int) -> DataFrame:
-    """Isotonic for all, and for each group with enough support where it lowers the Brier score on the other rows."""
-    glob = isotonic(df.filter(fit), p, label)
-    out = calibrate(glob, df, p, "p_global").withColumn("p_served", F.col("p_global"))
-    support = df.filter(fit).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("e")).filter((F.col("n") >= least_rows) & (F.col("e") >= least_events)).orderBy(group).collect()
-    for row in support:
-        own = isotonic(out.filter(fit & (F.col(group) == row[0])), p, label)
-        tried = calibrate(own, out, p, "__own")
-        gap = tried.filter(~fit & (F.col(group) == row[0])).agg(F.avg(F.pow(F.col("__own") - F.col(label), F.lit(2))) < F.avg(F.pow(F.col("p_global") - F.col(label), F.lit(2)))).first()[0]
-        out = tried.withColumn("p_served", F.when(F.lit(bool(gap)) & (F.col(group) == row[0]), F.col("__own")).otherwise(F.col("p_served"))).drop("__own")
-    return out
+def pooled_points(frame: pd.DataFrame) -> tuple[list[float], list[float]]:
+    """Isotonic fit of (x, n, s) by pooling adjacent violators: the ends of each block and its mean."""
+    means, sizes, ends = [], [], []
+    for x, n, s in frame.sort_values("x")[["x", "n", "s"]].itertuples(index=False):
+        means.append(s / n)
+        sizes.append(n)
+        ends.append([x, x])
+        while len(means) > 1 and means[-2] >= means[-1]:
+            n2, m2, e2 = sizes.pop(), means.pop(), ends.pop()
+            means[-1] = (means[-1] * sizes[-1] + m2 * n2) / (sizes[-1] + n2)
+            sizes[-1] += n2
+            ends[-1][1] = e2[1]
+    xs, ys = [], []
+    for m, (lo, hi) in zip(means, ends, strict=True):
+        for x in (lo, hi) if hi > lo else (lo,):
+            xs.append(x)
+            ys.append(m)
+    return xs, ys
+
+
+def calibrate_by_group(df: DataFrame, fit: Column, p: str, label: str, group: str, least_rows: int, least_events: int, bins: int = 10) -> DataFrame:
+    """Isotonic for all (p_global), and on top of it for each group with enough support where that lowers the calibration error on the other rows (p_served).
+
+    All groups are fitted in one job, on counts by score to six places, so a group is at most a
+    million counts; their fits are broadcast, as many as there are groups with support. Any group
+    that is unknown, null or without a fit keeps the global value.
+    """
+    out = calibrate(isotonic(df.filter(fit), p, label), df, p, "p_global")
+    cells = out.filter(fit & F.col(group).isNotNull()).groupBy(F.col(group).cast("string").alias("g"), F.round("p_global", 6).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("s"))
+    support = cells.groupBy("g").agg(F.sum("n").alias("rows"), F.sum("s").alias("events")).filter((F.col("rows") >= least_rows) & (F.col("events") >= least_events))
+
+    def fitted(frame: pd.DataFrame) -> pd.DataFrame:
+        xs, ys = pooled_points(frame)
+        return pd.DataFrame({"g": frame["g"].iloc[:1], "xs": [xs], "ys": [ys]})
+
+    found = cells.join(support.select("g"), "g", "left_semi").groupBy("g").applyInPandas(fitted, "g string, xs array<double>, ys array<double>").toPandas()
+    sent = df.sparkSession.sparkContext.broadcast({g: (np.array(xs), np.array(ys)) for g, xs, ys in found.itertuples(index=False)})
+
+    @F.pandas_udf("double")
+    def own(groups: pd.Series, values: pd.Series) -> pd.Series:
+        served = pd.Series(np.nan, index=values.index)
+        for g, at in groups.groupby(groups).groups.items():
+            if g in sent.value:
+                served[at] = np.clip(np.interp(values[at], *sent.value[g]), 0, 1)
+        return served.astype(object).where(served.notna(), None)
+
+    tried = out.withColumn("__own", own(F.col(group).cast("string"), F.col("p_global")))
+    rest = tried.filter(~fit & F.col("__own").isNotNull()).withColumn("__g", F.col(group).cast("string"))
+    errors = calibration_error(rest, "__own", label, bins, ["__g"]).withColumnRenamed("ece", "__a").join(calibration_error(rest, "p_global", label, bins, ["__g"]), "__g")
+    better = [r["__g"] for r in errors.filter("__a < ece").collect()]
+    return tried.withColumn("p_served", F.when(F.col(group).cast("string").isin(better), F.col("__own")).otherwise(F.col("p_global"))).drop("__own")
 
 
 def two_stage_duration(train: DataFrame, columns: list[str], duration: str, q: float = 0.75, trees: int = 5):

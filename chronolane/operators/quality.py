@@ -108,3 +108,40 @@ def table_summary(tables: dict[str, DataFrame]) -> DataFrame:
         groups = df.withColumn("__m", missing).groupBy(*df.columns, "__m").agg(F.count(F.lit(1)).alias("__n"))
         out.append(groups.agg(F.lit(name).alias("table_name"), F.coalesce(F.sum("__n"), F.lit(0)).alias("n_rows"), F.lit(width).cast("long").alias("n_columns"), F.round(100.0 * F.sum(F.col("__m") * F.col("__n")) / (width * F.sum("__n")), 4).alias("missing_pct"), F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("n_duplicates")))
     return union_all(out)
+
+
+def validated_documents(df: DataFrame, key: str, url: str, required: list[str], hosts: list[tuple[str, int]], other_tier: int) -> DataFrame:
+    """df with problem (the first of a missing field, a repeated id, a host that is not allowed; null if sound) and tier.
+
+    hosts: allowed hosts, with their subdomains, and their tiers.
+    """
+    host = F.regexp_extract(F.coalesce(url, F.lit("")), "^https?://([^/?#]+)", 1)
+    under = lambda h: (host == h) | host.endswith(f".{h}")
+    repeated = df.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    problem = F.when(F.coalesce(required[0], F.lit("")) == "", f"missing {required[0]}")
+    for c in required[1:]:
+        problem = problem.when(F.coalesce(c, F.lit("")) == "", f"missing {c}")
+    allowed, tier = F.lit(False), F.when(F.lit(False), 0)
+    for h, n in hosts:
+        allowed, tier = allowed | under(h), tier.when(under(h), n)
+    problem = problem.when(F.col("__n") > 1, "repeated id").when(~allowed, "source not allowed")
+    return df.join(repeated, F.col(key) == F.col("__k"), "left").withColumns({"problem": problem, "tier": tier.otherwise(other_tier)}).drop("__k", "__n")
+
+
+def identifier_types(tables: dict[str, DataFrame], ending: str) -> DataFrame:
+    """table_name, column_name, is_floating of every column whose name has the ending: a floating id loses digits."""
+    rows = [(n, c, int(k in ("double", "float"))) for n, df in tables.items() for c, k in df.dtypes if c.endswith(ending)]
+    return next(iter(tables.values())).sparkSession.createDataFrame(rows, "table_name string, column_name string, is_floating int")
+
+
+def column_use(df: DataFrame, used: list[str]) -> DataFrame:
+    """column_name, used of every column."""
+    return df.sparkSession.createDataFrame([(c, int(c in set(used))) for c in df.columns], "column_name string, used int")
+
+
+def before_and_after(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
+    """stage, n_rows, n_missing (cells), n_redundant (rows beyond the first of equal ones) over the columns."""
+    both = before.select(F.lit("before").alias("stage"), *columns).unionByName(after.select(F.lit("after").alias("stage"), *columns))
+    g = both.groupBy("stage", *columns).agg(F.count(F.lit(1)).alias("__n"))
+    missing = sum((F.col(c).isNull().cast("long") for c in columns), F.lit(0))
+    return g.groupBy("stage").agg(F.sum("__n").alias("n_rows"), F.sum(F.col("__n") * missing).alias("n_missing"), F.sum(F.col("__n") - 1).alias("n_redundant"))

@@ -29,7 +29,7 @@ def _mentions(df: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFra
     t = df.select(key, tokens(text).alias("t")).filter(F.size("t") > 0)
     gram = lambda n: F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i: F.struct(i.alias("at"), F.array_join(F.slice("t", i, n), " ").alias("alias"), F.lit(n).alias("n")))
     grams = F.concat(*(F.when(F.size("t") >= n, gram(n)).otherwise(F.array().cast("array<struct<at:int,alias:string,n:int>>")) for n in (1, 2, 3)))
-    return t.select(key, F.explode(grams).alias("g")).select(key, "g.*").join(F.broadcast(aliases), "alias")
+    return t.select(key, F.explode(grams).alias("g")).select(key, "g.*").join(aliases, "alias")
 
 
 def first_concept(df: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def fuzzy_terms(words: DataFrame, lexicon: DataFrame, ratio: float = 0.8) -> Dat
     w = words.select("word", F.left("word", F.lit(1)).alias("__k")).distinct()
     x = lexicon.select("term", F.left("term", F.lit(1)).alias("__k"))
     longest = F.greatest(F.length("word"), F.length("term"))
-    j = w.join(F.broadcast(x), "__k").filter(F.abs(F.length("word") - F.length("term")) <= 2)
+    j = w.join(x, "__k").filter(F.abs(F.length("word") - F.length("term")) <= 2)
     return j.select("word", "term", F.round(1 - F.levenshtein("word", "term") / longest, 6).alias("score")).filter(F.col("score") >= ratio)
 
 

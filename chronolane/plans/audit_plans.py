@@ -49,16 +49,16 @@ _ROLE = "CASE WHEN {p} >= 0.9 THEN 'num' WHEN {l} > 50 THEN 'text' WHEN {dd} < 0
 @query("q01_role_inference", """
     WITH a AS (SELECT count(*) AS n, count(DISTINCT o_orderstatus) AS d1, avg(length(o_orderstatus)) AS l1, avg((try_cast(o_orderstatus AS DOUBLE) IS NOT NULL)::INT) AS p1,
       count(DISTINCT o_orderpriority) AS d2, avg(length(o_orderpriority)) AS l2, avg((try_cast(o_orderpriority AS DOUBLE) IS NOT NULL)::INT) AS p2 FROM orders)
-    SELECT 'o_orderkey' AS column_name, 'id' AS role UNION ALL SELECT 'o_custkey', 'id' UNION ALL SELECT 'o_orderdate', 'date' UNION ALL SELECT 'o_totalprice', 'num'
-    UNION ALL SELECT 'o_orderstatus', """ + _ROLE.format(p="p1", l="l1", dd="d1") + " FROM a UNION ALL SELECT 'o_orderpriority', " + _ROLE.format(p="p2", l="l2", dd="d2") + " FROM a")
+    , r AS (SELECT 'o_orderstatus' AS column_name, """ + _ROLE.format(p="p1", l="l1", dd="d1") + " AS role FROM a UNION ALL SELECT 'o_orderpriority', " + _ROLE.format(p="p2", l="l2", dd="d2") + """ FROM a)
+    SELECT column_name, CASE WHEN column_type LIKE 'TIMESTAMP%' OR column_type = 'DATE' THEN 'date' WHEN column_name IN ('o_orderkey', 'o_custkey') THEN 'id' WHEN column_type IN ('DOUBLE', 'INTEGER', 'BIGINT') THEN 'num' ELSE role END AS role
+    FROM (DESCRIBE orders) LEFT JOIN r USING (column_name) WHERE column_name IN ('o_orderkey', 'o_custkey', 'o_orderdate', 'o_totalprice', 'o_orderstatus', 'o_orderpriority')""")
 def q01(spark, d):
     return Q.infer_roles(t(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus", "o_orderpriority"], ids=["o_orderkey", "o_custkey"])
 
 
-@query("q02_schema_summary", """
-    SELECT 'nation' AS table_name, 'n_name' AS column_name, CASE WHEN count(DISTINCT n_name) < 0.5 * count(*) THEN 'cat' ELSE 'text' END AS role FROM nation
-    UNION ALL SELECT 'nation', 'n_regionkey', 'num' UNION ALL SELECT 'customer', 'c_mktsegment', CASE WHEN count(DISTINCT c_mktsegment) < 0.5 * count(*) THEN 'cat' ELSE 'text' END FROM customer
-    UNION ALL SELECT 'customer', 'c_acctbal', 'num'""")
+@query("q02_schema_summary", """WITH r AS (SELECT 'n_name' AS column_name, CASE WHEN count(DISTINCT n_name) < 0.5 * count(*) THEN 'cat' ELSE 'text' END AS role FROM nation UNION ALL SELECT 'c_mktsegment', CASE WHEN count(DISTINCT c_mktsegment) < 0.5 * count(*) THEN 'cat' ELSE 'text' END FROM customer),
+    c AS (SELECT 'nation' AS table_name, column_name, column_type FROM (DESCRIBE nation) UNION ALL SELECT 'customer', column_name, column_type FROM (DESCRIBE customer))
+    SELECT table_name, column_name, CASE WHEN column_type IN ('DOUBLE', 'INTEGER', 'BIGINT') THEN 'num' ELSE role END AS role FROM c LEFT JOIN r USING (column_name) WHERE column_name IN ('n_name', 'n_regionkey', 'c_mktsegment', 'c_acctbal')""")
 def q02(spark, d):
     frames = [Q.infer_roles(t(spark, d, n), cols).withColumn("table_name", F.lit(n)) for n, cols in (("nation", ["n_name", "n_regionkey"]), ("customer", ["c_mktsegment", "c_acctbal"]))]
     return Q.union_all(frames).select("table_name", "column_name", "role")

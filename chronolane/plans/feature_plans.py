@@ -273,7 +273,7 @@ def j12(spark, d):
     return _matches(spark, d).groupBy("condition", "prefix").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j14_snapshot_diff", "SELECT c_custkey, CASE WHEN c_custkey % 10 = 1 THEN 'added' WHEN c_custkey % 10 = 0 THEN 'removed' WHEN c_custkey % 10 = 2 THEN 'changed' ELSE 'unchanged' END AS change FROM customer")
+@query("j14_snapshot_diff", "WITH a AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 10 <> 1), b AS (SELECT c_custkey, CASE WHEN c_custkey % 10 = 2 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 10 <> 0) SELECT c_custkey, CASE WHEN a.c_custkey IS NULL THEN 'added' WHEN b.c_custkey IS NULL THEN 'removed' WHEN a.c_acctbal IS DISTINCT FROM b.c_acctbal THEN 'changed' ELSE 'unchanged' END AS change FROM a FULL JOIN b USING (c_custkey)")
 def j14(spark, d):
     c = t(spark, d, "customer").select("c_custkey", "c_acctbal")
     now = c.filter("c_custkey % 10 <> 0").withColumn("c_acctbal", F.when(F.col("c_custkey") % 10 == 2, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")))
@@ -357,15 +357,15 @@ def a04(spark, d):
 _WINDOWED = "wm AS (SELECT m.* FROM m JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate <= o_orderdate + INTERVAL 30 DAY)"
 
 
-def windowed_features(spark, d):
-    """Windowed statistics, wide: the measurement block of the feature rows."""
+def windowed_features(spark, d, hours=720):
+    """Windowed statistics, wide: the measurement block of the feature rows; names end in the window's hours."""
     orders = t(spark, d, "orders").withColumnRenamed("o_orderkey", "l_orderkey")
-    m = P.within_window(measurements(spark, d), orders, ["l_orderkey"], "l_shipdate", "o_orderdate", 30 * 24)
+    m = P.within_window(measurements(spark, d), orders, ["l_orderkey"], "l_shipdate", "o_orderdate", hours)
     wide = A.pivot_stats(_stats(m), "l_orderkey", "p_type", ITEMS, _COLS, "m", _DEFAULTS)
-    return wide.select("l_orderkey", *(F.col(c).alias(f"{c}_24h") for c in wide.columns if c != "l_orderkey"))
+    return wide.select("l_orderkey", *(F.col(c).alias(f"{c}_{hours}h") for c in wide.columns if c != "l_orderkey"))
 
 
-@query("a05_windowed_set", f"WITH {MEASUREMENTS}, {_WINDOWED}, {_stats_sql('wm')} {_pivot_sql('_24h')}")
+@query("a05_windowed_set", f"WITH {MEASUREMENTS}, {_WINDOWED}, {_stats_sql('wm')} {_pivot_sql('_720h')}")
 def a05(spark, d):
     return windowed_features(spark, d)
 
@@ -417,6 +417,23 @@ def a14(spark, d):
     return m.join(F.broadcast(rules), "prefix").groupBy("l_orderkey").agg(F.max("weight").alias("idx"))
 
 
+@query("a15_utilisation_of_all", f"""WITH {ENDS}, x AS (SELECT o_orderkey, o_custkey, o_orderdate, t_end, o_orderkey % 5 AS idx FROM ep), pr AS (SELECT a.o_orderkey, (epoch_us(a.o_orderdate) - epoch_us(b.t_end)) / 86400e6::DOUBLE AS gap, (epoch_us(b.t_end) - epoch_us(b.o_orderdate)) / 86400e6::DOUBLE AS los, b.idx FROM x a JOIN x b ON a.o_custkey = b.o_custkey AND b.t_end < a.o_orderdate AND b.t_end >= b.o_orderdate AND a.o_orderkey <> b.o_orderkey),
+    g AS (SELECT o_orderkey, count_if(gap <= 30) AS p30, count_if(gap <= 90) AS p90, count_if(gap <= 365) AS p365, sum(los) AS los, min(gap) AS gap, max(idx) AS idx FROM pr GROUP BY 1)
+    SELECT o_orderkey, coalesce(p30, 0) AS prior_30d, coalesce(p90, 0) AS prior_90d, coalesce(p365, 0) AS prior_365d, round(coalesce(los, 0.0::DOUBLE), 4) AS prior_los_days, round(coalesce(gap, -1.0::DOUBLE), 6) AS days_since_last, coalesce(g.idx, 0)::BIGINT AS max_prior_index FROM x LEFT JOIN g USING (o_orderkey)""")
+def a15_all(spark, d):
+    ep = episodes(spark, d).select("o_custkey", "o_orderkey", "o_orderdate", "t_end", (F.col("o_orderkey") % 5).alias("idx"))
+    return A.utilisation_of_all(ep, "o_custkey", "o_orderkey", "o_orderdate", "t_end", "idx", [30, 90, 365])
+
+
+@query("j14_change_severity", "WITH a AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 10 <> 1), b AS (SELECT c_custkey, CASE WHEN c_custkey % 10 = 2 THEN c_acctbal * 0.85::DOUBLE WHEN c_custkey % 10 = 3 THEN c_acctbal * 0.4::DOUBLE ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 10 <> 0), j AS (SELECT c_custkey, a.c_custkey IS NULL AS new, b.c_custkey IS NULL AS gone, a.c_acctbal AS x, b.c_acctbal AS y FROM a FULL JOIN b USING (c_custkey)) SELECT CASE WHEN gone OR (x - y) / nullif(abs(x), 0) >= 0.5 THEN 'critical' WHEN (x - y) / nullif(abs(x), 0) >= 0.1 THEN 'warning' ELSE 'info' END AS severity, CASE WHEN new THEN 'added' WHEN gone THEN 'removed' WHEN x IS DISTINCT FROM y THEN 'changed' ELSE 'unchanged' END AS change, count(*) AS n FROM j GROUP BY ALL")
+def j14_severity(spark, d):
+    c = t(spark, d, "customer").select("c_custkey", "c_acctbal")
+    k = F.col("c_custkey") % 10
+    now = c.filter("c_custkey % 10 <> 0").withColumn("c_acctbal", F.when(k == 2, F.col("c_acctbal") * 0.85).when(k == 3, F.col("c_acctbal") * 0.4).otherwise(F.col("c_acctbal")))
+    diff = J.snapshot_diff(c.filter("c_custkey % 10 <> 1"), now, "c_custkey", ["c_acctbal"], show=True)
+    return J.change_severity(diff, "before_c_acctbal", "after_c_acctbal", 0.1, 0.5).groupBy("severity", "change").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("a15_prior_utilisation", f"WITH {_PRIOR} SELECT o_orderkey, count_if(gap <= 30) AS prior_30d, count_if(gap <= 90) AS prior_90d, count_if(gap <= 365) AS prior_365d, round(min(gap), 6) AS days_since_last, count(*) AS n_prior FROM pr GROUP BY 1")
 def a15(spark, d):
     return A.prior_utilisation(_prior(spark, d), "o_orderkey", "o_orderdate", [30, 90, 365])
@@ -614,7 +631,7 @@ def w13(spark, d):
     return s.agg(F.count(F.lit(1)).alias("n_sessions"), F.sum("n").alias("n_turns"), F.round(F.avg("n"), 6).alias("turns_per_session"))
 
 
-@query("t01_sorted_events", "SELECT user_id, count(*) AS n, 0::BIGINT AS n_unordered FROM events GROUP BY 1")
+@query("t01_sorted_events", "SELECT user_id, count(*) AS n, count_if(prev > ts) AS n_unordered FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) GROUP BY 1")
 def t01(spark, d):
     e = t(spark, d, "events").repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
     prev = F.lag("ts").over(W.partitionBy("user_id").orderBy("ts", "event_id"))

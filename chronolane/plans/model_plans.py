@@ -110,7 +110,7 @@ def f06(spark, d):
     return spark.createDataFrame([(c,) for c in S.greedy_elimination(pairs, cols, missing)], "dropped string")
 
 
-@query("f07_duplicate_columns", "SELECT 'qty' AS feature_a, 'qty_copy' AS feature_b")
+@query("f07_duplicate_columns", f"WITH {_WIDE}, k AS (" + " UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, count_if({a} IS DISTINCT FROM {b}) AS n FROM x" for a, b in (("qty", "price"), ("qty", "qty_copy"), ("price", "qty_copy"))) + ") SELECT feature_a, feature_b FROM k WHERE n = 0")
 def f07(spark, d):
     return S.duplicate_columns(_wide(spark, d), "l_orderkey", ["qty", "price", "qty_copy"])
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,3 +87,46 @@ def resume(spark: SparkSession, path: str, build) -> DataFrame:
 
 def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; only a local session may leave it unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_own_scratch", None)
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = spark._own_scratch = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
+    return named
+
+
+def read_csv_filtered(spark: SparkSession, path: str, schema: T.StructType, keep: Column, row_step: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The rows of a CSV file or folder that pass keep, after an optional step on them; splits of the file are the chunks."""
+    rows = read_csv(spark, csv_path(spark, path), schema).drop("_bad_record").filter(keep)
+    return row_step(rows) if row_step else rows
+
+
+def load_report(spark: SparkSession, specs: list[TableSpec]) -> DataFrame:
+    """table_name, n_rows, n_duplicate_keys, status (loaded, missing, failed) of each spec; one bad table does not stop the others."""
+    rows = []
+    for spec in specs:
+        there = exists(spark, spec.path)
+        try:
+            df = load(spark, spec)
+            keyed = df.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("n")) if spec.keys else df.select(F.lit(1).cast("long").alias("n"))
+            n, groups = keyed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+            rows.append((spec.name, n, n - groups, "loaded" if there else "missing"))
+        except Exception:
+            rows.append((spec.name, None, None, "failed"))
+    return spark.createDataFrame(rows, "table_name string, n_rows long, n_duplicate_keys long, status string")
+
+
+def read_rules(spark: SparkSession, path: str, schema: str, key: str, required: list[str], allowed: dict[str, list[str]]) -> DataFrame:
+    """Rule rows from JSON (lines, or one array) with problem: the first of missing, unknown or repeated, null where the rule is sound."""
+    rules = spark.read.schema(schema).option("multiLine", False).json(path)
+    problem = F.when(F.col(key).isNull() | (F.col(key) == ""), f"missing {key}")
+    for c in required:
+        problem = problem.when(F.col(c).isNull() | (F.col(c).cast("string") == ""), f"missing {c}")
+    for c, values in allowed.items():
+        problem = problem.when(~F.col(c).isin(*values), f"unknown {c}")
+    repeated = rules.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    return rules.join(repeated, F.col(key) == F.col("__k"), "left").withColumn("problem", problem.when(F.col("__n") > 1, f"repeated {key}")).drop("__k", "__n")

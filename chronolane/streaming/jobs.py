@@ -61,3 +61,9 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     """Processes what has arrived and stops."""
     q = stream.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def run_batches(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Appends what each batch of a stream in update mode emits to Parquet; a batch that is run again appends equal rows again."""
+    q = stream.writeStream.foreachBatch(lambda df, _: df.write.mode("append").parquet(path)).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination()
