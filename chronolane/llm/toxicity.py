@@ -87,7 +87,7 @@ class Voters:
         return out
 
 
-def label_model(votes: np.ndarray, votes_toxic: np.ndarray, rounds: int = 40, dependent: float = 0.3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, votes_toxic: np.ndarray, rounds: int = 40, dependent: float = 0.6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior probability that a document is toxic, each voter's accuracy, and its share, from votes alone.
 
     votes: documents by voters, 1 where a voter speaks; votes_toxic: what it then says. Starts from
