@@ -65,14 +65,17 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def one_of_twins(docs: DataFrame, text_key: Column) -> DataFrame:
-    """docs with one of each set of rows that agree in doc_id and text_key. Only rows that have a twin are moved."""
+def one_of_twins(docs: DataFrame, text_key: Column, keys: DataFrame | None = None) -> DataFrame:
+    """docs with one of each set of rows that agree in doc_id and text_key. Only rows that have a twin are moved.
+
+    keys: a table of two columns that holds both for every row of docs, if there is one already.
+    """
     keyed = docs.withColumns({"__i": F.col("doc_id"), "__k": text_key})
-    twins = durable(keyed.groupBy("__i", "__k").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n"))
+    pairs = keyed.select(F.col("__i").alias("__j"), F.col("__k").alias("__l")) if keys is None else keys.toDF("__j", "__l")
+    twins = durable(pairs.groupBy("__j", "__l").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n"))
     if twins.isEmpty():
         return docs
     mine = F.col("__i").eqNullSafe(F.col("__j")) & (F.col("__k") == F.col("__l"))
-    twins = twins.select(F.col("__i").alias("__j"), F.col("__k").alias("__l"))
     single, several = keyed.join(twins, mine, "left_anti"), keyed.join(twins, mine, "left_semi")
     return single.unionByName(several.dropDuplicates(["__i", "__k"])).drop("__i", "__k")
 

@@ -35,6 +35,20 @@ def merged_runs(digests: DataFrame, runs: int = 64, fan_in: int = 2) -> DataFram
     return level.select(*_KEY, F.col("least.id").alias("keep_id"), "group_size")
 
 
+def _digests(docs: DataFrame, runs: int) -> DataFrame:
+    """doc_id, text_sha256, v_length, v_hash and run of each row, as a durable table."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("t"))
+    digest = F.sha2("t", 256).alias("text_sha256"), F.octet_length("t").cast("long").alias("v_length"), F.xxhash64("t").alias("v_hash")
+    return durable(rows.select("doc_id", *digest, F.pmod(F.spark_partition_id(), F.lit(runs)).alias("run")))
+
+
+def _decided(rows: DataFrame, runs: int, fan_in: int) -> DataFrame:
+    shared = merged_runs(rows, runs, fan_in).filter("group_size > 1")
+    out = rows.drop("run").join(shared, _KEY, "left")
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+
+
 def exact_duplicates(docs: DataFrame, runs: int = 64, fan_in: int = 2) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs (doc_id, text, ...).
 
@@ -45,14 +59,7 @@ def exact_duplicates(docs: DataFrame, runs: int = 64, fan_in: int = 2) -> DataFr
     leaves one of them). A null doc_id never wins over a number; a group without any id has a null
     keep_id and all its rows are kept. Other columns are ignored. An empty table gives an empty one.
     """
-    text = normalised()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t")).select("doc_id", F.sha2("t", 256).alias("text_sha256"), F.octet_length("t").cast("long").alias("v_length"), F.xxhash64("t").alias("v_hash"), F.pmod(F.spark_partition_id(), F.lit(runs)).alias("run"))
-    rows = durable(rows)
-    groups = merged_runs(rows, runs, fan_in)
-    shared = groups.filter("group_size > 1")
-    out = rows.drop("run").join(shared, _KEY, "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    return _decided(_digests(docs, runs), runs, fan_in)
 
 
 def keep_first(docs: DataFrame, runs: int = 64, fan_in: int = 2) -> DataFrame:
@@ -61,7 +68,8 @@ def keep_first(docs: DataFrame, runs: int = 64, fan_in: int = 2) -> DataFrame:
     Of rows that repeat both id and text, or of a text that no row with an id has, one stays; rows
     without an id go if a row with one has their text.
     """
-    marks = exact_duplicates(docs, runs, fan_in).filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    rows = _digests(docs, runs)
+    marks = _decided(rows, runs, fan_in).filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
     own = F.sha2(normalised(), 256)
     kept = docs.join(marks, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (own == F.col("__sha")), "left_anti")
-    return one_of_twins(kept, own)
+    return one_of_twins(kept, own, rows.select("doc_id", "text_sha256"))

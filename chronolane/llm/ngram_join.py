@@ -318,6 +318,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     A row without an id stays only where no row of its component has one; of rows that repeat id and
     text one stays.
     """
-    gone = near_rows(docs, **options).filter("not keeper").select(F.col("doc_id").alias("__id"), F.col("twin").alias("__twin")).distinct()
+    near = durable(near_rows(docs, **options).select("doc_id", "twin", "keeper"))
+    gone = near.filter("not keeper").select(F.col("doc_id").alias("__id"), F.col("twin").alias("__twin")).distinct()
     kept = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_bytes()) == F.col("__twin")), "left_anti")
-    return one_of_twins(kept, F.xxhash64(text_bytes()))
+    return one_of_twins(kept, F.xxhash64(text_bytes()), near.select("doc_id", "twin"))
