@@ -19,9 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from chronolane.llm.common import id_fold, ship, text_bytes
+from chronolane.llm.common import durable, id_fold, ship, text_bytes
 from chronolane.llm.labelled import labelled_sample
 
 LEXICON = ("clown", "disgusting", "dumb", "filth", "garbage", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
@@ -55,10 +54,9 @@ def _learned_terms(sample: DataFrame, most: int, least: int = 5, ratio: float =
     clean, toxic = (total[0] or 0) + 1.0, (total[1] or 0) + 1.0
     counts = sample.select("text", "label").mapInArrow(run, "term binary, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / toxic) - F.log((F.col("clean") + 0.5) / clean)
-    strong = counts.filter((F.col("toxic") + F.col("clean") >= least) & (F.abs(odds) > math.log(ratio))).withColumn("odds", odds)
-    rank = F.row_number().over(Window.partitionBy(F.col("odds") > 0).orderBy(F.abs("odds").desc(), "term"))
-    top = strong.withColumn("rank", rank).filter(F.col("rank") <= most).orderBy("rank").collect()
-    return [bytes(r.term) for r in top if r.odds > 0], [bytes(r.term) for r in top if r.odds < 0]
+    strong = durable(counts.filter((F.col("toxic") + F.col("clean") >= least) & (F.abs(odds) > math.log(ratio))).select("term", odds.alias("odds")))
+    top = lambda side: [bytes(r.term) for r in strong.filter(side).orderBy(F.abs("odds").desc(), "term").limit(most).collect()]
+    return top("odds > 0"), top("odds < 0")
 
 
 class Voters:
