@@ -172,3 +172,20 @@ def test_two_stage_duration_is_evaluated_on_actual_and_predicted_short(spark):
     got = {r.subset: r for r in models.evaluate_duration(fitted, df, ["x"], "days").collect()}
     assert got["all"].n == 200 and got["all"].accuracy > 0.98 and got["all"].auroc > 0.98 and got["all"].mae is None
     assert got["actual_short"].n == 150 and abs(got["predicted_short"].n - 150) <= 3 and got["actual_short"].r2 > 0.9 and got["predicted_short"].mae < 15
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    spark = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        catalog.scratch(spark)
+
+
+def test_document_and_rule_validation_of_edge_rows(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "https://a.example.org/x", "h"), (2, None, "h"), (3, "https://evil-example.org/x", "h"), (4, "ftp://example.org", ""), (5, "http://example.org", "h"), (5, "http://example.org", "h")], "id int, url string, html string")
+    got = sorted((r.id, r.problem or "", r.tier) for r in quality.validated_documents(docs, "id", "url", ["url", "html"], [("example.org", 1)], 9).collect())
+    assert got == [(1, "", 1), (2, "missing url", 9), (3, "source not allowed", 9), (4, "missing html", 9), (5, "repeated id", 1), (5, "repeated id", 1)]
+    (tmp_path / "r.json").write_text('{"id": "a", "label": "x"}\n{"id": "a", "label": "y"}\n{"label": "z"}\n{"id": "b"}\n{"id": "c", "label": "ok"}\n')
+    rules = catalog.read_rules(spark, str(tmp_path / "r.json"), "id string, label string", "id", ["label"], {})
+    assert sorted((r.id or "", r.problem or "") for r in rules.collect()) == [("", "missing id"), ("a", "repeated id"), ("a", "repeated id"), ("b", "missing label"), ("c", "")]
