@@ -51,6 +51,15 @@ def exclude(df: DataFrame, patterns: list[str]) -> DataFrame:
     return df.drop(*match_patterns(df.columns, patterns))
 
 
+def protocol(df: DataFrame, lists: dict[str, list[str]], chosen: list[str]) -> tuple[DataFrame, list[str]]:
+    """df without the columns of the chosen named exclusion lists, and the patterns of theirs that match no column.
+
+    A pattern that matches nothing is most likely a misspelt one, and a leak.
+    """
+    patterns = list(dict.fromkeys(p for name in chosen for p in lists[name]))
+    return exclude(df, patterns), [p for p in patterns if not match_patterns(df.columns, [p])]
+
+
 def interactions(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return df.withColumns({f"{a}_x_{b}": F.col(a) * F.col(b) for a, b in pairs if a in df.columns and b in df.columns})
 

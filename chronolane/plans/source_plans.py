@@ -121,6 +121,22 @@ def p04(spark, d):
     return spark.createDataFrame(rows, "pattern string, n_columns long, columns string")
 
 
+LISTS = {"keys": ["l_*key"], "dates": ["l_*date", "l_*_at"], "prices": ["l_extended*", "l_tax", "l_discount"]}
+_DROPPED = {"strict": ["keys", "dates", "prices"], "dated": ["dates"]}
+_LIKE = " OR ".join
+_KEEP_SQL = {n: _LIKE(f"column_name LIKE '{p.replace('*', '%')}'" for k in ks for p in LISTS[k]) for n, ks in _DROPPED.items()}
+
+
+@query("p04_protocols", " UNION ALL ".join(f"SELECT '{n}' AS protocol, column_name FROM (DESCRIBE lineitem) WHERE NOT ({w})" for n, w in _KEEP_SQL.items()) + " UNION ALL SELECT 'unmatched in ' || p, 'l_*_at' FROM (VALUES ('strict'), ('dated')) AS v(p) WHERE NOT EXISTS (SELECT 1 FROM (DESCRIBE lineitem) WHERE column_name LIKE 'l_%_at')")
+def p04_protocols(spark, d):
+    li = t(spark, d, "lineitem")
+    rows = []
+    for name, lists in _DROPPED.items():
+        kept, unmatched = D.protocol(li, LISTS, lists)
+        rows += [(name, c) for c in kept.columns] + [(f"unmatched in {name}", p) for p in unmatched]
+    return spark.createDataFrame(rows, "protocol string, column_name string")
+
+
 @query("f09_selected_dataset", "SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity, l_discount FROM lineitem")
 def f09(spark, d):
     return S.selected(t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_returnflag"], ["l_quantity", "l_discount", "not_there", "l_orderkey"])
