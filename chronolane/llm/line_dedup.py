@@ -74,7 +74,7 @@ def line_dedup(docs: DataFrame, window: int = 3, divisor: int = 4, min_lines: in
     keyed = flat.select("doc_id", "twin", "chunk", F.col("c.body").alias("body"), F.xxhash64("c.body").alias("h1"))
     repeated = durable(keyed.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1"))
     candidates = keyed.join(repeated, "h1")
-    first = candidates.groupBy("h1", "body").agg(F.min(_place("chunk")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    first = durable(candidates.groupBy("h1", "body").agg(F.min(_place("chunk")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     gone = candidates.join(first, ["h1", "body"]).filter(_place("chunk") != F.col("first")).groupBy("doc_id", "twin").agg(F.collect_set("chunk").alias("gone"))
     out = chunked(_with(rows, gone), window, divisor)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), "gone"), lambda k: F.get("chunks", k)["body"])
@@ -96,7 +96,7 @@ def line_runs(docs: DataFrame) -> DataFrame:
     split = _once(rows, lines=F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)).filter(F.size("lines") > 1)
     pairs = F.zip_with(F.slice("lines", 1, F.size("lines") - 1), F.slice("lines", 2, F.size("lines") - 1), lambda a, b: F.concat_ws("\n", a, b))
     keyed = durable(split.select("doc_id", "twin", F.posexplode(pairs).alias("at", "body")).select("doc_id", "twin", "at", F.unhex(F.sha2("body", 256)).alias("h")))
-    first = keyed.groupBy("h").agg(F.min(_place("at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    first = durable(keyed.groupBy("h").agg(F.min(_place("at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     later = keyed.join(first, "h").filter(_place("at") != F.col("first"))
     gone = later.groupBy("doc_id", "twin").agg(F.collect_set("at").alias("at")).select("doc_id", "twin", F.array_union("at", F.transform("at", lambda i: i + 1)).alias("gone"))
     out = _once(_with(rows, gone), lines=F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))
