@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolane.llm import decontaminate, exact_dedup, hard_negatives, line_dedup, lm_score, ngram_join, packing, quality, substring_dedup, token_counts, toxicity
-from chronolane.llm.common import table
+from chronolane.llm import conversations, decontaminate, exact_dedup, hard_negatives, line_dedup, lm_score, ngram_join, packing, quality, substring_dedup, token_counts, toxicity
+from chronolane.llm.common import durable, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -65,6 +65,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_substrings(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.for_every(rows, conversations.summaries(durable(conversations.repair(conversations.damage(rows)))))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
@@ -73,7 +78,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_exact_dedup, op3_line_dedup, op4_packing, op5_lm_score, op6_ngram_join, op7_quality, op8_decontamination, op9_toxicity, op10_substring_dedup, op13_hard_negatives, op3_line_runs)
+    for f in (op1_token_counts, op2_exact_dedup, op3_line_dedup, op4_packing, op5_lm_score, op6_ngram_join, op7_quality, op8_decontamination, op9_toxicity, op10_substring_dedup, op12_conversation_repair, op13_hard_negatives, op3_line_runs)
 }
 
 ORACLES: dict[str, str] = {
