@@ -42,7 +42,7 @@ def hard_negatives(rows: DataFrame, anchor: Column, positives: int = 5, negative
     ship(spark)
     x = F.col("embedding")
     fine = F.forall(x, lambda c: F.coalesce(F.abs(c.cast("double")) <= F.lit(float(largest)), F.lit(False)))
-    scaled = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("int"))
+    scaled = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("int" if largest * scale < 1 << 31 else "long"))
     part = rows.filter(F.col("label").isNotNull() & x.isNotNull() & (F.size(x) > 0) & fine)
     part = durable(part.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), scaled.alias("v")))
     bounds = part.agg(F.max(F.greatest(F.array_max("v"), -F.array_min("v"))), F.max(F.size("v"))).first()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolane.llm import conversations, decontaminate, exact_dedup, hard_negatives, line_dedup, lm_score, ngram_join, packing, quality, substring_dedup, token_counts, toxicity
+from chronolane.llm import conversations, decontaminate, embedding_dedup, exact_dedup, hard_negatives, line_dedup, lm_score, ngram_join, packing, quality, substring_dedup, token_counts, toxicity
 from chronolane.llm.common import durable, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -65,6 +65,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_substrings(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return conversations.for_every(rows, conversations.summaries(durable(conversations.repair(conversations.damage(rows)))))
@@ -78,7 +82,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_exact_dedup, op3_line_dedup, op4_packing, op5_lm_score, op6_ngram_join, op7_quality, op8_decontamination, op9_toxicity, op10_substring_dedup, op12_conversation_repair, op13_hard_negatives, op3_line_runs)
+    for f in (op1_token_counts, op2_exact_dedup, op3_line_dedup, op4_packing, op5_lm_score, op6_ngram_join, op7_quality, op8_decontamination, op9_toxicity, op10_substring_dedup, op11_embedding_dedup, op12_conversation_repair, op13_hard_negatives, op3_line_runs)
 }
 
 ORACLES: dict[str, str] = {
@@ -112,6 +116,13 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op11_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM least""",
     "op13_hard_negatives": """
         WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
                    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
