@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from chronolane.operators.phrases import phrase_hits
 from chronolane.operators.text import _mentions, numbers, tf_idf_cosine, tokens
 
 
+#: Rank a match of the whole string above a match of any number of its words.
+EXACT, DESALTED = 1_000_002, 1_000_001
+
+
 def weighted_index(docs: DataFrame, key: str, topics: str, keywords: str, text: str, weights: tuple[int, int, int] = (3, 2, 1)) -> DataFrame:
     """term, key, weight: a term's weight is the sum of those of the parts that hold it; topics and keywords are arrays."""
     none = F.array().cast("array<string>")
@@ -90,14 +95,15 @@ def medications(df: DataFrame, key: str, text: str, names: DataFrame, noise: str
     tidy = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "[^a-z0-9 ]+", " "), " +", " "))
     x = df.select(key, tidy(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), noise, " ")).alias("clean"))
     x = x.withColumn("bare", tidy(F.regexp_replace("clean", salts, " ")))
-    t = tokens("bare")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.when(i + n - 1 <= F.size(t), F.struct(F.array_join(F.slice(t, i, n), " ").alias("name"), n.alias("n"))))))
-    forms = F.concat(F.array(F.struct(F.col("clean").alias("name"), F.lit(300).alias("n")), F.struct(F.col("bare").alias("name"), F.lit(200).alias("n"))), F.array_compact(runs))
-    hits = x.select(key, F.explode(forms).alias("f")).select(key, "f.*").filter("name <> ''").join(names, "name")
+    forms = F.array(F.struct(F.col("clean").alias("name"), F.lit(EXACT).alias("n")), F.struct(F.col("bare").alias("name"), F.lit(DESALTED).alias("n")))
+    whole = x.select(key, F.explode(forms).alias("f")).select(key, "f.*").filter("name <> ''").join(names, "name")
+    within = phrase_hits(x, key, "bare", names.withColumn("phrase", F.col("name")), tokens).filter(F.col("name") == F.array_join(tokens("name"), " "))
+    columns = [key, "n", "ingredient", "class", "kind"]
+    hits = whole.select(columns).union(within.select(columns))
     order = F.struct(F.col("n"), (F.col("kind") == "brand").cast("int").alias("b"), "ingredient", "class", "kind")
     best = hits.groupBy(key).agg(F.max(order).alias("m"))
-    way = F.when(F.col("m.n") == 300, "exact").when(F.col("m.n") == 200, "desalted").otherwise("phrase")
-    sure = F.when(F.col("m.n") == 300, 0.99).when(F.col("m.n") == 200, 0.95).otherwise(0.90)
+    way = F.when(F.col("m.n") == EXACT, "exact").when(F.col("m.n") == DESALTED, "desalted").otherwise("phrase")
+    sure = F.when(F.col("m.n") == EXACT, 0.99).when(F.col("m.n") == DESALTED, 0.95).otherwise(0.90)
     none = F.col("m").isNull()
     return x.join(best, key, "left").select(key, F.col("m.ingredient").alias("ingredient"), F.col("m.class").alias("class"), F.when(none, 0.0).otherwise(sure).alias("confidence"), F.when(F.col("clean") == "", "empty").when(none, "unmatched").otherwise(F.concat_ws("_", "m.kind", way)).alias("method"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from chronolane.operators.phrases import phrase_hits
+
 
 def tokens(text: str | Column) -> Column:
     """Lower-cased runs of ASCII letters and digits."""
@@ -25,11 +27,8 @@ def note_features(df: DataFrame, text: str, keywords: list[str], negations: str)
 
 
 def _mentions(df: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
-    """alias, key, at, n, concept: each place where a text holds an alias (alias, concept; one to three words)."""
-    t = df.select(key, tokens(text).alias("t")).filter(F.size("t") > 0)
-    gram = lambda n: F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i: F.struct(i.alias("at"), F.array_join(F.slice("t", i, n), " ").alias("alias"), F.lit(n).alias("n")))
-    grams = F.concat(*(F.when(F.size("t") >= n, gram(n)).otherwise(F.array().cast("array<struct<at:int,alias:string,n:int>>")) for n in (1, 2, 3)))
-    return t.select(key, F.explode(grams).alias("g")).select(key, "g.*").join(aliases, "alias")
+    """key, at, n, alias, concept: each place where a text holds an alias (alias, concept; of any length)."""
+    return phrase_hits(df, key, text, aliases.withColumn("phrase", F.col("alias")), tokens).drop("phrase")
 
 
 def first_concept(df: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
