@@ -132,14 +132,16 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     docs holds doc_id and text; a null or empty text is the end token alone; rows that repeat are
     packed each; other columns are not read; an empty table gives an empty one. Sequences are
     gapless from offset 0 and hold at most `capacity` tokens; full pieces fill one each.
-    group_size is the mean number of pieces that are packed together.
+    group_size is the mean number of pieces that are packed together. Groups are drawn by the piece, not by
+    the document, so null ids and ids that repeat are dealt like any others.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    pieces = durable(map_batches(rows, _cut(tokenizer_path, capacity, end_id), "doc_id long,start long,length long,ids_crc32 long,doc_tokens long"))
+    pieces = map_batches(rows, _cut(tokenizer_path, capacity, end_id), "doc_id long,start long,length long,ids_crc32 long,doc_tokens long")
+    pieces = durable(pieces.withColumn("piece", F.monotonically_increasing_id()))
     groups = max(1, -(-pieces.count() // group_size))
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(groups)))
+    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("piece", F.lit(seed)), F.lit(groups))).drop("piece")
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")

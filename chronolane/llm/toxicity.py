@@ -1,6 +1,6 @@
 """Toxicity by weak supervision.
 
-Many voters look at a document and vote toxic, vote clean or abstain: a stated lexicon, patterns, and
+Many voters look at a document and vote toxic, vote clean or abstain: a lexicon if one is given, patterns, and
 words and word beginnings that stand out among training documents of either label. A generative label
 model estimates from the votes alone, by expectation maximisation, how often each voter speaks on
 toxic and on clean documents, hence its accuracy, and how voters depend on each other beyond that;
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from chronolane.llm.common import durable, id_fold, ship, text_bytes
 from chronolane.llm.labelled import labelled_sample
 
-LEXICON = ("clown", "disgusting", "dumb", "filth", "garbage", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
+#: Residual correlations from which voters may count as dependent; folds of the training rows choose.
+DEPENDENT = (0.3, 0.6, 0.9)
 PREFIXES = (4, 5, 6)
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -62,8 +63,8 @@ def _learned_terms(sample: DataFrame, most: int, least: int = 5, ratio: float =
 class Voters:
     """Which voters speak on a text. Lexicon words, patterns and learned toxic terms vote toxic; learned clean terms, and the voter that found nothing toxic, vote clean."""
 
-    def __init__(self, toxic: list[bytes], clean: list[bytes]) -> None:
-        bad = [w.encode() for w in LEXICON]
+    def __init__(self, toxic: list[bytes], clean: list[bytes], lexicon: tuple[str, ...] = ()) -> None:
+        bad = [w.lower().encode() for w in lexicon]
         bad += [t for t in toxic if t not in set(bad)]
         good = [t for t in clean if t not in set(bad)]
         self.index = {t: i for i, t in enumerate([*bad, *good])}
@@ -85,7 +86,7 @@ class Voters:
         return out
 
 
-def label_model(votes: np.ndarray, votes_toxic: np.ndarray, rounds: int = 40, dependent: float = 0.6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, votes_toxic: np.ndarray, rounds: int = 40, dependent: float = DEPENDENT[0]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior probability that a document is toxic, each voter's accuracy, and its share, from votes alone.
 
     votes: documents by voters, 1 where a voter speaks; votes_toxic: what it then says. Starts from
@@ -126,41 +127,65 @@ def fit_linear(x: np.ndarray, q: np.ndarray, penalty: float = 1e-4, steps: int =
 
 
 def best_cut(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The score that parts the labels with the fewest errors, in the middle of its gap."""
+    """The score that parts the labels with the fewest errors, in the middle of its gap; beyond all scores if one side is empty."""
     order = np.argsort(scores, kind="stable")
     s, y = scores[order], labels[order]
     errors = np.cumsum(np.concatenate([[0], np.where(y == 1, 1, -1)])) + (y == 0).sum()
     errors[1:-1][s[1:] == s[:-1]] = len(y) + 1  # no cut between equal scores
     at = int(np.argmin(errors))
-    return float((s[max(0, at - 1)] + s[min(at, len(s) - 1)]) / 2)
+    s = np.concatenate([[s[0] - 2], s, [s[-1] + 2]])
+    return float((s[at] + s[at + 1]) / 2)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.5, most: int = 12_000, most_terms: int = 256, folds: int = 5, held_fold: int = 0, scored: DataFrame | None = None) -> DataFrame:
+def fit_voters(votes: np.ndarray, y: np.ndarray, votes_toxic: np.ndarray, dependent: float) -> np.ndarray:
+    """Weights of a linear classifier of the posterior labels; labels only name the toxic class and place the cut."""
+    q, _, _ = label_model(votes, votes_toxic, dependent=dependent)
+    if q[y == 1].mean() < q[y == 0].mean():
+        q = 1 - q
+    w = fit_linear(votes, q)
+    w[-1] -= best_cut(votes @ w[:-1] + w[-1], y)
+    return w
+
+
+def choose_dependent(votes: np.ndarray, y: np.ndarray, votes_toxic: np.ndarray, parts: int = 3, most: int = 3000) -> float:
+    """The least of DEPENDENT with the fewest errors over parts of the first `most` training rows, each predicted from the others."""
+    votes, y = votes[:most], y[:most]
+    part = np.arange(len(y)) % parts
+    errors = []
+    for dependent in DEPENDENT:
+        wrong = 0
+        for k in range(parts):
+            if len(set(y[part != k].tolist())) == 2:
+                w = fit_voters(votes[part != k], y[part != k], votes_toxic, dependent)
+                wrong += int(((votes[part == k] @ w[:-1] + w[-1] >= 0) != y[part == k]).sum())
+        errors.append(wrong)
+    return DEPENDENT[int(np.argmin(errors))]
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.5, most: int = 12_000, most_terms: int = 256, folds: int = 5, held_fold: int = 0, scored: DataFrame | None = None, lexicon: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs; labels holds doc_id and toxic (0, 1).
 
     Fits on at most `most` labelled documents, none from the held fold, with at most most_terms
-    learned voters for each class. A null text counts as empty; without labels of both classes the stated lexicon
+    learned voters for each class. lexicon: lower-cased words that vote toxic. From which correlation voters count as
+    dependent is chosen by parts of the training rows. A null text counts as empty; a null id counts as the empty text in its
+    fold; without labels of both classes the lexicon
     alone decides; repeated rows are scored each; other columns are not read; an empty table gives
     an empty one. scored: rows to score in the place of docs, which then only fit.
     """
     spark = docs.sparkSession
     ship(spark)
     sample = labelled_sample(docs, labels, "toxic", most, folds, held_fold)
-    voters = Voters(*_learned_terms(sample, most_terms))
+    voters = Voters(*_learned_terms(sample, most_terms), lexicon)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([voters.fire(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["label", "fired"])
 
-    seen = sample.orderBy("doc_id").select("label", "text").mapInArrow(look, "label int, fired array<int>").toPandas()
+    seen = sample.orderBy(F.xxhash64("doc_id"), "doc_id").select("label", "text").mapInArrow(look, "label int, fired array<int>").toPandas()
     y = seen["label"].to_numpy(dtype=int)
     if len(set(y.tolist())) == 2:
         votes = voters.matrix([list(f) for f in seen["fired"]])
-        q, _, _ = label_model(votes, voters.votes_toxic)
-        if q[y == 1].mean() < q[y == 0].mean():
-            q = 1 - q
-        w = fit_linear(votes, q)
-        w[-1] -= best_cut(votes @ w[:-1] + w[-1], y)
+        w = fit_voters(votes, y, voters.votes_toxic, choose_dependent(votes, y, voters.votes_toxic))
     else:
         w = np.concatenate([np.where(np.arange(voters.size) < voters.n_bad, 4.0, 0.0), [-2.0]])
     model = spark.sparkContext.broadcast((voters, w))

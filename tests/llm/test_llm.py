@@ -393,7 +393,45 @@ def test_classifiers_without_labels(spark, edge):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality.quality_scores(edge, none).collect()} == {0.5}
     rude = spark.createDataFrame([(1, "you stupid idiot"), (2, "hello")], "doc_id long, text string")
-    assert {r.doc_id: r.predicted for r in toxicity.toxicity_scores(rude, none).collect()} == {1: 1, 2: 0}
+    assert {r.doc_id: r.predicted for r in toxicity.toxicity_scores(rude, none, lexicon=("stupid", "Idiot")).collect()} == {1: 1, 2: 0}
+
+
+def test_the_cut_lies_between_scores_or_beyond_all():
+    cut = lambda s, y: toxicity.best_cut(np.array(s), np.array(y))
+    assert cut([0.0, 1.0, 3.0, 4.0], [0, 0, 1, 1]) == 2.0
+    assert cut([1.0, 1.0, 1.0], [0, 0, 1]) > 1.0 and cut([1.0, 1.0, 1.0], [1, 1, 0]) < 1.0
+
+
+def test_dependence_is_chosen_from_training_rows():
+    rng = np.random.default_rng(3)
+    y = (rng.random(900) < 0.3).astype(int)
+    votes = np.array([rng.random(900) < np.where(y == 1, 0.6, 0.1) for _ in range(6)]).T.astype(float)
+    kind = np.ones(6, dtype=bool)
+
+    def errors(dependent):
+        part = np.arange(900) % 3
+        fits = [toxicity.fit_voters(votes[part != k], y[part != k], kind, dependent) for k in range(3)]
+        return sum(int(((votes[part == k] @ w[:-1] + w[-1] >= 0) != y[part == k]).sum()) for k, w in enumerate(fits))
+
+    found = [errors(d) for d in toxicity.DEPENDENT]
+    assert toxicity.choose_dependent(votes, y, kind) == toxicity.DEPENDENT[found.index(min(found))]
+
+
+def test_repeated_ids_give_one_sample(spark):
+    from chronolane.llm.labelled import labelled_sample
+
+    rows = [(7, f"text {i}") for i in range(50)] + [(8, None)]
+    labels = spark.createDataFrame([(7, 1), (7, 0), (8, 0)], "doc_id long, toxic int")
+    frames = [spark.createDataFrame(r, "doc_id long, text string").repartition(n) for r, n in ((rows, 1), (rows[::-1], 7))]
+    got = [sorted((r.doc_id, bytes(r.text), r.label) for r in labelled_sample(f, labels, "toxic", 10, 5, 4).collect()) for f in frames]
+    assert got[0] == got[1] and len(got[0]) == len({g[0] for g in got[0]})
+
+
+def test_null_ids_are_packed_in_groups_of_the_size_asked_for(spark):
+    rows = [(None, f"word {i % 9}") for i in range(3000)] + [(5, "same")] * 1000
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), queries.tokenizer_path(), group_size=50).toPandas()
+    groups = (out["sequence_id"] // (1 << 32)).value_counts()
+    assert len(out) == 4000 and len(groups) == 80 and groups.max() <= 150
 
 
 def test_pipeline_stages_filter_and_pack(spark, docs, texts):
@@ -414,7 +452,7 @@ def test_filters_judge_rows_and_not_ids(spark):
     rows = [(None, "you stupid idiot"), (None, "hello there"), (1, "you stupid idiot"), (1, "good day"), (2, "one two three")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert {tuple(r) for r in toxicity.clean_documents(frame, none).collect()} == {rows[1], rows[3], rows[4]}
+    assert {tuple(r) for r in toxicity.clean_documents(frame, none, lexicon=("idiot",)).collect()} == {rows[1], rows[3], rows[4]}
     bench = spark.createDataFrame([(1, "stupid idiot")], "item_id long, text string")
     assert {tuple(r) for r in decontaminate.clean_documents(frame, bench).collect()} == {rows[1], rows[3], rows[4]}
 
