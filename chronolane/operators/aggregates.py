@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from chronolane.operators.ordered import percentiles
+
 
 def r6(c: Column) -> Column:
     return F.round(c, 6)
@@ -114,7 +116,9 @@ def value_counts(df: DataFrame, c: str, top: int) -> DataFrame:
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """column_name, n, mean, std, min, p25, p50, p75, max with exact percentiles."""
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns))).alias("r")).select("r.*")
-    return long.groupBy("column_name").agg(F.count("v").alias("n"), r6(F.avg("v")).alias("mean"), r6(F.stddev_samp("v")).alias("std"), F.min("v").alias("min"), *(r6(F.percentile("v", q)).alias(f"p{int(100 * q)}") for q in (0.25, 0.5, 0.75)), F.max("v").alias("max"))
+    basic = long.groupBy("column_name").agg(F.count("v").alias("n"), r6(F.avg("v")).alias("mean"), r6(F.stddev_samp("v")).alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    cuts = percentiles(long, ["column_name"], "v", {f"p{int(100 * q)}": q for q in (0.25, 0.5, 0.75)})
+    return basic.join(cuts, "column_name").select("column_name", "n", "mean", "std", "min", *(r6(p).alias(p) for p in ("p25", "p50", "p75")), "max")
 
 
 def histogram(df: DataFrame, c: str, lo: float, hi: float, bins: int, by: list[str] = ()) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from chronolane.operators.metrics import average_precision, auroc, brier, calibration_error, hash_uniform, nearest_ranks, poisson_weight
+from chronolane.operators.ordered import join_by, percentiles, running
 
 
 def long_form(df: DataFrame, keep: list[str], columns: dict[str, Column], name: str, value: str) -> DataFrame:
@@ -57,8 +58,7 @@ def slice_summary(details: DataFrame) -> DataFrame:
 def weighted_auroc(df: DataFrame, p: str, y: str, w: str, by: list[str]) -> DataFrame:
     """by, auroc with row weights; null where a class has no weight."""
     s = df.groupBy(*by, F.col(p).alias("__p")).agg(F.sum(F.col(w) * F.col(y)).alias("__pos"), F.sum(F.col(w) * (1 - F.col(y))).alias("__neg"))
-    below = F.coalesce(F.sum("__neg").over(W.partitionBy(*by).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    u = s.withColumn("__u", F.col("__pos") * (below + F.col("__neg") / 2.0))
+    u = running(s, by, "__p", ["__neg"]).withColumn("__u", F.col("__pos") * (F.col("before___neg") + F.col("__neg") / 2.0))
     return u.groupBy(*by).agg(F.try_divide(F.sum("__u"), (F.sum("__pos") * F.sum("__neg")).cast("double")).alias("auroc"))
 
 
@@ -83,8 +83,7 @@ def bootstrap_auroc(df: DataFrame, key: str, y: str, scores: dict[str, Column],
 def mean_ranks(df: DataFrame, key: str, p: str, by: list[str]) -> DataFrame:
     """by, key, rank: the average rank of tied values, from counts of distinct values within by."""
     cells = df.groupBy(*by, F.col(p).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(W.partitionBy(*by).orderBy("__v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.select(*by, "__v", (before + (F.col("__n") + 1) / 2.0).alias("rank"))
+    cells = running(cells.filter("__v is not null"), by, "__v", ["__n"]).select(*by, "__v", (F.col("before___n") + (F.col("__n") + 1) / 2.0).alias("rank"))
     return df.select(*by, key, F.col(p).alias("__v")).join(cells, [*by, "__v"]).select(*by, key, "rank")
 
 
@@ -110,7 +109,7 @@ def prediction_report(df: DataFrame, p: str, y: str, by: list[str]) -> DataFrame
 
     The top decile holds all rows at or above the interpolated 90th percentile of the scores.
     """
-    cut = df.groupBy(*by).agg(F.percentile(p, 0.9).alias("__cut"))
+    cut = percentiles(df, by, p, {"__cut": 0.9})
     base = df.join(cut, by).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("__base"), F.avg(F.when(F.col(p) >= F.col("__cut"), F.col(y))).alias("__top"), F.avg(p).alias("__mean"))
     shown = {"base_rate": F.round("__base", 6), "top_decile_rate": F.round("__top", 6), "top_decile_enrichment": F.round(F.try_divide("__top", "__base"), 6), "unconditional": F.round("__mean", 6), "unconditional_enrichment": F.round(F.try_divide("__mean", "__base"), 6)}
     return base.join(auroc(df, p, y, by), by).join(average_precision(df, p, y, by), by).withColumns(shown).drop("__base", "__top", "__mean")
@@ -132,15 +131,19 @@ def agreement(pairs: DataFrame, sets: DataFrame, value: str, codes: str, label:
 
 def equal_count_bins(df: DataFrame, key: str, p: str, y: str, by: list[str], bins: int = 10) -> DataFrame:
     """by, bin, n, mean_p, rate: calibration points of bins with equal numbers of rows, in order of score, then key."""
-    w = W.partitionBy(*by)
-    at = F.row_number().over(w.orderBy(p, key)) - 1
-    cut = df.withColumn("bin", F.floor(at * bins / F.count(F.lit(1)).over(w)).cast("int"))
+    known = df.filter(F.col(p).isNotNull())
+    cells = known.groupBy(*by, F.col(p).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    cells = join_by(running(cells, by, "__v", ["__n"]), cells.groupBy(*by).agg(F.sum("__n").alias("__size")), by).withColumnRenamed("__v", p)
+    at = F.col("before___n") + F.row_number().over(W.partitionBy(*by, p).orderBy(key)) - 1
+    cut = join_by(known, cells, [*by, p]).withColumn("bin", F.floor(at * bins / F.col("__size")).cast("int"))
     return cut.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(p), 6).alias("mean_p"), F.round(F.avg(y), 6).alias("rate"))
 
 
 def tier_report(df: DataFrame, p: str, y: str, shares: list[float]) -> DataFrame:
     """tier, n, share, events, rate, lift, and monotone: whether no tier's rate is below that of the tier before."""
-    cuts = df.agg(F.array(*(F.percentile(p, q) for q in shares)).alias("__cuts"), F.avg(y).alias("__base"), F.count(F.lit(1)).alias("__all"))
+    names = {f"q{i}": q for i, q in enumerate(shares)}
+    cuts = percentiles(df, [], p, names).select(F.array(*names).alias("__cuts"))
+    cuts = cuts.crossJoin(df.agg(F.avg(y).alias("__base"), F.count(F.lit(1)).alias("__all")))  # one row each
     tier = F.size(F.filter("__cuts", lambda c: c <= F.col(p))) + 1
     t = df.crossJoin(F.broadcast(cuts)).groupBy(tier.alias("tier")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("events"), F.avg(y).alias("__r"), F.max("__base").alias("__b"), F.max("__all").alias("__all"))
     t = t.withColumn("__last", F.lag("__r").over(W.orderBy("tier")))  # as many rows as tiers

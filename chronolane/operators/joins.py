@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from chronolane.operators.ordered import as_of
+
 
 def left_merge(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[DataFrame, list[str]]:
     """A left join; the right side loses columns that the left has too, and their names are returned."""
@@ -44,18 +46,18 @@ def merge_all(base: DataFrame, frames: list[DataFrame], on: list[str]) -> DataFr
     return reduce(lambda a, b: left_merge(a, b, on)[0], frames, base)
 
 
-def nearest_preceding(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, ties: list[str]) -> DataFrame:
+def nearest_preceding(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, ties: list[str], span: float = 30 * 86_400e6) -> DataFrame:
     """One right row for each left row that has any: the latest one at or before it, else the latest after; candidates are counted.
 
-    Left rows may be equal: what depends on key and time alone is worked out once for each of them
-    and then joined to every left row. Rows with a null key or time find nothing.
+    Left rows may be equal: what depends on key and time alone is found once for each of them, by a scan in order of time,
+    and then joined to every left row. Rows with a null key or time find nothing. A key's rows are put in order span by span (of
+    microseconds, or of the numbers if times are numbers), so that no key is one task's.
     """
-    times = left.select(key, at).dropna().distinct()
-    pair = times.join(right, key).withColumn("precedes", (F.col(right_at) <= F.col(at)).cast("int"))
+    timed = dict(right.dtypes)[right_at].startswith(("timestamp", "date"))
+    number = F.unix_micros(F.col("__t").cast("timestamp")) if timed else F.col("__t")
+    found = as_of(left, right, key, at, right_at, ties, F.floor(number / span))
     others = [c for c in right.columns if c != key]
-    best = F.min_by(F.struct(*others, "precedes"), F.struct(-F.col("precedes"), (-F.unix_micros(F.col(right_at).cast("timestamp"))) if dict(right.dtypes)[right_at].startswith(("timestamp", "date")) else -F.col(right_at), *ties))
-    found = pair.groupBy(key, at).agg(best.alias("__b"), F.count(F.lit(1)).alias("n_candidates"))
-    return left.join(found, [key, at]).select(*left.columns, *(F.col(f"__b.{c}").alias(c) for c in (*others, "precedes")), "n_candidates")
+    return left.join(found, [key, at]).select(*left.columns, *(F.col(f"found.{c}").alias(c) for c in (*others, "precedes")), "n_candidates")
 
 
 def earlier_episodes(df: DataFrame, entity: str, episode: str, start: str, end: str) -> DataFrame:

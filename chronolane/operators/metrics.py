@@ -1,7 +1,6 @@
 """Evaluation of scores, labels, rankings and extractions.
 
-Ranking metrics first group by distinct score, so that windows run over scores and not over rows,
-and always within the partition of a slice or model.
+Ranking metrics first group by distinct score, and then sum in order cell by cell, so that no slice is one task's.
 """
 
 from __future__ import annotations
@@ -10,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from chronolane.operators.ordered import join_by, running
+
 
 def _by_score(df: DataFrame, by: list[str], p: str, y: str) -> DataFrame:
     return df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(p).alias("__p")).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col(y).cast("long")).alias("__pos"))
@@ -17,26 +18,22 @@ def _by_score(df: DataFrame, by: list[str], p: str, y: str) -> DataFrame:
 
 def auroc(df: DataFrame, p: str, y: str, by: list[str]) -> DataFrame:
     """by, auroc: Mann-Whitney with mean ranks of ties; null where only one class is known."""
-    s = _by_score(df, by, p, y)
-    below = F.sum(F.col("__n") - F.col("__pos")).over(W.partitionBy(*by).orderBy("__p").rowsBetween(W.unboundedPreceding, -1))
-    u = F.col("__pos") * (F.coalesce(below, F.lit(0)) + (F.col("__n") - F.col("__pos")) / 2.0)
-    pos, neg = F.sum("__pos"), F.sum(F.col("__n") - F.col("__pos"))
-    return s.withColumn("__u", u).groupBy(*by).agg(F.round(F.try_divide(F.sum("__u"), (pos * neg).cast("double")), 6).alias("auroc"))
+    s = running(_by_score(df, by, p, y).withColumn("__neg", F.col("__n") - F.col("__pos")), by, "__p", ["__neg"])
+    u = F.col("__pos") * (F.col("before___neg") + F.col("__neg") / 2.0)
+    return s.withColumn("__u", u).groupBy(*by).agg(F.round(F.try_divide(F.sum("__u"), (F.sum("__pos") * F.sum("__neg")).cast("double")), 6).alias("auroc"))
 
 
-def curve(df: DataFrame, p: str, y: str, by: list[str]) -> DataFrame:
+def curve(df: DataFrame, p: str, y: str, by: list[str], gain: bool = False) -> DataFrame:
     """by, score, tp, fp, precision, recall at each distinct score, from the highest down."""
     s = _by_score(df, by, p, y)
-    down = W.partitionBy(*by).orderBy(F.col("__p").desc()).rowsBetween(W.unboundedPreceding, 0)
-    tp, n = F.sum("__pos").over(down), F.sum("__n").over(down)
-    total = F.sum("__pos").over(W.partitionBy(*by))
-    return s.select(*by, F.col("__p").alias("score"), tp.alias("tp"), (n - tp).alias("fp"), (tp / n).alias("precision"), F.try_divide(tp, total).alias("recall"))
+    out = running(s, by, "__p", ["__pos", "__n"], descending=True)
+    out = join_by(out, s.groupBy(*by).agg(F.sum("__pos").alias("__total")), by)
+    tp, n = F.col("before___pos") + F.col("__pos"), F.col("before___n") + F.col("__n")
+    return out.select(*by, F.col("__p").alias("score"), tp.alias("tp"), (n - tp).alias("fp"), (tp / n).alias("precision"), F.try_divide(tp, F.col("__total")).alias("recall"), *([F.try_divide(F.col("__pos"), F.col("__total")).alias("__gain")] if gain else []))
 
 
 def average_precision(df: DataFrame, p: str, y: str, by: list[str]) -> DataFrame:
-    c = curve(df, p, y, by)
-    before = F.coalesce(F.lag("recall").over(W.partitionBy(*by).orderBy(F.col("score").desc())), F.lit(0.0))
-    return c.withColumn("__a", (F.col("recall") - before) * F.col("precision")).groupBy(*by).agg(F.round(F.sum("__a"), 6).alias("auprc"))
+    return curve(df, p, y, by, gain=True).groupBy(*by).agg(F.round(F.sum(F.col("__gain") * F.col("precision")), 6).alias("auprc"))
 
 
 def brier(p: str, y: str) -> Column:

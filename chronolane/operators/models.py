@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolane.operators.metrics import auroc, average_precision, calibration_error, hash_uniform, regression
+from chronolane.operators.ordered import percentiles
 
 
 def class_weights(train: DataFrame, label: str, name: str = "weight") -> DataFrame:
@@ -145,7 +146,7 @@ def calibrate_by_group(df: DataFrame, fit: Column, p: str, label: str, group: st
 
 def two_stage_duration(train: DataFrame, columns: list[str], duration: str, q: float = 0.75, trees: int = 5):
     """The training quantile, a classifier of longer stays, and a regressor fitted on the shorter ones."""
-    cut = train.agg(F.percentile(duration, q)).first()[0]
+    cut = percentiles(train, [], duration, {"cut": q}).first()[0]
     long = boosted(train.withColumn("is_long", (F.col(duration) > cut).cast("int")), columns, "is_long", trees=trees)
     assemble = VectorAssembler(inputCols=columns, outputCol="features")
     short = Pipeline(stages=[assemble, GBTRegressor(featuresCol="features", labelCol=duration, maxIter=trees, maxDepth=3, seed=7)]).fit(fill(train.filter(F.col(duration) <= cut), columns))

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from chronolane.operators.ordered import percentiles
+
 
 def screen(df: DataFrame, columns: list[str], near_zero: float = 0.01, missing: float = 0.7, exact: bool = True) -> DataFrame:
     """feature, n_distinct, variance (missing as 0), missing_rate, and the reasons to drop it; one pass.
@@ -157,7 +159,8 @@ def standardise(df: DataFrame, train: DataFrame, columns: list[str]) -> DataFram
 
 def impute_median(df: DataFrame, train: DataFrame, columns: list[str]) -> DataFrame:
     """The training median in the place of missing values, 0 where there is none, and an indicator for each column."""
-    med = train.agg(*(F.percentile(c, 0.5).alias(f"__{c}") for c in columns))
+    long = train.select(F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns))).alias("r")).select("r.*")
+    med = percentiles(long, ["c"], "v", {"m": 0.5}).agg(*(F.max(F.when(F.col("c") == c, F.col("m"))).alias(f"__{c}") for c in columns))
     out = df.crossJoin(F.broadcast(med)).withColumns({f"{c}_was_missing": F.col(c).isNull().cast("int") for c in columns})
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"__{c}"), F.lit(0.0)) for c in columns}).drop(*(f"__{c}" for c in columns))
 

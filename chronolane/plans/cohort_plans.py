@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from chronolane.operators import aggregates as A
 from chronolane.operators import evaluation as R
 from chronolane.operators import joins as J
+from chronolane.operators import ordered as O
 from chronolane.operators import models as M
 from chronolane.operators import quality as Q
 from chronolane.plans.base import MEASUREMENTS, measurements, query, t
@@ -49,7 +50,8 @@ def a18_linked(spark, d):
 def a27_full(spark, d):
     e = t(spark, d, "events")
     bins = A.histogram(e.filter("value >= 0"), "value", 0, 100, 20).select(F.lit("bin").alias("measure"), F.col("bin").cast("long").alias("at"), F.col("n").cast("double").alias("value"))
-    cuts = e.agg(*(F.round(F.percentile("value", q), 6).alias(f"q{i}") for i, q in ((1, 0.25), (2, 0.5), (3, 0.75))))
+    cuts = O.percentiles(e, [], "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    cuts = cuts.select(*(F.round(c, 6).alias(c) for c in cuts.columns))
     rows = R.long_form(cuts, [], {str(i): F.col(f"q{i}") for i in (1, 2, 3)}, "at", "value").select(F.lit("quartile").alias("measure"), F.col("at").cast("long").alias("at"), "value")
     return bins.unionByName(rows)
 
@@ -73,7 +75,9 @@ def a29_views(spark, d):
 def a30_more(spark, d):
     notes = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").select(F.lit("note length").alias("measure"), F.col("quality").cast("int").alias("outcome"), F.col("n_chars").cast("double").alias("v"))
     vitals = t(spark, d, "events").select(F.lit("vital").alias("measure"), (F.col("event_type") == "error").cast("int").alias("outcome"), F.col("value").alias("v"))
-    return notes.unionByName(vitals).groupBy("measure", "outcome").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.percentile("v", 0.5), 4).alias("median"))
+    both, by = notes.unionByName(vitals), ["measure", "outcome"]
+    means = both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 4).alias("mean"))
+    return O.join_by(means, O.percentiles(both, by, "v", {"median": 0.5}), by).withColumn("median", F.round("median", 4))
 
 
 @query("a31_age_quartiles", f"WITH {ENDS}, x AS (SELECT *, o_custkey % 100 AS age FROM ep) SELECT count(*) AS n, count(DISTINCT o_custkey) AS n_entities, round(quantile_cont(age::DOUBLE, 0.25), 4) AS age_q1, round(quantile_cont(age::DOUBLE, 0.5), 4) AS age_q2, round(quantile_cont(age::DOUBLE, 0.75), 4) AS age_q3, round(avg((t_end < o_orderdate)::INT), 6) AS inverted_share FROM x")

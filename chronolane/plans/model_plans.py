@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from chronolane.operators import joins as J
+from chronolane.operators import ordered as O
 from chronolane.operators import metrics as E
 from chronolane.operators import models as M
 from chronolane.operators import screening as S
@@ -299,7 +300,8 @@ def e22(spark, d):
 
 @query("w09_percentile_cuts", f"WITH {SCORED} SELECT round(quantile_cont(p, 0.5), 6) AS p50, round(quantile_cont(p, 0.8), 6) AS p80, round(quantile_cont(p, 0.95), 6) AS p95 FROM s")
 def w09(spark, d):
-    return scored(spark, d).agg(*(F.round(F.percentile("p", q), 6).alias(n) for q, n in ((0.5, "p50"), (0.8, "p80"), (0.95, "p95"))))
+    cuts = O.percentiles(scored(spark, d), [], "p", {"p50": 0.5, "p80": 0.8, "p95": 0.95})
+    return cuts.select(*(F.round(c, 6).alias(c) for c in cuts.columns))
 
 
 @query("w10_cumulative_curve", f"WITH {SCORED}, {_CURVE} SELECT c_mktsegment, count(*) AS n_thresholds, max(tp)::BIGINT AS positives FROM cv GROUP BY 1")
@@ -310,7 +312,7 @@ def w10(spark, d):
 @query("m07_risk_tiers", f"WITH {SCORED}, q AS (SELECT quantile_cont(p, 0.5) AS a, quantile_cont(p, 0.8) AS b, quantile_cont(p, 0.95) AS c FROM s), x AS (SELECT CASE WHEN p < a THEN 1 WHEN p < b THEN 2 WHEN p < c THEN 3 ELSE 4 END AS tier, y FROM s, q) SELECT tier, count(*) AS n, sum(y)::BIGINT AS events, round(avg(y), 6) AS rate, round(avg(y) / (SELECT avg(y) FROM s), 6) AS lift FROM x GROUP BY 1")
 def m07(spark, d):
     s = scored(spark, d)
-    cuts = s.agg(*(F.percentile("p", q).alias(n) for q, n in ((0.5, "a"), (0.8, "b"), (0.95, "c"))), F.avg("y").alias("base"))
+    cuts = O.percentiles(s, [], "p", {"a": 0.5, "b": 0.8, "c": 0.95}).crossJoin(s.agg(F.avg("y").alias("base")))  # one row each
     x = s.crossJoin(F.broadcast(cuts)).withColumn("tier", F.when(F.col("p") < F.col("a"), 1).when(F.col("p") < F.col("b"), 2).when(F.col("p") < F.col("c"), 3).otherwise(4))
     return x.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("events"), F.round(F.avg("y"), 6).alias("rate"), F.round(F.avg("y") / F.max("base"), 6).alias("lift"))
 
