@@ -151,3 +151,54 @@ def x03(spark, d):
     states = X.latest_facts(X.read_stream(spark, path, _struct(conv_id=T.LongType(), field=T.StringType(), turn=T.LongType(), value=T.StringType())))
     X.run_batches(states, out, f"{out}-checkpoint")
     return spark.read.parquet(out).groupBy("conv_id", "field").agg(*(F.max_by(c, "n_statements").alias(c) for c in ("value", "contradicted")), F.max("n_statements").alias("n_statements"))
+
+
+_ARRIVALS = """a AS (SELECT *, CASE WHEN event_id % 40 = 7 THEN 5 ELSE least(datediff('day', (SELECT min(ts) FROM events)::DATE, ts::DATE) // 7, 4) END AS arrival FROM events)"""
+
+
+def _arrivals(spark, d):
+    """The event log as files that arrive week by week; every fortieth event comes last, whatever its time."""
+    path = _place(spark)
+    e = t(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    first = e.agg(F.to_date(F.min("ts")).alias("first"))
+    e = e.crossJoin(F.broadcast(first)).withColumn("arrival", F.when(F.col("event_id") % 40 == 7, 5).otherwise(F.least(F.floor(F.date_diff(F.to_date("ts"), "first") / 7), F.lit(4))))
+    for i in range(6):  # one file for each arrival, in order of modification
+        e.filter(F.col("arrival") == i).drop("arrival", "first").coalesce(1).write.mode("append").parquet(path)
+    return path, e.drop("arrival", "first").schema
+
+
+def _files(spark, path, schema):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+_ANSWERED, _REFUSED = ["purchase", "view"], ["error"]
+
+
+@query("x01_running_telemetry", f"""WITH {_ARRIVALS}, wm AS (SELECT max(ts) - INTERVAL 2 DAY AS wm FROM a WHERE arrival < 4), r AS (SELECT *, date_trunc('day', ts) AS w, arrival < 5 OR date_trunc('day', ts) + INTERVAL 1 DAY > wm AS counted FROM a, wm WHERE ts >= TIMESTAMP '2024-01-03')
+    SELECT epoch_us(w) // 1000000 AS day_s, count_if(counted) AS n, round(count_if(counted AND event_type IN ('purchase', 'view')) / count_if(counted)::DOUBLE, 6) AS answer_rate, round(count_if(counted AND event_type = 'error') / count_if(counted)::DOUBLE, 6) AS refusal_rate,
+      round(count_if(counted AND event_type IN ('purchase', 'view') AND (props->>'k')::INT >= 50) / count_if(counted AND event_type IN ('purchase', 'view'))::DOUBLE, 6) AS verification_rate,
+      quantile_disc(value, 0.5) FILTER (counted) AS latency_p50, quantile_disc(value, 0.95) FILTER (counted) AS latency_p95, max(value) FILTER (counted) AS latency_max, count_if(NOT counted) AS n_late FROM r GROUP BY w""")
+def x01_running(spark, d):
+    """Runs the stream over files that arrive one by one, then counts what came after its window had closed.
+
+    A batch's rows are late by the watermark that the batch before it ran with, so the last file is judged by the third last.
+    """
+    path, schema = _arrivals(spark, d)
+    out, since = _place(spark), "2024-01-03"
+    stream = X.telemetry_window(_files(spark, path, schema), "ts", "1 day", "event_type", "value", _ANSWERED, _REFUSED, F.col("k") >= 50, since, late="2 days")
+    X.run_updates(stream, out, f"{out}-checkpoint")
+    arrived = spark.read.schema(schema).parquet(path).filter(F.col("ts") >= F.lit(since).cast("timestamp"))
+    rows = X.late_rows(arrived, X.newest(spark, out, ["window_start"]), "ts", "1 day")
+    return rows.withColumn("day_s", F.unix_seconds(F.col("window_start").cast("timestamp"))).drop("window_start")
+
+
+@query("x02_exactly_once_state", "SELECT user_id, count(value) AS n, round(avg(value), 10) AS mean, min(value) AS min, max(value) AS max, round(stddev_samp(value), 6) AS std FROM events GROUP BY 1")
+def x02_state(spark, d):
+    """Streams the files in two runs into one state; the second run goes on where the first ended."""
+    path, schema = _arrivals(spark, d)
+    state = _place(spark)
+    for _ in range(2):
+        X.run_keyed_state(_files(spark, path, schema), "user_id", "value", state, f"{state}-checkpoint", compact_every=4)
+    s = X.stored_state(spark, state, "user_id")
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1)))
+    return s.select("user_id", "n", F.round("mean", 10).alias("mean"), "min", "max", F.round(std, 6).alias("std"))

@@ -67,3 +67,112 @@ def run_batches(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Appends what each batch of a stream in update mode emits to Parquet; a batch that is run again appends equal rows again."""
     q = stream.writeStream.foreachBatch(lambda df, _: df.write.mode("append").parquet(path)).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def telemetry_window(events: DataFrame, at: str, width: str, status: str, latency: str, answered: list[str], refused: list[str], verified: Column, since: str | None = None, late: str | None = None) -> DataFrame:
+    """window_start and, of each tumbling window: n, answer, refusal and verification rates, and the latency's p50, p95 and maximum.
+
+    The percentiles come from a mergeable sketch: the smallest value that at least the share reaches, exact up to tens of
+    thousands of rows a window, and off by one rank in 20,000 beyond. verified is asked of answered rows only. since drops
+    what is older; late, for a stream, is how far a row may lag behind the newest one before its window closes.
+    """
+    e = events.withColumn("__at", F.col(at).cast("timestamp"))
+    e = e.filter(F.col("__at") >= F.lit(since).cast("timestamp")) if since else e
+    e = e.withWatermark("__at", late) if late and events.isStreaming else e
+    s, share = F.col(status), lambda c, of: F.round(F.try_divide(F.count_if(c).cast("double"), F.count_if(of)), 6)
+    sketch = lambda q: F.percentile_approx(latency, q, 20_000)
+    out = e.groupBy(F.window("__at", width).alias("w")).agg(
+        F.count(F.lit(1)).alias("n"),
+        share(s.isin(*answered), F.lit(True)).alias("answer_rate"),
+        share(s.isin(*refused), F.lit(True)).alias("refusal_rate"),
+        share(s.isin(*answered) & verified, s.isin(*answered)).alias("verification_rate"),
+        sketch(0.5).alias("latency_p50"),
+        sketch(0.95).alias("latency_p95"),
+        F.max(latency).alias("latency_max"),
+    )
+    return out.select(F.col("w.start").alias("window_start"), *out.columns[1:])
+
+
+def run_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Runs a stream in update mode until all that has arrived is read.
+
+    Each batch writes its rows to a folder of its own number, in the place of what an earlier try of the same batch has left,
+    so a batch that runs twice counts once.
+    """
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+
+
+def newest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Of what run_updates wrote: each key's row of the last batch that has one."""
+    rows = spark.read.parquet(path)
+    others = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("r")).select(*keys, "r.*")
+
+
+def late_rows(arrived: DataFrame, counted: DataFrame, at: str, width: str) -> DataFrame:
+    """counted with n_late: how many rows of each window arrived after it had closed. Windows that lost all their rows are there too, with n 0."""
+    all_ = arrived.groupBy(F.window(F.col(at).cast("timestamp"), width).alias("w")).agg(F.count(F.lit(1)).alias("__n")).select(F.col("w.start").alias("window_start"), "__n")
+    out = all_.join(counted, "window_start", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.withColumn("n_late", F.col("__n") - F.col("n")).drop("__n")
+
+
+STATE = ["n", "mean", "m2", "min", "max"]
+
+
+def partial_state(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, n, mean, m2, min, max of the known values of each key: a state that merges with others of its kind."""
+    known = F.count(value)
+    return rows.groupBy(key).agg(known.alias("n"), F.avg(value).alias("mean"), F.coalesce(F.var_pop(value) * known, F.lit(0.0)).alias("m2"), F.min(value).alias("min"), F.max(value).alias("max"))
+
+
+def merge_states(states: DataFrame, key: str) -> DataFrame:
+    """One state for each key: counts add up, and m2 grows by the spread of the means about the common mean."""
+    total = states.groupBy(key).agg(F.sum("n").alias("n"), F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("mean"), F.min("min").alias("min"), F.max("max").alias("max"))
+    apart = states.join(total.select(F.col(key).alias("__k"), F.col("mean").alias("__mean")), F.col(key).eqNullSafe(F.col("__k")))
+    spread = apart.groupBy(key).agg(F.sum(F.col("m2") + F.coalesce(F.col("n") * F.pow(F.col("mean") - F.col("__mean"), F.lit(2.0)), F.lit(0.0))).alias("m2"))
+    return total.join(spread.withColumnRenamed(key, "__k"), F.col(key).eqNullSafe(F.col("__k"))).select(key, *STATE)
+
+
+def _numbered(spark: SparkSession, path: str) -> dict[str, list[int]]:
+    """The numbers of finished batch= and base= folders."""
+    jvm = spark._jvm
+    here = jvm.org.apache.hadoop.fs.Path(path)
+    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out: dict[str, list[int]] = {"batch": [], "base": []}
+    for status in fs.listStatus(here) if fs.exists(here) else []:
+        kind, _, number = status.getPath().getName().partition("=")
+        if kind in out and number.isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            out[kind].append(int(number))
+    return out
+
+
+def stored_state(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The merged state of the last base and of all batches after it."""
+    there = _numbered(spark, path)
+    base = max(there["base"], default=-1)
+    parts = [f"{path}/base={base}"] * (base >= 0) + [f"{path}/batch={b}" for b in sorted(there["batch"]) if b > base]
+    return merge_states(spark.read.parquet(*parts), key)
+
+
+def run_keyed_state(stream: DataFrame, key: str, value: str, path: str, checkpoint: str, compact_every: int = 16) -> None:
+    """Adds what has arrived to the state at path, exactly once.
+
+    Each batch writes its own partial state under its number, overwriting an earlier try, and no batch changes what another wrote; so
+    a batch that is repeated after a failure leaves the state as it is. Every compact_every batches all states so far are merged
+    into a base, which counts once its _SUCCESS is there; what it covers is no longer read.
+    """
+
+    def write(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        there = _numbered(spark, path)
+        if number <= max(there["base"], default=-1):
+            return
+        partial_state(rows, key, value).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if number % compact_every == compact_every - 1:
+            stored_state(spark, path, key).write.mode("overwrite").parquet(f"{path}/base={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
