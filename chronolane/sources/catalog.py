@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,13 +122,72 @@ def load_report(spark: SparkSession, specs: list[TableSpec]) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, n_rows long, n_duplicate_keys long, status string")
 
 
-def read_rules(spark: SparkSession, path: str, schema: str, key: str, required: list[str], allowed: dict[str, list[str]]) -> DataFrame:
-    """Rule rows from JSON (lines, or one array) with problem: the first of missing, unknown or repeated, null where the rule is sound."""
-    rules = spark.read.schema(schema).option("multiLine", False).json(path)
-    problem = F.when(F.col(key).isNull() | (F.col(key) == ""), f"missing {key}")
+def read_rule_files(spark: SparkSession, path: str, schema: str, patterns: list[str] = (), under: str = "rules") -> DataFrame:
+    """Rule rows from JSON or YAML files, however they are laid out, nested fields included, with file, position and bad_patterns.
+
+    A file is a JSON array, an object or YAML document with a list `under`, or JSON lines. It is parsed in a task, and each rule becomes a row
+    under the schema; a field of another type is null, and what is no mapping is a rule without fields. bad_patterns lists
+    what the fields of `patterns` (a pattern or an array of them) hold that is no regular expression.
+    """
+
+    def parse(text: str) -> list[dict]:
+        try:
+            found = json.loads(text)
+        except ValueError:
+            try:
+                found = [json.loads(x) for x in text.splitlines() if x.strip()]
+            except ValueError:
+                import yaml
+
+                found = yaml.safe_load(text)
+        if isinstance(found, dict):
+            found = found[under] if isinstance(found.get(under), list) else [found]
+        return [r if isinstance(r, dict) else {} for r in found or []]
+
+    def sound(pattern: object) -> bool:
+        try:
+            re.compile(pattern)
+            return True
+        except (re.error, TypeError):
+            return False
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for i, rule in enumerate(parse(content.decode("utf-8-sig"))):
+                    held = [p for f in patterns for p in (rule.get(f) if isinstance(rule.get(f), list) else [rule.get(f)]) if p is not None]
+                    rows.append((name, i + 1, json.dumps(rule, default=str), [str(p) for p in held if not sound(p)]))
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["file", "position", "__rule", "bad_patterns"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    rules = files.mapInArrow(run, "file string, position long, __rule string, bad_patterns array<string>")
+    return rules.select(F.from_json("__rule", schema).alias("r"), "file", "position", "bad_patterns").select("r.*", "file", "position", "bad_patterns")
+
+
+def rule_problems(rules: DataFrame, key: str, required: list[str], allowed: dict[str, list[str]], needs: dict[tuple[str, str], str] | None = None) -> DataFrame:
+    """rules with problem: what is missing, unknown, no pattern or repeated, the first of these; null where the rule is sound.
+
+    needs: a field that must be there where another has a value, {(field, value): needed}. An array without elements is missing.
+    """
+    kinds = dict(rules.dtypes)
+    none = lambda c: F.col(c).isNull() | ((F.size(c) == 0) if kinds[c].startswith("array") else (F.trim(F.col(c).cast("string")) == ""))
+    problem = F.when(none(key), f"missing {key}")
     for c in required:
-        problem = problem.when(F.col(c).isNull() | (F.col(c).cast("string") == ""), f"missing {c}")
+        problem = problem.when(none(c), f"missing {c}")
     for c, values in allowed.items():
         problem = problem.when(~F.col(c).isin(*values), f"unknown {c}")
+    for (c, value), needed in (needs or {}).items():
+        problem = problem.when((F.col(c) == value) & none(needed), f"missing {needed}")
+    if "bad_patterns" in kinds:
+        problem = problem.when(F.size("bad_patterns") > 0, "no pattern")
     repeated = rules.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
     return rules.join(repeated, F.col(key) == F.col("__k"), "left").withColumn("problem", problem.when(F.col("__n") > 1, f"repeated {key}")).drop("__k", "__n")
+
+
+def read_rules(spark: SparkSession, path: str, schema: str, key: str, required: list[str], allowed: dict[str, list[str]]) -> DataFrame:
+    """Rule rows from JSON (lines, or one array) with problem: the first of missing, unknown or repeated, null where the rule is sound."""
+    rules = read_rule_files(spark, path, schema).drop("file", "position", "bad_patterns")
+    return rule_problems(rules, key, required, allowed)
