@@ -41,12 +41,14 @@ def brier(p: str, y: str) -> Column:
 
 
 def reliability(df: DataFrame, p: str, y: str, bins: int, by: list[str] = ()) -> DataFrame:
-    """bin, n, mean_p, rate; the last bin is closed and empty bins are absent."""
+    """bin, n, mean_p, rate; the last bin is closed, empty bins are absent and rows without a score are left out."""
+    df = df.filter(F.col(p).isNotNull())
     b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("long")
     return df.groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(p), 6).alias("mean_p"), F.round(F.avg(y), 6).alias("rate"))
 
 
 def calibration_error(df: DataFrame, p: str, y: str, bins: int, by: list[str]) -> DataFrame:
+    df = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull())
     b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1))
     cells = df.groupBy(*by, b.alias("__b")).agg(F.count(F.lit(1)).alias("__n"), F.avg(p).alias("__p"), F.avg(y).alias("__y"))
     return cells.groupBy(*by).agg(F.round(F.sum(F.abs(F.col("__p") - F.col("__y")) * F.col("__n")) / F.sum("__n"), 6).alias("ece"))

@@ -75,7 +75,8 @@ def diagnoses(df: DataFrame, key: str, text: str, aliases: DataFrame, vocabulary
     share = seen.groupBy(key, "concept").agg(F.round(F.count(F.lit(1)) / F.max("size"), 6).alias("share")).filter(F.col("share") >= suggest)
     near = share.groupBy(key).agg(F.slice(F.sort_array(F.collect_list(F.struct("share", "concept")), asc=False), 1, 3).alias("__s"))
     j = words.join(first, key, "left").join(near, key, "left")
-    hit, weak = F.col("__c").isNotNull(), F.least(F.lit(0.70), F.get("__s", F.lit(0))["share"])
+    share = F.get("__s", F.lit(0))["share"]
+    hit, weak = F.col("__c").isNotNull(), F.when(share.isNull(), 0.0).otherwise(F.least(F.lit(0.70), share))  # least() passes over nulls
     took = ~hit & (weak >= assign)
     return j.select(
         key,

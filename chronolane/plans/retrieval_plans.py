@@ -52,9 +52,9 @@ _VOCAB = "vo(concept, term) AS (VALUES " + ", ".join(f"('{c}', '{w}')" for c, w
     h AS (SELECT message, concept, min(ROW(pos, -n, concept)) AS b, max(n) AS longest FROM g JOIN al USING (alias) GROUP BY ALL), f AS (SELECT message, arg_min(concept, b) AS c, arg_min(longest, b) AS n FROM h GROUP BY 1),
     s AS (SELECT message, concept, round(count(*) / any_value(sz)::DOUBLE, 6) AS share FROM (SELECT message, len(list_distinct(t)) AS sz, unnest(list_distinct(t)) AS term FROM k) JOIN vo USING (term) GROUP BY ALL HAVING round(count(*) / any_value(sz)::DOUBLE, 6) >= 0.05),
     w AS (SELECT message, list(concept ORDER BY share DESC, concept DESC)[1:3] AS sg, max(share) AS share FROM s GROUP BY 1)
-    SELECT message, CASE WHEN c IS NOT NULL THEN c WHEN least(0.7, share) >= 0.3 THEN sg[1] END AS concept,
-      CASE WHEN c IS NOT NULL THEN CASE WHEN n > 1 THEN 0.99::DOUBLE ELSE 0.8::DOUBLE END ELSE coalesce(least(0.7::DOUBLE, share), 0.0::DOUBLE) END AS confidence,
-      CASE WHEN len(t) = 0 THEN 'empty' WHEN c IS NOT NULL AND n > 1 THEN 'alias_phrase' WHEN c IS NOT NULL THEN 'alias_token' WHEN least(0.7, share) >= 0.3 THEN 'token_overlap' WHEN sg IS NOT NULL THEN 'low_confidence' ELSE 'unmatched' END AS method,
+    SELECT message, CASE WHEN c IS NOT NULL THEN c WHEN share >= 0.3 THEN sg[1] END AS concept,
+      CASE WHEN c IS NOT NULL THEN CASE WHEN n > 1 THEN 0.99::DOUBLE ELSE 0.8::DOUBLE END ELSE CASE WHEN share IS NULL THEN 0.0::DOUBLE ELSE least(0.7::DOUBLE, share) END END AS confidence,
+      CASE WHEN len(t) = 0 THEN 'empty' WHEN c IS NOT NULL AND n > 1 THEN 'alias_phrase' WHEN c IS NOT NULL THEN 'alias_token' WHEN share >= 0.3 THEN 'token_overlap' WHEN sg IS NOT NULL THEN 'low_confidence' ELSE 'unmatched' END AS method,
       CASE WHEN c IS NULL AND share < 0.3 THEN array_to_string(sg, ',') END AS suggestions FROM k LEFT JOIN f USING (message) LEFT JOIN w USING (message)""")
 def r01_confidence(spark, d):
     m = t(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("message"), F.split_part(F.coalesce("text", F.lit("")), F.lit("."), F.lit(1)).alias("text"))
