@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from chronolane.operators.derive import episode_times, hours_between
-from chronolane.plans import audit_plans, cohort_plans, dialogue_plans, evaluation_plans, feature_plans, model_plans, payload_plans, report_plans, retrieval_plans, source_plans, text_plans, verification_plans
+from chronolane.plans import audit_plans, cohort_plans, dialogue_plans, evaluation_plans, feature_plans, model_plans, payload_plans, relevance_plans, report_plans, retrieval_plans, source_plans, text_plans, verification_plans
 from chronolane.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "audit_plans", "cohort_plans", "dialogue_plans", "evaluation_plans", "feature_plans", "flagship", "model_plans", "payload_plans", "report_plans", "retrieval_plans", "source_plans", "text_plans", "verification_plans"]
+__all__ = ["ORACLES", "QUERIES", "audit_plans", "cohort_plans", "dialogue_plans", "evaluation_plans", "feature_plans", "flagship", "model_plans", "payload_plans", "relevance_plans", "report_plans", "retrieval_plans", "source_plans", "text_plans", "verification_plans"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

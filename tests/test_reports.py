@@ -76,3 +76,30 @@ def test_guarded_elimination(spark):
 def test_protocol_rows_keep_every_row(spark):
     out = QUERIES["p04_protocol_rows"](spark, SF)
     assert out.count() == spark.read.parquet(f"{SF}/lineitem.parquet").count() and "l_tax" not in out.columns
+
+
+def test_evidence_levels(spark):
+    from chronolane.operators import relevance
+
+    rows = [(["Letter", "Meta-Analysis"], "x"), (["GUIDELINE"], "A systematic review"), (["guideline", "letter"], "x"), (["Randomized Controlled Trial"], None), (["Comment"], "a case of x"), ([], "Fatal Case in spring"), (None, "Trees"), ([None], None)]
+    got = [r.l for r in spark.createDataFrame(rows, "types array<string>, title string").select(relevance.evidence_level("types", "title").alias("l")).collect()]
+    first = [name for name, *_ in relevance.LEVELS]
+    assert got == [first[0], first[0], first[1], first[2], first[3], first[4], relevance.OTHERWISE, relevance.OTHERWISE]
+
+
+def test_items_are_ranked_by_class_concept_and_measure(spark):
+    from chronolane.operators import relevance
+
+    items = spark.createDataFrame([(1, 1, "junk", None, None), (1, 2, "a", "asp", "ppi"), (1, 3, "b", "nor", "vaso"), (1, 4, "c", "van", "abx"), (2, 1, "b", "nor", "vaso"), (2, 2, "d", "odd", "zzz"), (3, 1, "b", "nor", "vaso")], "case long, place int, raw string, ingredient string, class string")
+    cases = spark.createDataFrame([(1, ["sepsis", "flu"], {"sbp": 80.0}), (2, None, {"wbc": 30.0})], "case long, concepts array<string>, measures map<string,double>")
+    rules = spark.createDataFrame([("vaso", ["sepsis", "mi", "flu"], "sbp", 90.0, None, 10.0, 7.0), ("ppi", ["bleed"], "hb", 7.0, None, 9.5, 4.0), ("abx", ["pneumonia"], "wbc", None, 20.0, 8.0, 3.0)], "class string, concepts array<string>, measure string, below double, above double, high double, low double")
+    got = {(r.case, r.rank): (r.ingredient, r.score, r.rationale) for r in relevance.rank_items(items, cases, rules).collect()}
+    assert got == {
+        (1, 1): ("nor", 10.0, "indicated for flu, sepsis; supported by presentation physiology"),
+        (1, 2): ("asp", 4.0, "ppi without a matching indication in this presentation"),
+        (1, 3): ("van", 3.0, "abx without a matching indication in this presentation"),
+        (1, 4): (None, 0.0, "unrecognised medication string"),
+        (2, 1): ("nor", 7.0, "vaso without a matching indication in this presentation"),
+        (2, 2): ("odd", 1.0, "no specific mechanistic link to this presentation"),
+        (3, 1): ("nor", 7.0, "vaso without a matching indication in this presentation"),
+    }
