@@ -37,13 +37,26 @@ def follows_merges(vocab: dict[str, int], merges: list[str | list[str]], special
     return all(a < b for a, b in zip([-1, *made], made, strict=False)) and len(made) + 256 + sum(t in vocab for t in special) == len(vocab)
 
 
+def plain_byte_level(spec: dict) -> bool:
+    """Whether a .json vocabulary asks for nothing beyond byte-level merges within the usual pieces of a text.
+
+    No normaliser, no prefix space, no dropout or unknown token, no truncation or padding, and added tokens that are found just as they stand.
+    """
+    cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    usual = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    extras = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    simple = model.get("type") == "BPE" and not any(model.get(x) for x in extras)
+    as_they_stand = not any(t.get(x) for t in spec["added_tokens"] for x in ("single_word", "lstrip", "rstrip", "normalized"))
+    return bool(usual and simple and as_they_stand and not any(spec.get(x) for x in ("normalizer", "truncation", "padding")))
+
+
 def encoder(path: str) -> Callable[[str], list[int]]:
     """text -> ids for a byte-level .json vocabulary.
 
     The merges run in tiktoken, built from the same file: where ids follow the order of merges, which
     is checked, it gives the ids of the tokenizers library several times faster (tests compare every
-    text of a table). A text that its pattern engine gives up on, and a vocabulary in another order,
-    go to the tokenizers library itself.
+    text of a table). A text that its pattern engine gives up on, a vocabulary in another order, and one that asks for
+    more than plain_byte_level allows go to the tokenizers library itself.
     """
     if path not in _ENCODERS:
         import tiktoken
@@ -52,7 +65,7 @@ def encoder(path: str) -> Callable[[str], list[int]]:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        if not follows_merges(spec["model"]["vocab"], spec["model"]["merges"], special):
+        if not plain_byte_level(spec) or not follows_merges(spec["model"]["vocab"], spec["model"]["merges"], special):
             _ENCODERS[path] = lambda text: load_tokenizer(path).encode(text, add_special_tokens=False).ids
             return _ENCODERS[path]
         back = byte_alphabet()

@@ -427,6 +427,21 @@ def test_repeated_ids_give_one_sample(spark):
     assert got[0] == got[1] and len(got[0]) == len({g[0] for g in got[0]})
 
 
+@pytest.mark.parametrize("change", [{}, {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{"id": 50256, "content": "<|endoftext|>", "special": True, "single_word": False, "lstrip": True, "rstrip": False, "normalized": False}]}])
+def test_other_settings_of_a_vocabulary_are_respected(tmp_path, tokenizer, change):
+    import json
+
+    with open(queries.tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f) | change
+    path = tmp_path / "changed.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    assert packing.plain_byte_level(spec) == (not change)
+    library = type(tokenizer).from_file(str(path))
+    encode = packing.encoder(str(path))
+    for text in ("Some Text  here", "an <|endoftext|> END", "It's 12,5 é"):
+        assert encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_null_ids_are_packed_in_groups_of_the_size_asked_for(spark):
     rows = [(None, f"word {i % 9}") for i in range(3000)] + [(5, "same")] * 1000
     out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), queries.tokenizer_path(), group_size=50).toPandas()
