@@ -8,6 +8,7 @@ from chronolane.operators import derive as D
 from chronolane.operators import reports as R
 from chronolane.operators import retrieval as X
 from chronolane.operators import screening as S
+from chronolane.operators import splits as V
 from chronolane.plans.base import query, t
 from chronolane.plans.model_plans import _CLS, _wide
 from chronolane.plans.retrieval_plans import _VOCAB, VOCABULARY
@@ -90,3 +91,24 @@ def f06(spark, d):
     group = lambda c: c.split("_")[1] if c.startswith("lab_") else None
     back = S.lost_groups(dropped, columns, group)
     return spark.createDataFrame([(c, int(c in back)) for c in dropped], "dropped string, comes_back int")
+
+
+def _split_sql(key, seed):
+    bucket = f"floor(('0x' || substr(md5('{seed}|' || {key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 10000)"
+    return f"CASE WHEN {bucket} < 7000 THEN 'train' WHEN {bucket} < 8500 THEN 'validation' ELSE 'test' END"
+
+
+@query("v03_moved_by_seed", f"SELECT count(*) AS n_common, count_if({_split_sql('c_custkey', 42)} <> {_split_sql('c_custkey', 43)}) AS n_moved FROM customer WHERE c_custkey % 4 <> 0")
+def v03(spark, d):
+    """How many customers would change their split with another seed: what an overwrite of the split refuses."""
+    c = t(spark, d, "customer")
+    return V.moved(c.select("c_custkey", V.split("c_custkey", 42).alias("split")), c.filter("c_custkey % 4 <> 0").select("c_custkey", V.split("c_custkey", 43).alias("split")), "c_custkey")
+
+
+@query("u05_entities_shared_by_row_splits", f"WITH s AS (SELECT DISTINCT o_custkey, {_split_sql('o_orderkey', 42)} AS split FROM orders) SELECT a.split AS split_a, b.split AS split_b, count(*) AS n_shared FROM s a JOIN s b ON a.o_custkey = b.o_custkey AND a.split < b.split GROUP BY ALL")
+def u05(spark, d):
+    """Customers that two splits share when orders are split one by one; by customer it is none (u05_split_disjointness)."""
+    s = t(spark, d, "orders").select("o_custkey", V.split("o_orderkey", 42).alias("split"))
+    sets = s.groupBy("o_custkey").agg(F.array_sort(F.collect_set("split")).alias("in"))  # three names at most
+    pairs = F.flatten(F.transform("in", lambda a: F.transform(F.filter("in", lambda b: b > a), lambda b: F.struct(a.alias("split_a"), b.alias("split_b")))))
+    return sets.select(F.explode(pairs).alias("p")).groupBy("p.split_a", "p.split_b").agg(F.count(F.lit(1)).alias("n_shared"))
