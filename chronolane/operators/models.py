@@ -181,7 +181,7 @@ def linear_contributions(df: DataFrame, key: str, weights: dict[str, float], mea
 
 def scenarios(df: DataFrame, overrides: DataFrame, columns: list[str]) -> DataFrame:
     """Each row under each scenario (scenario and one nullable column `set_<c>` for each column); the table of scenarios is small by contract."""
-    out = df.crossJoin(F.broadcast(overrides))
+    out = df.crossJoin(overrides)
     return out.withColumns({c: F.coalesce(F.col(f"set_{c}"), F.col(c)) for c in columns})
 
 
@@ -194,7 +194,7 @@ def withheld(scores: DataFrame, fidelity: DataFrame, floor: float = 2 / 3) -> Da
     lift = F.when(F.col("reference") > 0.5, (F.col("reduced") - 0.5) / (F.col("reference") - 0.5)).otherwise(0.0)
     f = fidelity.select("task", lift.alias("__kept"))
     reason = F.when(F.col("__kept").isNull(), "not measured").when(F.col("__kept") <= 0, "below chance").when(F.col("__kept") < floor, "below floor")
-    return scores.join(F.broadcast(f), "task", "left").withColumn("reason", reason).withColumn("p", F.when(F.col("reason").isNull(), F.col("p"))).drop("__kept")
+    return scores.join(f, "task", "left").withColumn("reason", reason).withColumn("p", F.when(F.col("reason").isNull(), F.col("p"))).drop("__kept")
 
 
 def triplets(codes: DataFrame, entity: str, code: str, share: float, seed: int = 0, bucket: int = 64, draws: int = 4) -> DataFrame:

@@ -32,7 +32,7 @@ def confusion_report(df: DataFrame, expected: str, predicted: str) -> DataFrame:
     some = t.filter("support > 0").agg(F.sum("support").alias("n"), F.avg("p").alias("p"), F.avg("r").alias("r"), F.avg("f").alias("f"), F.sum("hits").alias("hits"))
     macro = some.filter("n is not null").select(*shape("macro", none, none, F.col("n"), r6("p"), r6("r"), r6("f")))
     right = some.filter("n is not null").select(*shape("accuracy", none, none, F.col("n"), nothing, r6(F.col("hits") / F.col("n")), nothing))
-    square = labels.select(F.col("label").alias("e")).crossJoin(F.broadcast(labels.select(F.col("label").alias("g"))))  # as many rows as pairs of labels
+    square = labels.select(F.col("label").alias("e")).crossJoin(labels.select(F.col("label").alias("g")))  # as many rows as pairs of labels
     matrix = square.join(cells, ["e", "g"], "left").select(*shape("confusion", F.col("e"), F.col("g"), F.coalesce("n", F.lit(0)), nothing, nothing, nothing))
     return per.unionByName(macro).unionByName(right).unionByName(matrix)
 

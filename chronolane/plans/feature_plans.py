@@ -158,7 +158,7 @@ def p20(spark, d):
 @query("p21_reference_range", f"WITH {MEASUREMENTS} SELECT l_orderkey, l_linenumber, l_partkey, (val BETWEEN CASE p_type WHEN 'PROMO' THEN 10 ELSE 5 END AND CASE p_type WHEN 'PROMO' THEN 20 ELSE 40 END)::INT AS in_range FROM m WHERE p_type IN ('PROMO', 'SMALL')")
 def p21(spark, d):
     ref = spark.createDataFrame([("PROMO", 10.0, 20.0), ("SMALL", 5.0, 40.0)], "p_type string, lo double, hi double")
-    return measurements(spark, d).join(F.broadcast(ref), "p_type").select("l_orderkey", "l_linenumber", "l_partkey", F.expr("cast(val between lo and hi as int)").alias("in_range"))
+    return measurements(spark, d).join(ref, "p_type").select("l_orderkey", "l_linenumber", "l_partkey", F.expr("cast(val between lo and hi as int)").alias("in_range"))
 
 
 @query("p22_exposure_alerts", f"""WITH {MEASUREMENTS}, g AS (SELECT l_orderkey, max(val) AS v, max((p_name LIKE '%ring%')::INT) AS ring FROM m GROUP BY 1),
@@ -256,8 +256,8 @@ def j10(spark, d):
 
 @query("j11_dictionary_lookup", "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey < 3")
 def j11(spark, d):
-    n = t(spark, d, "nation").join(F.broadcast(t(spark, d, "region").filter("r_regionkey < 3")), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return t(spark, d, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name", "r_name")
+    n = t(spark, d, "nation").join(t(spark, d, "region").filter("r_regionkey < 3"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return t(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name", "r_name")
 
 
 RULES = [("a", "BRAND#1", 1), ("b", "BRAND#2", 2), ("b", "BRAND#24", 2), ("c", "BRAND#13", 3)]
@@ -415,7 +415,7 @@ def a13(spark, d):
 def a14(spark, d):
     rules = spark.createDataFrame([r for r in RULES if len(r[1]) == 7], "condition string, prefix string, weight int")
     m = measurements(spark, d).select("l_orderkey", F.left(F.upper("p_brand"), F.lit(7)).alias("prefix"))
-    return m.join(F.broadcast(rules), "prefix").groupBy("l_orderkey").agg(F.max("weight").alias("idx"))
+    return m.join(rules, "prefix").groupBy("l_orderkey").agg(F.max("weight").alias("idx"))
 
 
 @query("a15_utilisation_of_all", f"""WITH {ENDS}, x AS (SELECT o_orderkey, o_custkey, o_orderdate, t_end, o_orderkey % 5 AS idx FROM ep), pr AS (SELECT a.o_orderkey, (epoch_us(a.o_orderdate) - epoch_us(b.t_end)) / 86400e6::DOUBLE AS gap, (epoch_us(b.t_end) - epoch_us(b.o_orderdate)) / 86400e6::DOUBLE AS los, b.idx FROM x a JOIN x b ON a.o_custkey = b.o_custkey AND b.t_end < a.o_orderdate AND b.t_end >= b.o_orderdate AND a.o_orderkey <> b.o_orderkey),

@@ -72,14 +72,14 @@ def r05(spark, d):
 @query("j13_concept_documents", f"WITH {_INDEX}, {_ALIAS} SELECT DISTINCT concept, doc FROM dt JOIN al ON term = alias")
 def j13(spark, d):
     al = spark.createDataFrame(ALIASES, "term string, concept string")
-    return R.postings(t(spark, d, "documents").filter("lang = 'en'").withColumnRenamed("doc_id", "doc"), "doc", "text", 1.0).join(F.broadcast(al), "term").select("concept", "doc").dropDuplicates()
+    return R.postings(t(spark, d, "documents").filter("lang = 'en'").withColumnRenamed("doc_id", "doc"), "doc", "text", 1.0).join(al, "term").select("concept", "doc").dropDuplicates()
 
 
 @query("r06_topical_relevance", f"WITH {_INDEX} SELECT doc, count(*) AS n_terms FROM dt WHERE term IN ('thanedble', 'retion', 'idiot') GROUP BY 1")
 def r06(spark, d):
     terms = spark.createDataFrame([("thanedble",), ("retion",), ("idiot",)], "term string")
     docs = t(spark, d, "documents").filter("lang = 'en'").withColumnRenamed("doc_id", "doc")
-    return R.postings(docs, "doc", "text", 1.0).join(F.broadcast(terms), "term", "left_semi").groupBy("doc").agg(F.count(F.lit(1)).alias("n_terms"))
+    return R.postings(docs, "doc", "text", 1.0).join(terms, "term", "left_semi").groupBy("doc").agg(F.count(F.lit(1)).alias("n_terms"))
 
 
 #: The same three over all documents, in every language, and all benchmark rows.
@@ -100,13 +100,13 @@ def r05_whole(spark, d):
 @query("j13_concept_documents_whole", f"WITH {_WHOLE}, {_ALIAS} SELECT DISTINCT concept, doc FROM dt JOIN al ON term = alias")
 def j13_whole(spark, d):
     al = spark.createDataFrame(ALIASES, "term string, concept string")
-    return _whole(spark, d)[1].join(F.broadcast(al), "term").select("concept", "doc").dropDuplicates()
+    return _whole(spark, d)[1].join(al, "term").select("concept", "doc").dropDuplicates()
 
 
 @query("r06_topical_relevance_whole", f"WITH {_WHOLE} SELECT doc, count(*) AS n_terms FROM dt WHERE term IN ('thanedble', 'retion', 'idiot') GROUP BY 1")
 def r06_whole(spark, d):
     terms = spark.createDataFrame([("thanedble",), ("retion",), ("idiot",)], "term string")
-    return _whole(spark, d)[1].join(F.broadcast(terms), "term", "left_semi").groupBy("doc").agg(F.count(F.lit(1)).alias("n_terms"))
+    return _whole(spark, d)[1].join(terms, "term", "left_semi").groupBy("doc").agg(F.count(F.lit(1)).alias("n_terms"))
 
 
 @query("r07_tf_idf_ranking", f"""WITH d0 AS (SELECT item_id AS doc, unnest({_TOK.format('text')}) AS term FROM benchmark), q0 AS (SELECT conv_id AS query, unnest({_TOK.format('text')}) AS term FROM conversations WHERE role = 'user'),
@@ -136,7 +136,7 @@ def r10(spark, d):
     from pyspark.sql import Window as W
 
     rules = spark.createDataFrame([("PROMO", 3, 1), ("LARGE", 2, 2), ("SMALL", 2, 3)], "p_type string, points int, priority int")
-    x = t(spark, d, "part").join(F.broadcast(rules), "p_type").withColumn("score", F.col("points") + (F.col("p_size") > 25).cast("int"))
+    x = t(spark, d, "part").join(rules, "p_type").withColumn("score", F.col("points") + (F.col("p_size") > 25).cast("int"))
     return x.withColumn("rank", F.row_number().over(W.partitionBy("p_brand").orderBy(F.col("score").desc(), "priority", "p_partkey"))).filter("rank <= 3").select("p_partkey", "score", "rank")
 
 
