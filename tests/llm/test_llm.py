@@ -427,7 +427,7 @@ def test_repeated_ids_give_one_sample(spark):
     assert got[0] == got[1] and len(got[0]) == len({g[0] for g in got[0]})
 
 
-@pytest.mark.parametrize("change", [{}, {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{"id": 50256, "content": "<|endoftext|>", "special": True, "single_word": False, "lstrip": True, "rstrip": False, "normalized": False}]}])
+@pytest.mark.parametrize("change", [{}, {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{"id": 50256, "content": "<|endoftext|>", "special": True, "single_word": False, "lstrip": True, "rstrip": False, "normalized": False}]}])
 def test_other_settings_of_a_vocabulary_are_respected(tmp_path, tokenizer, change):
     import json
 
