@@ -185,10 +185,11 @@ def x01_running(spark, d):
     """
     path, schema = _arrivals(spark, d)
     out, since = _place(spark), "2024-01-03"
-    stream = X.telemetry_window(_files(spark, path, schema), "ts", "1 day", "event_type", "value", _ANSWERED, _REFUSED, F.col("k") >= 50, since, late="2 days")
+    stream = X.telemetry_counts(_files(spark, path, schema), "ts", "1 day", "event_type", "value", _ANSWERED, _REFUSED, F.col("k") >= 50, since, late="2 days")
     X.run_updates(stream, out, f"{out}-checkpoint")
     arrived = spark.read.schema(schema).parquet(path).filter(F.col("ts") >= F.lit(since).cast("timestamp"))
-    rows = X.late_rows(arrived, X.newest(spark, out, ["window_start"]), "ts", "1 day")
+    counted = X.telemetry_of_counts(X.newest(spark, out, ["window_start", "latency"]))
+    rows = X.late_rows(arrived, counted, "ts", "1 day")
     return rows.withColumn("day_s", F.unix_seconds(F.col("window_start").cast("timestamp"))).drop("window_start")
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronolane.operators.ordered import join_by, running
+
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json") -> DataFrame:
     return spark.readStream.schema(schema).format(fmt).load(path)
@@ -72,7 +74,7 @@ def run_batches(stream: DataFrame, path: str, checkpoint: str) -> None:
 def telemetry_window(events: DataFrame, at: str, width: str, status: str, latency: str, answered: list[str], refused: list[str], verified: Column, since: str | None = None, late: str | None = None) -> DataFrame:
     """window_start and, of each tumbling window: n, answer, refusal and verification rates, and the latency's p50, p95 and maximum.
 
-    The percentiles come from a mergeable sketch: the smallest value that at least the share reaches, exact up to tens of
+    For windows of any size telemetry_counts and telemetry_of_counts give exact percentiles. Here they come from a mergeable sketch: the smallest value that at least the share reaches, exact up to tens of
     thousands of rows a window, and off by one rank in 20,000 beyond. verified is asked of answered rows only. since drops
     what is older; late, for a stream, is how far a row may lag behind the newest one before its window closes.
     """
@@ -93,6 +95,30 @@ def telemetry_window(events: DataFrame, at: str, width: str, status: str, latenc
     return out.select(F.col("w.start").alias("window_start"), *out.columns[1:])
 
 
+def telemetry_counts(events: DataFrame, at: str, width: str, status: str, latency: str, answered: list[str], refused: list[str], verified: Column, since: str | None = None, late: str | None = None) -> DataFrame:
+    """window_start, latency, n, answered, refused, verified: the counts of each tumbling window by latency, for telemetry_of_counts.
+
+    Takes what telemetry_window takes. State is one short row for each window and latency, so a window of any size is many tasks' work.
+    """
+    e = events.withColumn("__at", F.col(at).cast("timestamp"))
+    e = e.filter(F.col("__at") >= F.lit(since).cast("timestamp")) if since else e
+    e = e.withWatermark("__at", late) if late and events.isStreaming else e
+    s = F.col(status)
+    counts = [F.count(F.lit(1)).alias("n"), F.count_if(s.isin(*answered)).alias("answered"), F.count_if(s.isin(*refused)).alias("refused"), F.count_if(s.isin(*answered) & verified).alias("verified")]
+    return e.groupBy(F.window("__at", width).alias("w"), F.col(latency).cast("double").alias("latency")).agg(*counts).select(F.col("w.start").alias("window_start"), "latency", "n", "answered", "refused", "verified")
+
+
+def telemetry_of_counts(counts: DataFrame) -> DataFrame:
+    """The columns of telemetry_window from telemetry_counts; a percentile is the smallest value that at least the share reaches, exactly."""
+    share = lambda c, of: F.round(F.try_divide(F.sum(c).cast("double"), F.sum(of)), 6)
+    out = counts.groupBy("window_start").agg(F.sum("n").alias("n"), share("answered", "n").alias("answer_rate"), share("refused", "n").alias("refusal_rate"), share("verified", "answered").alias("verification_rate"), F.max("latency").alias("latency_max"))
+    known = counts.filter(F.col("latency").isNotNull()).groupBy("window_start", "latency").agg(F.sum("n").alias("n"))
+    ranked = join_by(running(known, ["window_start"], "latency", ["n"]), known.groupBy("window_start").agg(F.sum("n").alias("__size")), ["window_start"])
+    reached = lambda q: F.min(F.when(F.col("before_n") + F.col("n") >= F.col("__size") - F.floor(F.col("__size") - F.lit(q) * F.col("__size")), F.col("latency")))
+    found = ranked.groupBy("window_start").agg(reached(0.5).alias("latency_p50"), reached(0.95).alias("latency_p95"))
+    return join_by(out, found, ["window_start"], "left").select("window_start", "n", "answer_rate", "refusal_rate", "verification_rate", "latency_p50", "latency_p95", "latency_max")
+
+
 def run_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Runs a stream in update mode until all that has arrived is read.
 

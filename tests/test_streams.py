@@ -88,3 +88,28 @@ def test_the_table_twin_gives_the_same_rows(spark, place):
     twin = telemetry(shape(spark.read.parquet(place("in"))))
     assert sorted(map(tuple, X.newest(spark, place("out"), ["window_start"]).select(twin.columns).collect())) == sorted(map(tuple, twin.collect()))
     assert twin.count() == 5
+
+
+def test_percentiles_of_large_windows_are_exact(spark):
+    rng = random.Random(3)
+    values = [rng.random() if rng.random() < 0.99 else None for _ in range(60_000)]
+    rows = spark.createDataFrame([("2024-03-01 00:00:00", v) for v in values] + [("2024-03-02 00:00:00", None)], SCHEMA)
+    counts = X.telemetry_counts(rows.select(F.col("k").cast("timestamp").alias("at"), "v", F.lit("x").alias("s")), "at", "1 day", "s", "v", ["x"], ["y"], F.col("v") > 0.5)
+    got = {str(r.window_start)[:10]: r for r in X.telemetry_of_counts(counts).collect()}
+    known, first = sorted(v for v in values if v is not None), got["2024-03-01"]
+    assert (first.n, first.latency_max, first.answer_rate, first.refusal_rate) == (60_000, known[-1], 1.0, 0.0)
+    for q, found in ((0.5, first.latency_p50), (0.95, first.latency_p95)):
+        assert found == next(v for i, v in enumerate(known, 1) if i >= q * len(known))
+    assert (got["2024-03-02"].n, got["2024-03-02"].latency_p50, got["2024-03-02"].latency_max) == (1, None, None)
+
+
+def test_streamed_counts_give_the_windows_of_the_stream(spark, place):
+    day = lambda n, h=0: f"2024-01-{n:02d} {h:02d}:00:00"
+    parts = [[(day(1), 1.0), (day(1, 5), 3.0)], [(day(5), 7.0)], [(day(9), 2.0)], [(day(1), 9.0), (day(2), 9.0), (day(9, 3), 4.0), (day(9, 4), 2.0)]]
+    files(spark, place("in"), parts)
+    rows = stream(spark, place("in")).select(F.col("k").cast("timestamp").alias("at"), "v", F.lit("x").alias("s"))
+    X.run_updates(X.telemetry_counts(rows, "at", "1 day", "s", "v", ["x"], ["y"], F.col("v") > 2, late="1 day"), place("out"), place("marks"))
+    X.run_updates(X.telemetry_window(rows, "at", "1 day", "s", "v", ["x"], ["y"], F.col("v") > 2, late="1 day"), place("whole"), place("others"))
+    whole = X.newest(spark, place("whole"), ["window_start"])
+    got = X.telemetry_of_counts(X.newest(spark, place("out"), ["window_start", "latency"]))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.select(got.columns).collect()))
