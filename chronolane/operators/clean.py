@@ -44,11 +44,14 @@ def flag_time_order(df: DataFrame, start: str, end: str, flag: str = "invalid_or
 
 
 def to_unit(df: DataFrame, unit: str, value: str, factors: dict[str, float], out: str) -> DataFrame:
-    """Converts values by unit; rows of other units go, a missing unit column means that nothing is converted."""
+    """Converts values by unit; rows of other units go, a missing unit column means that nothing is converted.
+
+    The factors are a parameter and broadcast: there are few units, and by a shuffle each unit's rows would be one task's.
+    """
     if unit not in df.columns:
         return df.withColumn(out, F.col(value).cast("double"))
     table = df.sparkSession.createDataFrame([(k.lower(), float(v)) for k, v in factors.items()], "__unit string, __factor double")
-    return df.join(table, F.lower(F.trim(F.col(unit))) == F.col("__unit")).withColumn(out, F.col(value) * F.col("__factor")).drop("__unit", "__factor")
+    return df.join(F.broadcast(table), F.lower(F.trim(F.col(unit))) == F.col("__unit")).withColumn(out, F.col(value) * F.col("__factor")).drop("__unit", "__factor")
 
 
 def redact(c: str) -> Column:
