@@ -15,10 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from chronolane.llm.common import durable, id_fold, ship, text_bytes
 from chronolane.llm.labelled import labelled_rows
-from chronolane.operators.ordered import running
+from chronolane.operators.ordered import join_by, running
 
 _UPPER = bytes(range(65, 91))
 _SYMBOLS = b"!?%$#&*|<>{}[]=_~^@/\\+"
@@ -91,8 +92,10 @@ def _groups(rows: DataFrame, sizes: dict[int, int], most: int = 56, least: int =
 
 def _cut(worths: DataFrame) -> float:
     """Between which worths (u, label) the good part from the bad with the fewest errors; the lowest such place."""
-    cells = worths.groupBy("u").agg(F.sum(F.col("label") * 2 - 1).alias("n"))
-    at = running(cells, [], "u", ["n"]).select("u", (F.col("before_n") + F.col("n")).alias("e"))
+    cells = worths.groupBy("u").agg(F.sum(F.col("label") * 2 - 1).alias("n")).withColumn("h", F.floor(F.col("u") * 64))
+    lower = F.coalesce(F.sum("t").over(W.orderBy("h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # worths span a range that rows do not widen
+    ranges = cells.groupBy("h").agg(F.sum("n").alias("t")).select("h", lower.alias("c"))
+    at = join_by(running(cells, ["h"], "u", ["n"]), ranges, ["h"]).select("u", (F.col("c") + F.col("before_n") + F.col("n")).alias("e"))
     e, u, lowest = at.agg(F.min("e"), F.min_by("u", F.struct("e", "u")), F.min("u")).first()
     if e >= 0:
         return lowest
