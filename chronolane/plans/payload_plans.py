@@ -44,7 +44,7 @@ def _payloads(spark, d):
 
 @query("p23_payload_fields", f"WITH {_PAYLOAD}, {_FOUND} SELECT * FROM fs")
 def p23_fields(spark, d):
-    return _payloads(spark, d).select("event_id", F.explode("fields").alias("f")).select("event_id", "f.*")
+    return _payloads(spark, d).select("event_id", F.explode_outer("fields").alias("f")).select("event_id", "f.*")  # never empty; a plain explode works the fields out once more to filter by size
 
 
 @query("p23_payload_verdicts", f"""WITH {_PAYLOAD}, {_FOUND}, g AS (SELECT event_id, count_if(state = 'ok') AS k, coalesce(string_agg(name, ',' ORDER BY name) FILTER (state = 'missing' AND name <> 'note'), '') AS missing, coalesce(string_agg(name, ',') FILTER (state = 'missing' AND name = 'note'), '') AS missing_recommended,

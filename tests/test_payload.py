@@ -147,3 +147,13 @@ def test_registered_queries_cover_the_cases(spark):
     assert rows.filter("scenario = 'cheap' and array_contains(unapplied, 'l_extendedprice')").count() > 0 and rows.filter("tier_change <> 0").count() > 0
     leaks = {r.feature: r.leak for r in QUERIES["m11_leak_screen"](spark, SF).collect()}
     assert leaks["score_after"] == "alone" and leaks["only_late"] == "availability" and leaks["los_after"] == "named" and leaks["l_extendedprice"] is None
+
+
+def test_each_payload_is_parsed_once(spark):
+    plan = QUERIES["p23_payload_fields"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 1 and len(plan) < 20000
+
+
+def test_numbers_that_are_not_finite_are_uninterpretable(spark):
+    df = P.fetch(spark.createDataFrame([('{"a": "Infinity", "b": {"c": "NaN"}, "d": [7]}',)], "j string"), "j", [P.Field("x", ("z", "a"), 0, 9), P.Field("y", ("b.c", "a"), 0, 9), P.Field("w", ("d", "a"), 0, 9)])
+    assert [tuple(f) for f in df.first()["fields"]] == [("x", "a", None, "uninterpretable"), ("y", "b.c", None, "uninterpretable"), ("w", "d", None, "uninterpretable")]
