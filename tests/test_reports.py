@@ -3,7 +3,9 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from chronolane.operators import evaluation as R
 from chronolane.operators import metrics, reports, retrieval
 from chronolane.plans.registry import QUERIES
 
@@ -103,3 +105,9 @@ def test_items_are_ranked_by_class_concept_and_measure(spark):
         (2, 2): ("odd", 1.0, "no specific mechanistic link to this presentation"),
         (3, 1): ("nor", 7.0, "vaso without a matching indication in this presentation"),
     }
+
+
+def test_replicates_do_not_multiply_rows(spark):
+    df = spark.range(100).selectExpr("id", "cast(id % 2 as int) as y", "id / 100.0D as p")
+    plan = R.bootstrap_auroc(df, "id", "y", {"p": F.col("p")}, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence" not in plan.lower() and "explode([1,2,3" not in plan
