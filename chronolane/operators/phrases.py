@@ -14,6 +14,8 @@ SUFFIXES = ["ational", "ations", "ation", "ities", "ity", "ically", "ical", "ics
 STEM_ROUNDS = 4
 # Words too general to show that a text is about something.
 GENERAL = ["stage", "acute", "severe", "chronic", "type", "failure", "shock", "disease", "syndrome", "with", "and", "the", "patient", "management"]
+#: Phrases that are sent to every task, at most; more of them are joined by a shuffle.
+BROADCAST_PHRASES = 50_000
 
 
 @cache
@@ -60,7 +62,10 @@ def phrase_hits(df: DataFrame, key: str | list[str], text: str, phrases: DataFra
     """
     keys = [key] if isinstance(key, str) else key
     p = phrases.withColumn("__p", form("phrase")).filter(F.size("__p") > 0).withColumn("n", F.size("__p"))
-    longest = p.agg(F.max("n")).first()[0] or 1  # of the vocabulary
+    n_phrases, longest = p.agg(F.count(F.lit(1)), F.max("n")).first()  # of the vocabulary
+    if n_phrases <= BROADCAST_PHRASES:  # then places that begin no phrase go where they are and are not shuffled
+        p = F.broadcast(p)
+    longest = longest or 1
     t = df.select(*keys, form(text).alias("__t")).filter(F.size("__t") > 0)
     places = F.transform(F.sequence(F.lit(1), F.size("__t")), lambda i: F.struct(i.cast("long").alias("at"), F.slice("__t", i, F.lit(longest)).alias("w")))
     places = t.select(*keys, F.explode(places).alias("__x")).select(*keys, F.col("__x.at").alias("at"), F.col("__x.w").alias("__w"))

@@ -124,3 +124,17 @@ def test_all_kinds_occur(spark):
     reasons = {r.reason for r in QUERIES["r06_topical_phrases"](spark, "/root/testdata/sf0.01").select("reason").distinct().collect()}
     assert reasons == {"topic", "name", "word", None}
     assert QUERIES["r01_long_aliases"](spark, "/root/testdata/sf0.01").filter(F.contains("concepts", F.lit("licence"))).count() > 0
+
+
+def test_places_are_not_shuffled_to_a_small_vocabulary(spark, monkeypatch):
+    from chronolane.operators import phrases
+
+    df = spark.createDataFrame([(1, "an apple pie"), (2, "no pie apple")], "k long, t string")
+    words = spark.createDataFrame([("apple pie",), ("pie",)], "phrase string")
+    found = lambda: phrases.phrase_hits(df, "k", "t", words)
+    plan = found()._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    want = sorted(map(tuple, found().select("k", "at", "phrase").collect()))
+    assert want == [(1, 2, "apple pie"), (1, 3, "pie"), (2, 2, "pie")]
+    monkeypatch.setattr(phrases, "BROADCAST_PHRASES", 1)
+    assert sorted(map(tuple, found().select("k", "at", "phrase").collect())) == want
