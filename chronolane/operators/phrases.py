@@ -66,9 +66,9 @@ def phrase_hits(df: DataFrame, key: str | list[str], text: str, phrases: DataFra
     if n_phrases <= BROADCAST_PHRASES:  # then places that begin no phrase go where they are and are not shuffled
         p = F.broadcast(p)
     longest = longest or 1
-    t = df.select(*keys, form(text).alias("__t")).filter(F.size("__t") > 0)
-    places = F.transform(F.sequence(F.lit(1), F.size("__t")), lambda i: F.struct(i.cast("long").alias("at"), F.slice("__t", i, F.lit(longest)).alias("w")))
-    places = t.select(*keys, F.explode(places).alias("__x")).select(*keys, F.col("__x.at").alias("at"), F.col("__x.w").alias("__w"))
+    t = df.select(*keys, form(text).alias("__t"))  # not filtered by size, nor exploded plainly: either works the words out once more
+    places = F.when(F.size("__t") > 0, F.transform(F.sequence(F.lit(1), F.size("__t")), lambda i: F.struct(i.cast("long").alias("at"), F.slice("__t", i, F.lit(longest)).alias("w"))))
+    places = t.select(*keys, F.explode_outer(places).alias("__x")).filter("__x is not null").select(*keys, F.col("__x.at").alias("at"), F.col("__x.w").alias("__w"))
     same = (F.element_at("__w", 1) == F.element_at("__p", 1)) & (F.slice("__w", F.lit(1), F.col("n")) == F.col("__p"))
     return places.join(p, same).drop("__w", "__p")
 
