@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from chronolane.operators.metrics import auroc, average_precision, calibration_error, hash_uniform, regression
 from chronolane.operators.ordered import percentiles
+from chronolane.sources.catalog import written_once
 
 
 def class_weights(train: DataFrame, label: str, name: str = "weight") -> DataFrame:
@@ -74,7 +75,7 @@ def compare(models: dict[str, PipelineModel], df: DataFrame, columns: list[str],
 def compare_both(models: dict[str, PipelineModel], df: DataFrame, columns: list[str], label: str) -> DataFrame:
     """model, auroc, auprc over df, the best auprc first."""
     frames = [predict(m, df, columns).select(F.lit(n).alias("model"), F.round("p", 6).alias("p"), label) for n, m in models.items()]
-    every = reduce(DataFrame.unionByName, frames)
+    every = written_once(reduce(DataFrame.unionByName, frames))
     return auroc(every, "p", label, ["model"]).join(average_precision(every, "p", label, ["model"]), "model").orderBy(F.col("auprc").desc(), "model")
 
 
@@ -157,7 +158,7 @@ def evaluate_duration(fitted, test: DataFrame, columns: list[str], duration: str
     """subset, n, accuracy, auroc of the classifier; mae, rmse, r2 of the regressor on the stays that are short, and on those taken as short."""
     cut, long, short = fitted
     p = predict(long, test.filter(F.col(duration).isNotNull()), columns, "p_long")
-    g = short.transform(p).select(F.col(duration).cast("double").alias("truth"), F.col("prediction").alias("guess"), F.round("p_long", 6).alias("p_long"), (F.col(duration) > cut).cast("int").alias("is_long"))
+    g = written_once(short.transform(p).select(F.col(duration).cast("double").alias("truth"), F.col("prediction").alias("guess"), F.round("p_long", 6).alias("p_long"), (F.col(duration) > cut).cast("int").alias("is_long")))
     taken = F.col("p_long") >= 0.5
     x = g.withColumn("subset", F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("is_long") == 0, "actual_short"), F.when(~taken, "predicted_short")))))
     base = x.groupBy("subset").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((taken.cast("int") == F.col("is_long")).cast("int")), 6).alias("accuracy"))

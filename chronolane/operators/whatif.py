@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from chronolane.operators.metrics import auroc
 from chronolane.operators.models import calibrate, predict
+from chronolane.sources.catalog import written_once
 
 
 def tier_of(p: Column, cuts: list[float]) -> Column:
@@ -63,7 +64,7 @@ def leak_screen(df: DataFrame, key: str, label: str, columns: list[str], score:
     either = lambda c: F.greatest(c, 1 - c)
     y = F.col(label)
     frames = [score(df).select(F.lit("").alias("feature"), "p", label)] + [score(shuffled(df, key, c, blocks)).select(F.lit(c).alias("feature"), "p", label) for c in columns]
-    fall = auroc(reduce(DataFrame.unionByName, frames).withColumn("p", F.round("p", 9)), "p", label, ["feature"])
+    fall = auroc(written_once(reduce(DataFrame.unionByName, frames).withColumn("p", F.round("p", 9))), "p", label, ["feature"])
     base = fall.filter("feature = ''").select(F.col("auroc").alias("__base"))
     cells = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v"), F.col(c).isNotNull().cast("double").alias("k")) for c in columns))
     long = df.select(y.alias("y"), F.explode(cells).alias("c")).select("y", "c.*")

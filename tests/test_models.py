@@ -190,3 +190,8 @@ def test_reports_of_empty_and_one_class_tables(spark):
     assert evaluation.slice_details(none, ["g"], "p", "y").count() == 0 and evaluation.equal_count_bins(none, "k", "p", "y", ["g"]).count() == 0
     empty = spark.createDataFrame([], "s int, t int, st string, i string, l double")
     assert {r.measure: r.value for r in evaluation.telemetry_report(empty, "s", "t", "st", "i", "l", ["a"], ["b"]).collect()}["n_turns"] == 0
+
+
+def test_models_read_one_written_training_table(spark):
+    plan = QUERIES["m03_three_families"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan and "probability" not in plan  # neither splits nor predictions are worked out again for each measure
