@@ -2,7 +2,10 @@
 
 import math
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +62,21 @@ def test_one_bucket_of_copies_gives_the_smallest_ids(spark):
     v = spark.range(4000).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("vector"))
     got = joins.bucketed_neighbours(v.filter("id < 300"), v, 3, 2, bits=1).collect()
     assert {(r.query_id, r.neighbour_id) for r in got} == {(q, n) for q in range(300) for n in [x for x in range(4) if x != q][:3]}
+
+
+def test_a_block_is_compared_in_little_memory():
+    n, vectors = 2000, np.random.default_rng(5).normal(size=(2000, 8))
+    side = lambda i, v, e: pa.table({i: range(n), v: pa.array(list(vectors)), e: [x % 50 for x in range(n)], "__block": [0] * n})
+    left, right = side("query_id", "qv", "__qe"), side("neighbour_id", "cv", "__ce")
+    search = joins._block_search(3, 8)
+    tracemalloc.start()
+    try:
+        found = search(left, right).to_pandas()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 48 << 20
+    square = np.round(np.sqrt(((vectors[:, None] - vectors) ** 2).sum(2)), 6)
+    for q in range(0, n, 97):
+        near = sorted((square[q, c], c) for c in range(n) if c % 50 != q % 50)[:3]
+        assert sorted(zip(found[found.query_id == q].distance.round(6), found[found.query_id == q].neighbour_id, strict=True))[:3] == near
