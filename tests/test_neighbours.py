@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolane.operators import joins
+from chronolane.plans.registry import QUERIES
 
 ROWS = "id long, vector array<float>, entity int, part string"
 
@@ -64,6 +65,13 @@ def test_one_bucket_of_copies_gives_the_smallest_ids(spark):
     assert {(r.query_id, r.neighbour_id) for r in got} == {(q, n) for q in range(300) for n in [x for x in range(4) if x != q][:3]}
 
 
+@pytest.mark.parametrize("name", ["e19_paired_spaces"])
+def test_spaces_are_searched_once(spark, name):
+    """What the report reads several times is a written table and no search."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" not in plan
+
+
 def test_a_block_is_compared_in_little_memory():
     n, vectors = 2000, np.random.default_rng(5).normal(size=(2000, 8))
     side = lambda i, v, e: pa.table({i: range(n), v: pa.array(list(vectors)), e: [x % 50 for x in range(n)], "__block": [0] * n})
