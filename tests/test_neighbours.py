@@ -65,7 +65,7 @@ def test_one_bucket_of_copies_gives_the_smallest_ids(spark):
     assert {(r.query_id, r.neighbour_id) for r in got} == {(q, n) for q in range(300) for n in [x for x in range(4) if x != q][:3]}
 
 
-@pytest.mark.parametrize("name", ["e19_paired_spaces"])
+@pytest.mark.parametrize("name", ["e19_space_comparison", "e19_paired_spaces"])
 def test_spaces_are_searched_once(spark, name):
     """What the report reads several times is a written table and no search."""
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
