@@ -13,6 +13,15 @@ def r6(c: Column) -> Column:
     return F.round(c, 6)
 
 
+#: Rows that a task holds at once, about, where a table is dealt by its size.
+TASK_ROWS = 250_000
+
+
+def dealt(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """df by keys in as many tasks as its rows ask for, so that no setting lets a task grow with the table."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *keys)
+
+
 def measurement_stats(df: DataFrame, keys: list[str], value: str, order: list[str], abnormal: Column | None = None) -> DataFrame:
     """mean, median, min, max, std, first, last, count, abnormal_count, missing_ratio, slope, change for each key.
 
