@@ -25,19 +25,22 @@ def dealt(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
 def measurement_stats(df: DataFrame, keys: list[str], value: str, order: list[str], abnormal: Column | None = None) -> DataFrame:
     """mean, median, min, max, std, first, last, count, abnormal_count, missing_ratio, slope, change for each key.
 
-    first and last skip missing values; slope is by position; slope and change need two values.
+    first and last skip missing values; slope is by position; slope and change need two values. The median is of the rows
+    in the middle of a key's values in order, so no key keeps a table of its values.
     """
     v = F.col(value)
-    at = F.struct(*order)
     w = W.partitionBy(*keys).orderBy(*order)
     position = F.when(v.isNotNull(), F.sum(v.isNotNull().cast("int")).over(w) - 1)
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(v.asc_nulls_last()))
+    middle = v.isNotNull() & (2 * F.col("__place")).between(F.col("__known"), F.col("__known") + 2)
     known = F.count(v)
-    first, last = F.min_by(v, F.when(v.isNotNull(), at)), F.max_by(v, F.when(v.isNotNull(), at))
+    first, last = F.min_by(v, "__at"), F.max_by(v, "__at")
     return (
-        df.withColumn("__at", position)
+        df.withColumns({"__at": position, "__known": F.count(v).over(W.partitionBy(*keys))})
+        .withColumn("__place", place)
         .groupBy(*keys)
         .agg(
-            r6(F.avg(v)).alias("mean"), r6(F.median(v)).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), r6(F.stddev_samp(v)).alias("std"),
+            r6(F.avg(v)).alias("mean"), r6(F.avg(F.when(middle, v.cast("double")))).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), r6(F.stddev_samp(v)).alias("std"),
             first.alias("first"), last.alias("last"), known.alias("count"),
             (F.count_if(abnormal) if abnormal is not None else F.lit(0).cast("long")).alias("abnormal_count"),
             r6(F.avg(v.isNull().cast("int"))).alias("missing_ratio"),

@@ -11,7 +11,7 @@ from chronolane.operators import ordered as O
 from chronolane.operators import models as M
 from chronolane.operators import quality as Q
 from chronolane.plans.base import MEASUREMENTS, measurements, query, t
-from chronolane.plans.feature_plans import ENDS, ITEMS, _stats, _stats_sql, episodes
+from chronolane.plans.feature_plans import ENDS, ITEMS, _dealt, _stats, _stats_sql, episodes
 from chronolane.plans.model_plans import _FEATS, _train
 
 _ALL_STATS = ["mean", "median", "min", "max", "std", "first", "last", "count", "abnormal_count", "missing_ratio", "slope", "change"]
@@ -26,7 +26,7 @@ def _wide_sql() -> str:
 
 @query("a03_pivot_all_statistics", f"WITH {MEASUREMENTS}, {_stats_sql('m')} {_wide_sql()}")
 def a03_all(spark, d):
-    return A.pivot_stats(_stats(measurements(spark, d)), "l_orderkey", "p_type", ITEMS, _ALL_STATS, "m", _FILLED)
+    return A.pivot_stats(_stats(_dealt(spark, d)), "l_orderkey", "p_type", ITEMS, _ALL_STATS, "m", _FILLED)
 
 
 @query("a17_note_words", "SELECT source, count(*) AS n, round(avg(length(text)), 4) AS mean_chars, round(avg(w), 4) AS mean_words, sum(w)::BIGINT AS words FROM (SELECT source, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n]+')) AS w FROM documents) GROUP BY 1")
