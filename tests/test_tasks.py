@@ -13,7 +13,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize(("name", "key"), [("a03_pivot", "l_orderkey"), ("a03_pivot_all_statistics", "l_orderkey"), ("a05_windowed_set", "l_orderkey")])
+@pytest.mark.parametrize(("name", "key"), [("a03_pivot", "l_orderkey"), ("a03_pivot_all_statistics", "l_orderkey"), ("a05_windowed_set", "l_orderkey"), ("r10_item_ranking", "case")])
 def test_rows_are_dealt_by_the_size_of_the_table(spark, monkeypatch, name, key):
     monkeypatch.setattr(aggregates, "TASK_ROWS", 100)
     tasks = -(-spark.read.parquet(f"{SMALL}/lineitem.parquet").count() // 100)
