@@ -12,10 +12,12 @@ from chronolane.operators.text import _mentions, numbers, tf_idf_cosine, tokens
 
 #: Rank a match of the whole string above a match of any number of its words.
 EXACT, DESALTED = 1_000_002, 1_000_001
+#: Rows of query and term that are sent to every task, at most; more of them are joined by a shuffle.
+BROADCAST_TERMS = 200_000
 
 
-def weighted_index(docs: DataFrame, key: str, topics: str, keywords: str, text: str, weights: tuple[int, int, int] = (3, 2, 1)) -> DataFrame:
-    """term, key, weight: a term's weight is the sum of those of the parts that hold it; topics and keywords are arrays."""
+def weighted_parts(docs: DataFrame, key: str, topics: str, keywords: str, text: str, weights: tuple[int, int, int] = (3, 2, 1)) -> DataFrame:
+    """term, key, weight: one row for each part of a row that holds a term, with the part's weight; topics and keywords are arrays."""
     none = F.array().cast("array<string>")
     low = lambda c: F.transform(F.coalesce(F.col(c), none), F.lower)
     every = F.array_union(F.array_union(low(topics), low(keywords)), tokens(text))
@@ -24,17 +26,25 @@ def weighted_index(docs: DataFrame, key: str, topics: str, keywords: str, text:
         return F.transform(F.array_distinct(part), lambda x: F.struct(x.alias("term"), F.lit(weight).alias("w")))
 
     cells = F.concat(*map(weighed, (low(topics), low(keywords), every), weights))
-    return docs.select(key, F.explode(cells).alias("c")).groupBy(F.col("c.term").alias("term"), key).agg(F.sum("c.w").alias("weight"))
+    return docs.select(key, F.explode(cells).alias("c")).select("c.term", key, F.col("c.w").cast("long").alias("weight"))
+
+
+def weighted_index(docs: DataFrame, key: str, topics: str, keywords: str, text: str, weights: tuple[int, int, int] = (3, 2, 1)) -> DataFrame:
+    """term, key, weight: a term's weight is the sum of those of the parts that hold it; topics and keywords are arrays."""
+    return weighted_parts(docs, key, topics, keywords, text, weights).groupBy("term", key).agg(F.sum("weight").alias("weight"))
 
 
 def retrieve_tiered(queries: DataFrame, index: DataFrame, docs: DataFrame, k: int, reviewed: str | None = None, least: int = 1, matched: DataFrame | None = None) -> DataFrame:
     """query, doc, tier, score, rank: the k best documents of a query, by tier first, then by score, then by doc.
 
-    queries: query, term (distinct); index: term, doc, weight; docs: doc, tier and, if named, the
-    flag `reviewed`, without which a document is passed over. matched: query, doc that another way has
+    queries: query, term (distinct); index: term, doc, weight, summed or in parts; docs: doc, tier and, if named, the
+    flag `reviewed`, without which a document is passed over. Up to BROADCAST_TERMS rows of queries go to the index, so one that
+    is dealt by doc is not shuffled again before the scores are summed. matched: query, doc that another way has
     found (a concept, say): they are kept with at least the least score.
     """
-    hits = queries.join(index, "term").groupBy("query", "doc").agg(F.sum("weight").alias("score"))
+    if queries.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        queries = F.broadcast(queries)
+    hits = index.join(queries, "term").groupBy("query", "doc").agg(F.sum("weight").alias("score"))
     if matched is not None:
         known = matched.select("query", "doc").distinct().withColumn("__m", F.lit(True))
         hits = hits.join(known, ["query", "doc"], "full_outer")

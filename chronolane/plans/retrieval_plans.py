@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chronolane.operators import retrieval as R
 from chronolane.operators import text as X
+from chronolane.operators.aggregates import dealt
 from chronolane.plans.base import query, t
 from chronolane.plans.text_plans import _ALIAS, _TOK, ALIASES
 
@@ -24,7 +25,8 @@ def r05_weighted(spark, d):
     docs = _docs(spark, d)
     q = t(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(X.tokens("text"))).alias("term")).filter("length(term) > 2")
     about = docs.select("doc", (F.col("doc") % 3).alias("tier"), (F.col("doc") % 4 != 0).alias("reviewed"))
-    return R.retrieve_tiered(q, R.weighted_index(docs, "doc", "topics", "keywords", "text"), about, 4, reviewed="reviewed")
+    pairs = t(spark, d, "documents").count() * t(spark, d, "benchmark").count()  # each document can meet each query
+    return R.retrieve_tiered(q, R.weighted_parts(dealt(docs, ["doc"], pairs), "doc", "topics", "keywords", "text"), about, 4, reviewed="reviewed")
 
 
 _GRAMS = "list_concat(t, list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1]))"

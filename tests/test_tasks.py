@@ -30,3 +30,12 @@ def test_statistics_keep_no_table_of_a_key(spark):
     assert {r.k: (r.median, r.first, r.last, r["count"]) for r in got.collect()} == {1: (2.0, 3.0, 2.0, 3), 2: (2.25, 4.0, 2.5, 4), 3: (None, None, None, 0), 4: (7.0, 7.0, 7.0, 1)}
     exact = df.groupBy("k").agg(F.round(F.median("v"), 6).alias("median"))
     assert {tuple(r) for r in got.select("k", "median").collect()} == {tuple(r) for r in exact.collect()}
+
+
+def test_scores_are_summed_where_documents_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(aggregates, "TASK_ROWS", 1000)
+    tasks = -(-spark.read.parquet(f"{SMALL}/documents.parquet").count() * spark.read.parquet(f"{SMALL}/benchmark.parquet").count() // 1000)
+    shown = plan(QUERIES["r05_weighted_retrieval"](spark, SMALL))
+    assert f"{tasks}), REPARTITION_BY_NUM" in shown
+    assert "hashpartitioning(query" in shown and "hashpartitioning(term" not in shown
+    assert not any("hashpartitioning(query" in line and "doc" in line for line in shown.splitlines())  # the pairs are not shuffled
