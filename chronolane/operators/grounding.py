@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolane.operators.phrases import phrase_hits, words
+from chronolane.sources.catalog import written_once
 
 # Patterns of numbers, citations, addresses and fixed labels, and numbers that claim nothing.
 UNITS = r"%|mg/dL|mmol/L|mEq/L|mmHg|bpm|K/uL|days?|hours?|h\b"
@@ -59,8 +60,8 @@ def said_numbers(text: str | Column) -> Column:
     c = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     for masked in (CITATION, ADDRESS, LABEL):
         c = F.regexp_replace(c, masked, " ")
-    units = F.transform(F.regexp_extract_all(c, F.lit(NUMBER), F.lit(2)), F.lower)
-    return F.zip_with(F.regexp_extract_all(c, F.lit(NUMBER), F.lit(1)), units, lambda r, u: F.struct(r.alias("raw"), r.cast("double").alias("value"), F.coalesce(u, F.lit("")).alias("unit")))
+    part = lambda m, i: F.regexp_extract(m, NUMBER, i)  # noqa: E731 (of a number alone: a whole text is masked and searched once)
+    return F.transform(F.regexp_extract_all(c, F.lit(NUMBER), F.lit(0)), lambda m: F.struct(part(m, 1).alias("raw"), part(m, 1).cast("double").alias("value"), F.lower(part(m, 2)).alias("unit")))
 
 
 def marks(text: str | Column) -> Column:
@@ -101,6 +102,11 @@ def without_quotes(texts: DataFrame, key: str, text: str, passages: DataFrame, l
     return lines.join(quoted, [key, "line"], "left_anti")
 
 
+def read(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, text, __numbers, __marks: the texts with what they state, worked out once and written for violations and report."""
+    return written_once(texts.select(key, text, said_numbers(text).alias("__numbers"), marks(text).alias("__marks")))
+
+
 def violations(texts: DataFrame, key: str, text: str, facts: Facts, lexicon: DataFrame | None = None, claims: list[Claim] | None = None, tolerance: float = 0.011) -> DataFrame:
     """key, kind, severity, span: one row for each thing that a text states and nothing supports. key is unique in texts.
 
@@ -108,13 +114,14 @@ def violations(texts: DataFrame, key: str, text: str, facts: Facts, lexicon: Dat
     the tolerance from every permitted form. unknown_citation: a mark that no permitted mark equals, holds or stands in; brackets within
     passages are permitted. Claims: matches outside verbatim quotes. ungrounded_name: a name of the lexicon (phrase), of four
     characters or more, that no permitted name and no passage holds. Every fact counts for its own key only.
+    texts may come from read; if they do not, they are read here.
     """
-    x = texts.select(key, F.col(text).alias("__x"))
+    x = (texts if "__numbers" in texts.columns else read(texts, key, text)).withColumnRenamed(text, "__x")
     blank = F.trim(F.regexp_replace(F.coalesce("__x", F.lit("")), r"\s+", " ")) == ""
     row = lambda kind, severity, span: (F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), span.alias("span"))
     found = [x.filter(blank).select(key, *row("empty_generation", "critical", F.lit("")))]
 
-    said = x.select(key, F.explode(said_numbers("__x")).alias("n")).select(key, "n.*")
+    said = x.select(key, F.explode("__numbers").alias("n")).select(key, "n.*")
     v = F.col("value")
     trivial = v.isin(*map(float, TRIVIAL)) & F.col("unit").isin(*TRIVIAL_UNITS)
     said = said.filter(~trivial & ~(v.between(1900, 2100) & (F.floor(v) == v)))
@@ -126,7 +133,7 @@ def violations(texts: DataFrame, key: str, text: str, facts: Facts, lexicon: Dat
 
     allowed = facts.citations.select(key, F.lower(F.trim(F.regexp_replace("mark", r"^[\[\]]+|[\[\]]+$", ""))).alias("__a"))
     allowed = allowed.union(facts.passages.select(key, F.explode(marks("body")))).filter("__a <> ''").distinct()
-    cited = x.select(key, F.explode(marks("__x")).alias("m")).filter(~F.col("m").isin(*NO_SOURCE))
+    cited = x.select(key, F.explode("__marks").alias("m")).filter(~F.col("m").isin(*NO_SOURCE))
     cited = cited.join(allowed.withColumnRenamed("__a", "m"), [key, "m"], "left_anti")
     part = F.contains("m", "__a") | F.contains("__a", "m")
     found.append(cited.join(allowed.withColumnRenamed(key, "__k"), (F.col(key) == F.col("__k")) & part, "left_anti").select(key, *row("unknown_citation", "critical", F.col("m"))))
@@ -155,6 +162,7 @@ def violations(texts: DataFrame, key: str, text: str, facts: Facts, lexicon: Dat
 def report(texts: DataFrame, key: str, text: str, found: DataFrame) -> DataFrame:
     """key, ok, n_numbers, n_citations, n_critical, n_high for every text; ok: neither critical nor high violations."""
     tally = found.groupBy(key).agg(F.count_if(F.col("severity") == "critical").alias("n_critical"), F.count_if(F.col("severity") == "high").alias("n_high"))
-    out = texts.select(key, F.size(said_numbers(text)).cast("long").alias("n_numbers"), F.size(marks(text)).cast("long").alias("n_citations")).join(tally, key, "left")
+    numbers, cited = ("__numbers", "__marks") if "__numbers" in texts.columns else (said_numbers(text), marks(text))
+    out = texts.select(key, F.size(numbers).cast("long").alias("n_numbers"), F.size(cited).cast("long").alias("n_citations")).join(tally, key, "left")
     out = out.fillna(0, ["n_critical", "n_high"])
     return out.select(key, (F.col("n_critical") + F.col("n_high") == 0).cast("int").alias("ok"), "n_numbers", "n_citations", "n_critical", "n_high")

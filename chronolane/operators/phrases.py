@@ -16,6 +16,8 @@ STEM_ROUNDS = 4
 GENERAL = ["stage", "acute", "severe", "chronic", "type", "failure", "shock", "disease", "syndrome", "with", "and", "the", "patient", "management"]
 #: Phrases that are sent to every task, at most; more of them are joined by a shuffle.
 BROADCAST_PHRASES = 50_000
+#: First words of phrases that every place is compared with before it becomes a row, at most.
+FIRST_WORDS = 1_000
 
 
 @cache
@@ -66,8 +68,12 @@ def phrase_hits(df: DataFrame, key: str | list[str], text: str, phrases: DataFra
     if n_phrases <= BROADCAST_PHRASES:  # then places that begin no phrase go where they are and are not shuffled
         p = F.broadcast(p)
     longest = longest or 1
+    begin = p.select(F.element_at("__p", 1).alias("w")).distinct().limit(FIRST_WORDS + 1).collect()
     t = df.select(*keys, form(text).alias("__t"))  # not filtered by size, nor exploded plainly: either works the words out once more
-    places = F.when(F.size("__t") > 0, F.transform(F.sequence(F.lit(1), F.size("__t")), lambda i: F.struct(i.cast("long").alias("at"), F.slice("__t", i, F.lit(longest)).alias("w"))))
+    at = F.sequence(F.lit(1), F.size("__t"))
+    if len(begin) <= FIRST_WORDS:  # then no other place becomes a row
+        at = F.filter(at, lambda i: F.element_at("__t", i).isin([r.w for r in begin]))
+    places = F.when(F.size("__t") > 0, F.transform(at, lambda i: F.struct(i.cast("long").alias("at"), F.slice("__t", i, F.lit(longest)).alias("w"))))
     places = t.select(*keys, F.explode_outer(places).alias("__x")).filter("__x is not null").select(*keys, F.col("__x.at").alias("at"), F.col("__x.w").alias("__w"))
     same = (F.element_at("__w", 1) == F.element_at("__p", 1)) & (F.slice("__w", F.lit(1), F.col("n")) == F.col("__p"))
     return places.join(p, same).drop("__w", "__p")

@@ -138,3 +138,15 @@ def test_places_are_not_shuffled_to_a_small_vocabulary(spark, monkeypatch):
     assert want == [(1, 2, "apple pie"), (1, 3, "pie"), (2, 2, "pie")]
     monkeypatch.setattr(phrases, "BROADCAST_PHRASES", 1)
     assert sorted(map(tuple, found().select("k", "at", "phrase").collect())) == want
+
+
+def test_texts_are_read_once_and_other_places_are_no_rows(spark):
+    text = spark.createDataFrame([(1, "a b c b"), (2, "c"), (3, None)], "k int, t string")
+    hits = P.phrase_hits(text, "k", "t", spark.createDataFrame([("b c",), ("b",)], "phrase string"), P.words)
+    assert "filter(sequence" in hits._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.k, r.at, r.phrase) for r in hits.collect()) == [(1, 2, "b"), (1, 2, "b c"), (1, 4, "b")]
+
+
+def test_numbers_keep_their_units(spark):
+    row = spark.range(1).select(F.lit("24 h, 5 hx 7days 3.5 mg/dL /8 x9 10% 2 Hours").alias("t")).select(G.said_numbers("t").alias("n")).first()
+    assert [(x.raw, x.value, x.unit) for x in row.n] == [("24", 24.0, "h"), ("5", 5.0, ""), ("7", 7.0, "days"), ("3.5", 3.5, "mg/dl"), ("10", 10.0, "%"), ("2", 2.0, "hours")]
