@@ -95,6 +95,7 @@ _REPORT = rf"""n AS (SELECT count(*) AS n FROM benchmark), d AS (SELECT doc_id,
 
 def _found(spark, d):
     x, facts = _reports(spark, d)
+    x = G.read(x, "doc_id", "report")
     return x, G.violations(x, "doc_id", "report", facts, spark.createDataFrame([(n,) for n in NAMES], "phrase string"), CLAIMS)
 
 

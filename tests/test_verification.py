@@ -141,6 +141,8 @@ def test_places_are_not_shuffled_to_a_small_vocabulary(spark, monkeypatch):
 
 
 def test_texts_are_read_once_and_other_places_are_no_rows(spark):
+    plan = QUERIES["r15_grounding_report"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "\\nLength " not in plan and "\nLength " not in plan  # the reports are a table by then
     text = spark.createDataFrame([(1, "a b c b"), (2, "c"), (3, None)], "k int, t string")
     hits = P.phrase_hits(text, "k", "t", spark.createDataFrame([("b c",), ("b",)], "phrase string"), P.words)
     assert "filter(sequence" in hits._jdf.queryExecution().optimizedPlan().toString()
